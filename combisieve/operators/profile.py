@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from combisieve import TARGETS
-from combisieve.operators.ordering import prefix_sums, quantile_bucket
+from combisieve.operators.ordering import bucket_bits, prefix_sums, quantile_bucket
 from combisieve.operators.skew import attach_totals, scalar
 
 # the largest finite half-precision number
@@ -33,24 +34,72 @@ def n_unique(df: DataFrame, cols: Sequence[str] | None = None, approx: bool = Fa
     return unpivot_struct(one, {c: {"n_unique": F.col(c)} for c in cols})
 
 
-def quantile(col: str | Column, p: float, kind: str = "disc") -> Column:
-    """``disc`` returns an observed value, ``cont`` interpolates."""
-    c = F.col(col) if isinstance(col, str) else col
+def quantile(col: str, p: float, kind: str = "disc") -> Column:
+    """Aggregate for columns with few distinct values (it keeps one counter per
+    value): ``disc`` returns an observed value, ``cont`` interpolates."""
     if kind == "cont":
-        return F.percentile(c, F.lit(p))
+        return F.percentile(col, F.lit(p))
     if kind == "approx":
-        return F.percentile_approx(c, p, 10_000)
+        return F.percentile_approx(col, p, 10_000)
     return F.expr(f"percentile_disc({p}) within group (order by `{col}`)")
 
 
-def describe(
-    df: DataFrame, cols: Sequence[str], percentiles: Sequence[float] = (0.01, 0.25, 0.5, 0.75, 0.99), kind: str = "disc"
+def quantiles_from_counts(
+    counts: DataFrame, by: Sequence[str], value: str, percentiles: Sequence[float], kind: str = "disc", bucket: str | None = None
 ) -> DataFrame:
-    """count, null count, mean, std, min, max and percentiles per column.
+    """Exact quantiles ``p01..p99`` per ``by`` from ``(by, value, n)`` rows.
 
-    ``disc`` and ``cont`` keep one counter per distinct value; use ``approx``
-    for continuous columns of a very large table.
+    The values are cumulated in buckets, so neither a continuous column nor one
+    group with most of the rows has to fit a single task.
     """
+    by = list(by)
+    src = counts if bucket else quantile_bucket(counts, value)
+    run = prefix_sums(src, bucket or "__b", [F.col(value)], {"__cum": F.col("n")}, by)
+    totals = counts.groupBy(*by).agg(F.sum("n").alias("__n"))
+    run = run.join(totals, by) if by else run.withColumn("__n", scalar(counts, F.sum("n")))
+
+    def at(rank: Column) -> Column:
+        inside = (F.col("__cum") >= rank) & (F.col("__cum") - F.col("n") < rank)
+        return F.max(F.when(inside, F.col(value).cast("double")))
+
+    out = []
+    for p in percentiles:
+        name = f"p{round(p * 100):02d}"
+        if kind == "cont":
+            pos = F.lit(p) * (F.col("__n") - 1)
+            low, high = at(F.floor(pos) + 1), at(F.ceil(pos) + 1)
+            out.append((low + (high - low) * F.max(pos - F.floor(pos))).alias(name))
+        else:
+            out.append(at(F.greatest(F.ceil(F.lit(p) * F.col("__n")), F.lit(1))).alias(name))
+    return run.groupBy(*by).agg(*out)
+
+
+def column_quantiles(df: DataFrame, cols: Sequence[str], percentiles: Sequence[float], kind: str = "disc") -> DataFrame:
+    """Exact quantiles of several columns in one pass over the rows."""
+    cols = list(cols)
+    n = 2 ** min(8, bucket_bits(df.sparkSession))
+    cuts = df.approxQuantile(cols, [i / n for i in range(1, n)], 1 / (4 * n))
+    src = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    src = Bucketizer(
+        splitsArray=[[float("-inf"), *sorted(set(c)), float("inf")] for c in cuts],
+        inputCols=cols,
+        outputCols=[f"__b_{c}" for c in cols],
+        handleInvalid="keep",
+    ).transform(src)
+    cells = F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(f"__b_{c}").cast("int").alias("__b"), F.col(c).alias("value")) for c in cols
+    ])
+    counts = src.select(F.inline(cells)).filter("value is not null").groupBy("column", "__b", "value").agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    return quantiles_from_counts(counts, ["column"], "value", percentiles, kind, "__b")
+
+
+def describe(
+    df: DataFrame, cols: Sequence[str], percentiles: Sequence[float] = (0.01, 0.25, 0.5, 0.75, 0.99), kind: str = "disc"
+) -> DataFrame:
+    """count, null count, mean, std, min, max and percentiles per column:
+    ``disc`` and ``cont`` are exact, ``approx`` is a sketch."""
     aggs, cells = [], {}
     for c in cols:
         stats = {
@@ -60,11 +109,15 @@ def describe(
             "std": F.stddev_samp(c),
             "min": F.min(c).cast("double"),
             "max": F.max(c).cast("double"),
-            **{f"p{round(p * 100):02d}": quantile(c, p, kind).cast("double") for p in percentiles},
         }
+        if kind == "approx":
+            stats |= {f"p{round(p * 100):02d}": quantile(c, p, kind).cast("double") for p in percentiles}
         aggs += [e.alias(f"{c}__{n}") for n, e in stats.items()]
         cells[c] = {n: F.col(f"{c}__{n}") for n in stats}
-    return unpivot_struct(df.agg(*aggs), cells)
+    basic = unpivot_struct(df.agg(*aggs), cells)
+    if kind == "approx":
+        return basic
+    return basic.join(column_quantiles(df, cols, percentiles, kind), "column", "left")
 
 
 def positive_rate(df: DataFrame, key: Sequence[str], targets: Sequence[str] = TARGETS) -> DataFrame:
@@ -230,19 +283,15 @@ def split_stats(
     )
 
 
-def column_values(df: DataFrame, features: str) -> DataFrame:
-    """``(col, value, n)`` over an array column; the counts of separate chunks
-    merge by addition, which is what partial and final aggregation do."""
-    cells = df.select(F.posexplode(features).alias("col", "value"))
-    return cells.groupBy("col", "value").agg(F.count(F.lit(1)).alias("n"))
+def column_values(df: DataFrame, features: str, by: Sequence[str] = ()) -> DataFrame:
+    """``(col, value, n)`` over an array column, per chunk when ``by`` is given."""
+    cells = df.select(*by, F.posexplode(features).alias("col", "value"))
+    return cells.groupBy(*by, "col", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def merge_column_values(*chunks: DataFrame) -> DataFrame:
-    """Merge per-chunk counts of :func:`column_values`."""
-    merged = chunks[0]
-    for c in chunks[1:]:
-        merged = merged.unionByName(c)
-    return merged.groupBy("col", "value").agg(F.sum("n").alias("n"))
+def merge_column_values(chunks: DataFrame) -> DataFrame:
+    """Counts of separate chunks merge by addition."""
+    return chunks.groupBy("col", "value").agg(F.sum("n").alias("n"))
 
 
 def profile_from_values(values: DataFrame, show: int = 3) -> DataFrame:

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from workload import q_io, q_shape  # noqa: F401
+from workload import q_io, q_profile, q_sampling, q_shape, q_splits  # noqa: F401
 from workload.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]
