@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from combisieve.functions.exprs import let
 from combisieve.operators.profile import HALF_MAX, column_range
-from combisieve.operators.skew import scalar
 
 
 def _c(c: Column | str) -> Column:
@@ -19,15 +19,17 @@ def _c(c: Column | str) -> Column:
 
 def pack_bits(bits: Column | str) -> Column:
     """0/1 array to bytes, first bit highest, last byte filled with zeros."""
-    c = _c(bits)
+    def pack(c: Column) -> Column:
+        def byte(i: Column) -> Column:
+            part = F.slice(c, i * 8 + 1, F.lit(8))
+            value = F.aggregate(part, F.lit(0), lambda acc, b: acc * 2 + b.cast("int"))
+            return (value * F.pow(F.lit(2.0), F.lit(8) - F.size(part))).cast("int")
 
-    def byte(i: Column) -> Column:
-        part = F.slice(c, i * 8 + 1, F.lit(8))
-        value = F.aggregate(part, F.lit(0), lambda acc, b: acc * 2 + b.cast("int"))
-        return (value * F.pow(F.lit(2.0), F.lit(8) - F.size(part))).cast("int")
+        n_bytes = F.floor((F.size(c) + 7) / 8).cast("int")
+        packed = F.transform(F.sequence(F.lit(0), n_bytes - 1), byte)
+        return F.when(n_bytes > 0, packed).otherwise(F.array().cast("array<int>"))
 
-    n_bytes = F.floor((F.size(c) + 7) / 8).cast("int")
-    return F.when(n_bytes > 0, F.transform(F.sequence(F.lit(0), n_bytes - 1), byte)).otherwise(F.array().cast("array<int>"))
+    return let(_c(bits), pack)
 
 
 def unpack_bits(packed: Column | str) -> Column:
@@ -73,8 +75,8 @@ def bit_density(df: DataFrame, packed: str) -> DataFrame:
 # --- dense vectors ----------------------------------------------------------
 
 def keep_columns(vector: Column | str, positions: Sequence[int]) -> Column:
-    c = _c(vector)
-    return F.transform(F.array(*[F.lit(int(p)) for p in positions]), lambda p: F.get(c, p))
+    places = F.array(*[F.lit(int(p)) for p in positions])
+    return let(_c(vector), lambda c: F.transform(places, lambda p: F.get(c, p)))
 
 
 def drop_columns(vector: Column | str, positions: Sequence[int]) -> Column:
@@ -101,15 +103,20 @@ def minmax_stats(df: DataFrame, features: str) -> DataFrame:
 
 
 def minmax_scale(df: DataFrame, features: str, stats: DataFrame | None = None) -> DataFrame:
-    """Every position to [0, 1]; positions that are constant are left out.  The
-    statistics are one bounded row (one entry per position)."""
+    """Every position to [0, 1]; positions that are constant are left out."""
     stats = column_range(df, features) if stats is None else stats
-    cells = F.struct("col", F.col("min").cast("double").alias("lo"), F.col("max").cast("double").alias("hi"))
-    ranges = scalar(stats.filter("max > min"), F.array_sort(F.collect_list(cells)))
-    c = F.col(features)
-    return df.withColumn(
-        features, F.transform(ranges, lambda r: (F.get(c, r["col"]).cast("double") - r["lo"]) / (r["hi"] - r["lo"]))
-    )
+    # one row per vector position
+    rows = stats.filter("max > min").select("col", F.col("min").cast("double"), F.col("max").cast("double")).collect()
+    cells = [
+        F.struct(F.lit(c).alias("col"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for c, lo, hi in sorted(map(tuple, rows))
+    ]
+
+    def scale(c: Column) -> Column:
+        return F.transform(
+            F.array(*cells), lambda r: (F.get(c, r["col"]).cast("double") - r["lo"]) / (r["hi"] - r["lo"])
+        )
+
+    return df.withColumn(features, let(F.col(features), scale))
 
 
 def log_columns(vector: Column | str, positions: Sequence[int], half: bool = True) -> Column:

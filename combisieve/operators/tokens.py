@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from combisieve.functions.checks import require
+from combisieve.functions.exprs import let
 from combisieve.functions.hashing import text_hash
 from combisieve.operators.ordering import row_index
 from combisieve.operators.skew import attach_totals, broadcast_if_small, fits, scalar, spread_join
@@ -168,9 +169,8 @@ def contains_any(text: Column | str, parts: Sequence[str]) -> Column:
 def pad_fixed(seq: Column | str, length: int | Column, pad: int = PAD, truncate: bool = False) -> Column:
     """Right padding; a longer sequence is cut or, by default, an error."""
     c, n = _c(seq), F.lit(length) if isinstance(length, int) else length
-    missing = F.greatest(n - F.size(c), F.lit(0))
-    filled = F.concat(F.slice(c, F.lit(1), n), F.transform(F.sequence(F.lit(1), missing), lambda _: F.lit(pad).cast("bigint")))
-    filled = F.when(missing > 0, filled).otherwise(F.slice(c, F.lit(1), n))
+    fill = F.array_repeat(F.lit(pad).cast("bigint"), F.greatest(n - F.size(c), F.lit(0)))
+    filled = F.concat(F.slice(c, F.lit(1), n), fill)
     return filled if truncate else require(F.size(c) <= n, filled, "sequence longer than the fixed length")
 
 
@@ -255,9 +255,10 @@ def drop_token_ids(seq: Column | str, ids: Sequence[int], pad: int = PAD) -> Col
 
 def multi_hot(seq: Column | str, vocab_size: int) -> Column:
     """0/1 per vocabulary id, without the padding column 0."""
-    present = F.array_distinct(_c(seq))
-    return F.transform(
-        F.sequence(F.lit(1), F.lit(vocab_size - 1)), lambda i: F.array_contains(present, i.cast("bigint")).cast("int")
+    places = F.sequence(F.lit(1), F.lit(vocab_size - 1))
+    return let(
+        F.array_distinct(_c(seq)),
+        lambda present: F.transform(places, lambda i: F.array_contains(present, i.cast("bigint")).cast("int")),
     )
 
 
@@ -287,11 +288,15 @@ def longest_text(*columns: tuple[DataFrame, str]) -> Column:
 
 def qgrams(text: Column | str, q: int) -> Column:
     """Overlapping character q-grams of the whole text."""
-    chars = characters(text)
-    # positions come from an array of characters: taking substrings of a long
-    # string would rescan it from the start every time
-    grams = F.transform(F.sequence(F.lit(1), F.size(chars) - q + 1), lambda i: F.array_join(F.slice(chars, i, F.lit(q)), ""))
-    return F.when(F.size(chars) >= q, grams).otherwise(F.array().cast("array<string>"))
+    def grams(chars: Column) -> Column:
+        # slices of a character array: substrings of a long string would rescan
+        # it from the start every time
+        found = F.transform(
+            F.sequence(F.lit(1), F.size(chars) - q + 1), lambda i: F.array_join(F.slice(chars, i, F.lit(q)), "")
+        )
+        return F.when(F.size(chars) >= q, found).otherwise(F.array().cast("array<string>"))
+
+    return let(characters(text), grams)
 
 
 def qgram_fingerprint(df: DataFrame, ids: Sequence[str], text: str, q: int = 4, n_bits: int = 1024, counts: bool = False) -> DataFrame:
@@ -309,11 +314,16 @@ def qgram_fingerprint(df: DataFrame, ids: Sequence[str], text: str, q: int = 4,
 
 def bits_to_words(bits: Column, n_bits: int) -> Column:
     """Set positions (distinct) as 32-bit words, position p in word p/32."""
-    def word(w: Column) -> Column:
-        mine = F.filter(bits, lambda b: F.floor(b / 32) == w)
-        return F.aggregate(mine, F.lit(0).cast("bigint"), lambda a, b: a + F.pow(F.lit(2.0), b % 32).cast("bigint"))
+    places = F.sequence(F.lit(0), F.lit((n_bits + 31) // 32 - 1))
+
+    def words(set_bits: Column) -> Column:
+        def word(w: Column) -> Column:
+            mine = F.filter(set_bits, lambda b: F.floor(b / 32) == w)
+            return F.aggregate(mine, F.lit(0).cast("bigint"), lambda a, b: a + F.pow(F.lit(2.0), b % 32).cast("bigint"))
+
+        return F.transform(places, word)
 
-    return F.transform(F.sequence(F.lit(0), F.lit((n_bits + 31) // 32 - 1)), word)
+    return let(bits, words)
 
 
 # Fixed value: a Mersenne prime for the linear hash family.
@@ -326,10 +336,14 @@ def minhash_signature(text: Column | str, q: int = 4, n_hashes: int = 64, seed:
     hashes = F.array_distinct(F.transform(qgrams(text, q), lambda g: text_hash(g, 31) % MERSENNE))
     family = hash_family(n_hashes, seed)
     params = F.array(*[F.struct(F.lit(a).cast("bigint").alias("a"), F.lit(b).cast("bigint").alias("b")) for a, b in family])
-    return F.transform(
-        params,
-        lambda f: F.coalesce(F.array_min(F.transform(hashes, lambda h: (f["a"] * h + f["b"]) % MERSENNE)), F.lit(MERSENNE).cast("bigint")),
-    )
+    none = F.lit(MERSENNE).cast("bigint")
+
+    def signature(hs: Column) -> Column:
+        return F.transform(
+            params, lambda f: F.coalesce(F.array_min(F.transform(hs, lambda h: (f["a"] * h + f["b"]) % MERSENNE)), none)
+        )
+
+    return let(hashes, signature)
 
 
 def hash_family(n: int, seed: int) -> list[tuple[int, int]]:

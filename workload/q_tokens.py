@@ -275,9 +275,11 @@ def qgram_fingerprint(spark, sf):
 
 
 @query("tk22_qgram_counts", X.sql(D_GRAMS, body=f"""
-select doc_id, {_d_text_hash('x', 10)}%1024 as bit, count(*) as n from (select doc_id, unnest(g) x from grams) group by all"""))
+select bit, count(*) as n_docs, sum(n)::bigint as n from (select doc_id, {_d_text_hash('x', 10)}%1024 as bit, count(*) as n
+ from (select doc_id, unnest(g) x from grams) group by all) group by bit"""))
 def qgram_counts(spark, sf):
-    return T.qgram_fingerprint(X.table(spark, sf, "documents"), ["doc_id"], "text", counts=True)
+    cells = T.qgram_fingerprint(X.table(spark, sf, "documents"), ["doc_id"], "text", counts=True)
+    return cells.groupBy("bit").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("n"))
 
 
 _FAMILY = ", ".join(f"({i},{a},{b})" for i, (a, b) in enumerate(T.hash_family(32, 42)))
