@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from workload import q_features, q_io, q_profile, q_sampling, q_shape, q_splits, q_tokens  # noqa: F401
+from workload import q_features, q_io, q_profile, q_sampling, q_shape, q_similarity, q_splits, q_tokens  # noqa: F401
 from workload.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]
