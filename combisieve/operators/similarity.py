@@ -12,10 +12,12 @@ from pyspark.sql import Window as W
 
 from combisieve.functions.exprs import let
 from combisieve.operators.features import popcount
+from combisieve.operators.skew import fits, spread_join
 from combisieve.session import cut_lineage
 
 WORD_BITS = 32
 CELL_ROWS = 4_000
+BROADCAST_VECTORS = 20_000
 GRID_ROWS = 2_048
 METRICS = ("tanimoto", "dice", "cosine", "tversky")
 
@@ -89,12 +91,23 @@ def _ranked(vectors: DataFrame, rank: Column, bounds: DataFrame, side: str) -> D
 
     lo, hi, need = f"{side}_lo", f"{side}_hi", f"{side}_need"
     sized = vectors.withColumn("size", popcount("words")).join(F.broadcast(bounds), "size")
+    prefix = F.slice(let(F.col("words"), ranks), F.lit(1), F.col("size") - F.col(need) + 1)
     return sized.filter(F.col(lo) <= F.col(hi)).select(
-        "id", "copies", "words", "size", "band", "band_lo", "band_hi", lo, hi,
-        F.slice(let(F.col("words"), ranks), F.lit(1), F.col("size") - F.col(need) + 1).alias("prefix"),
+        F.col("id").alias(f"{side}_id"), F.col("size").alias(f"{side}_size"), lo, hi, "band", "band_lo", "band_hi",
+        F.posexplode(prefix).alias(f"{side}_pos", "bit"),
     )
 
 
+def _attach_vectors(pairs: DataFrame, vectors: DataFrame, side: str) -> DataFrame:
+    """Words of one side; a vector with very many candidates is spread."""
+    right = vectors.select(
+        F.col("id").alias(f"{side}_id"), F.col("words").alias(f"{side}_words"), F.col("copies").alias(f"{side}_copies")
+    )
+    if fits(vectors, BROADCAST_VECTORS):
+        return pairs.join(F.broadcast(right), f"{side}_id")
+    return spread_join(pairs, right, [f"{side}_id"], "inner", ["l_id", "r_id"])
+
+
 def similarity_pairs(
     left: DataFrame,
     right: DataFrame | None = None,
@@ -137,15 +150,8 @@ def similarity_pairs(
         "size int, band int, l_lo int, l_hi int, l_need int, band_lo int, band_hi int, r_lo int, r_hi int, r_need int",
     )
 
-    lp = _ranked(lv, rank, bounds, "l").select(
-        F.col("id").alias("l_id"), F.col("copies").alias("l_copies"), F.col("words").alias("l_words"),
-        F.col("size").alias("l_size"), "l_lo", "l_hi", F.col("prefix").alias("l_prefix"),
-        F.explode("prefix").alias("bit"), F.sequence("band_lo", "band_hi").alias("bands"),
-    ).withColumn("band", F.explode("bands")).drop("bands")
-    rp = _ranked(rv, rank, bounds, "r").select(
-        F.col("id").alias("r_id"), F.col("copies").alias("r_copies"), F.col("words").alias("r_words"),
-        F.col("size").alias("r_size"), F.col("prefix").alias("r_prefix"), F.explode("prefix").alias("bit"), "band",
-    )
+    lp = _ranked(lv, rank, bounds, "l").withColumn("band", F.explode(F.sequence("band_lo", "band_hi"))).drop("band_lo", "band_hi")
+    rp = _ranked(rv, rank, bounds, "r").drop("band_lo", "band_hi", "r_lo", "r_hi")
     # at most n_bits * n_bands rows each: how many parts a list is cut into
     lc = lp.groupBy("bit", "band").agg(F.ceil(F.count(F.lit(1)) / CELL_ROWS).cast("int").alias("l_parts"))
     rc = rp.groupBy("bit", "band").agg(F.ceil(F.count(F.lit(1)) / CELL_ROWS).cast("int").alias("r_parts"))
@@ -160,14 +166,18 @@ def similarity_pairs(
     }).drop("l_parts", "r_parts")
 
     pairs = lp.join(rp, ["bit", "band", "l_part", "r_part"])
-    fits = F.col("r_size").between(F.col("l_lo"), F.col("l_hi"))
+    keep = F.col("r_size").between(F.col("l_lo"), F.col("l_hi"))
     if right is None:
-        fits = fits & (F.col("l_id") < F.col("r_id"))
-    # a pair that shares several prefix bits is taken at the first of them
-    first = F.array_min(F.array_intersect("l_prefix", "r_prefix")) == F.col("bit")
-    sim = similarity_of(F.col("common"), F.col("l_size"), F.col("r_size"), metric, alpha, beta)
-    scored = pairs.filter(fits).filter(first).withColumn("common", common_bits("l_words", "r_words"))
-    return scored.select(
+        keep = keep & (F.col("l_id") < F.col("r_id"))
+    # at their first common bit two vectors share at most what is left of either
+    most = F.least(F.col("l_size") - F.col("l_pos"), F.col("r_size") - F.col("r_pos"))
+    sizes = F.col("l_size"), F.col("r_size")
+    keep = keep & (similarity_of(most, *sizes, metric, alpha, beta) >= F.lit(threshold - 1e-9))
+    # only ids travel until the candidates are distinct
+    found = pairs.filter(keep).select("l_id", "r_id", "l_size", "r_size").distinct()
+    full = _attach_vectors(_attach_vectors(found, lv, "l"), rv, "r")
+    sim = similarity_of(common_bits("l_words", "r_words"), *sizes, metric, alpha, beta)
+    return full.select(
         F.col("l_id").alias("left_id"), F.col("r_id").alias("right_id"), sim.alias("similarity"),
         F.col("l_copies").alias("left_copies"), F.col("r_copies").alias("right_copies"),
     ).filter(F.col("similarity") >= F.lit(threshold))
