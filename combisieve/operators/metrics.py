@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 
 from combisieve import TARGETS
 from combisieve.operators.ordering import prefix_sums, quantile_bucket
+from combisieve.session import cut_lineage
 
 # The row subsets of each named part and the parts each roll-up averages.
 PARTS = {"nonshare": (0,), "share": (1, 2, 3), "share1": (1,), "share2": (2, 3)}
@@ -50,6 +51,9 @@ def ap_from_counts(counts: DataFrame, by: Sequence[str]) -> DataFrame:
     sum over descending thresholds of (recall step) * precision; NULL without
     positives."""
     by = list(by)
+    # read three times below (cut points, bucket totals, running sums): written
+    # once instead of scoring again
+    counts = cut_lineage(counts)
     run = prefix_sums(
         quantile_bucket(counts, "score", descending=True),
         "__b",

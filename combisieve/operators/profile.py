@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from combisieve import TARGETS
 from combisieve.operators.ordering import bucket_bits, prefix_sums, quantile_bucket
 from combisieve.operators.skew import attach_totals, scalar
+from combisieve.session import cut_lineage
 
 # the largest finite half-precision number
 HALF_MAX = 65504.0
@@ -53,6 +54,7 @@ def quantiles_from_counts(
     group with most of the rows has to fit a single task.
     """
     by = list(by)
+    counts = cut_lineage(counts)
     src = counts if bucket else quantile_bucket(counts, value)
     run = prefix_sums(src, bucket or "__b", [F.col(value)], {"__cum": F.col("n")}, by)
     totals = counts.groupBy(*by).agg(F.sum("n").alias("__n"))
@@ -204,7 +206,7 @@ def concentration(df: DataFrame, key: str, row_share: float = 0.8) -> DataFrame:
     """Cumulative share of groups and rows by group size, from the largest and
     from the smallest; ``is_cut`` marks the size where the groups up to it first
     hold ``row_share`` of the rows."""
-    hist = size_histogram(df, key).withColumn("rows", F.col("size") * F.col("n_groups"))
+    hist = cut_lineage(size_histogram(df, key).withColumn("rows", F.col("size") * F.col("n_groups")))
     sums = {"groups_up_to": F.col("n_groups"), "rows_up_to": F.col("rows")}
     # a size histogram is one row per size, so the buckets are balanced
     run = prefix_sums(quantile_bucket(hist, "size"), "__b", [F.col("size")], sums)

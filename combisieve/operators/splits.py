@@ -16,6 +16,7 @@ from combisieve.operators.ordering import hash_rank, row_index
 from combisieve.operators.predicates import in_sets, member
 from combisieve.operators.sampling import subsample
 from combisieve.operators.skew import BROADCAST_ROWS, attach_totals
+from combisieve.session import cut_lineage
 
 # Sizes of the second-stage and of the second-plus-third-stage
 # test parts relative to the number of fully held-out rows.
@@ -77,7 +78,8 @@ def largest_first_plan(histogram: Iterable[tuple[int, int]], k: int) -> tuple[li
 
 def group_folds(df: DataFrame, key: str, k: int, seed: object = 42, name: str = "fold_idx") -> tuple[DataFrame, list[int]]:
     """``(key, group_size, fold)`` for whole-group folds, and the fold loads."""
-    sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("group_size"))
+    # one row per group, read for the histogram, the ranks and the join
+    sizes = cut_lineage(df.groupBy(key).agg(F.count(F.lit(1)).alias("group_size")))
     hist = sizes.groupBy("group_size").agg(F.count(F.lit(1)).alias("n"))
     plan, loads = largest_first_plan([(r[0], r[1]) for r in hist.collect()], k)
     table = df.sparkSession.createDataFrame(plan, "group_size bigint, __ends array<bigint>")
@@ -134,7 +136,7 @@ def stratified_group_folds(
     """
     within = list(within)
     spark = df.sparkSession
-    cells = df.groupBy(*within, key, label).agg(F.count(F.lit(1)).alias("__n"))
+    cells = cut_lineage(df.groupBy(*within, key, label).agg(F.count(F.lit(1)).alias("__n")))
     sizes = cells.groupBy(*within, key).agg(F.sum("__n").alias("group_size"))
     parts = max(1, sizes.select(*within).distinct().count()) if within else 1
     limit = max(k, units // parts)
@@ -257,18 +259,21 @@ def three_stage_split(
     seed: object = 42,
     train_only: Mapping[str, Iterable[int]] | None = None,
 ) -> DataFrame:
-    """Adds ``subset``: 0 all blocks held out, 1 some block held out, 2 whole
-    small scaffolds, 3 stratified rows, NULL the rest (train).
+    """``(ids, label, subset)``: 0 all blocks held out, 1 some block held out, 2
+    whole small scaffolds, 3 stratified rows, NULL the rest (train).
 
     Rows that are neither test nor, with ``train_only``, made of train-only
-    blocks are dropped.
+    blocks are dropped.  Stage sizes depend on the data, so the few columns that
+    decide are written once and every stage reads those.
     """
     all_in, any_in = in_sets(held, "all"), in_sets(held, "any")
     open_row = ~any_in if train_only is None else in_sets(train_only, "all")
     staged = df.withColumn("__s1", F.when(all_in, F.lit(0)).when(any_in, F.lit(1)))
     staged = staged.withColumn("__open", open_row).filter("__s1 is not null or __open")
     small = F.col("__open") & F.col(size_col).between(1, size_cut)
-    staged = staged.withColumn("__small", small)
+    staged = cut_lineage(
+        staged.select(*ids, scaffold, label, "__s1", "__open", small.alias("__small"))
+    )
     n0, n_open, n_small = staged.agg(
         F.count_if(F.col("__s1") == 0), F.count_if("__open"), F.count_if("__small")
     ).first()
@@ -297,7 +302,7 @@ def three_stage_split(
         .when(F.col("__s2"), F.lit(2))
         .when(F.col("__r3") % k3 == 0, F.lit(3))
     )
-    return staged.select(*df.columns, subset.cast("int").alias("subset"))
+    return staged.select(*ids, label, subset.cast("int").alias("subset"))
 
 
 def sample_blocks(df: DataFrame, fractions: Mapping[str, float], seed: object = 42) -> DataFrame:

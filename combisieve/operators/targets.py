@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from combisieve import TARGETS
 from combisieve.operators.joins import left_join_m1
 from combisieve.operators.profile import positive_rate, positive_rate_union, quantiles_from_counts
+from combisieve.session import cut_lineage
 
 # Ways to combine the rates p1 (first block) and p2, p3 (pair blocks).
 FORMS = {
@@ -28,8 +29,10 @@ def rate_baseline(
     """``scored`` plus ``pred_{target}`` (one form) or ``{form}_{target}``:
     scores from the positive rates of the blocks in ``train``; an unknown block
     has rate 0."""
-    first = positive_rate(train, ["bb1"], targets).drop("n").withColumnsRenamed({t: f"__1{t}" for t in targets})
-    pair = positive_rate_union(train, ("bb2", "bb3"), "bb23", targets).drop("n")
+    # one row per block, joined (and size-checked) several times
+    first = cut_lineage(positive_rate(train, ["bb1"], targets).drop("n"))
+    first = first.withColumnsRenamed({t: f"__1{t}" for t in targets})
+    pair = cut_lineage(positive_rate_union(train, ("bb2", "bb3"), "bb23", targets).drop("n"))
     out = left_join_m1(scored, first, ["bb1"])
     for col, tag in (("bb2", "__2"), ("bb3", "__3")):
         side = pair.withColumnsRenamed({"bb23": col, **{t: f"{tag}{t}" for t in targets}})

@@ -14,6 +14,7 @@ from combisieve.functions.exprs import let
 from combisieve.functions.hashing import text_hash
 from combisieve.operators.ordering import row_index
 from combisieve.operators.skew import attach_totals, broadcast_if_small, fits, scalar, spread_join
+from combisieve.session import cut_lineage
 
 # Special tokens in id order and the multi-character tokens of
 # the character tokeniser.
@@ -62,6 +63,7 @@ def token_counts(df: DataFrame, tokens: Column | str = "tokens", by: Sequence[st
 def build_vocab(counts: DataFrame, specials: Sequence[str] = SPECIALS) -> DataFrame:
     """``(token, id, n)``: specials first, then tokens by count, ties by text."""
     spark = counts.sparkSession
+    counts = cut_lineage(counts)
     fixed = spark.createDataFrame([(t, i) for i, t in enumerate(specials)], "token string, id bigint")
     plain = counts.filter(~F.col("token").isin(list(specials))).withColumn("__o", -F.col("n"))
     ranked = row_index(plain, ["__o", "token"], "id").select("token", (F.col("id") + len(specials)).alias("id"), "n")

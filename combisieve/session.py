@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,3 +56,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give Python workers this package (what ``--py-files`` does), once per
+    application."""
+    sc = spark.sparkContext
+    if getattr(sc, "_combisieve_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    archive = shutil.make_archive(f"{tempfile.mkdtemp()}/combisieve", "zip", root, "combisieve")
+    sc.addPyFile(archive)
+    sc._combisieve_shipped = True

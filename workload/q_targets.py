@@ -246,11 +246,6 @@ def stream_column_profile(spark, sf):
 
 # --- batch functions --------------------------------------------------------------
 
-@batch.register_feature("letter_counts")
-def letter_counts(texts: list[str]) -> np.ndarray:
-    return np.array([[t.count("C"), t.count("N"), t.count("O"), len(t)] for t in texts], dtype=float)
-
-
 @query("ud1_extract_features", X.sql(X.D_LIB, body="select mol_id, " + ", ".join(
     f"(len(molecule)-len(replace(molecule,'{c}','')))::int as n_{c}" for c in "CNO") + ", (len(molecule)*2)::int as twice from lib"))
 def extract_features(spark, sf):
