@@ -58,7 +58,7 @@ def component_roots(edges: DataFrame, src: str = "src", dst: str = "dst") -> Dat
     before = None
     while before != (now := mark(current)):
         before = now
-        current = cut_lineage(_star(_star(current, True), False))
+        current = cut_lineage(_star(cut_lineage(_star(current, True)), False))
     roots = current.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 

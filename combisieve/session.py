@@ -49,13 +49,18 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably, so that loops and data-dependent plans
-    survive lost executors and do not grow their lineage."""
+    """Write ``df`` to the shared folder and read it back, so that loops and
+    data-dependent plans survive lost executors and do not grow their lineage.
+
+    A written table rather than ``checkpoint()``: a checkpoint keeps the size
+    estimate of the plan it cuts, and estimates of joins are products, so in a
+    loop they outgrow any number; files have their true size, and later reads
+    prune columns and push filters down.
+    """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    path = scratch_path(spark, "cut")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def ship_package(spark: SparkSession) -> None:
