@@ -46,6 +46,8 @@ def prefix_sums(
         *[F.col(c).alias(f"__k_{c}") for c in within + [bucket]],
         *[F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)).alias(f"__o_{n}") for n in names],
     )
+    if not within:
+        offsets = F.broadcast(offsets)
     inside = W.partitionBy(*within, bucket).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
     running = src.withColumns({f"__r_{n}": F.sum(f"__v_{n}").over(inside) for n in names})
     cond = [F.col(c).eqNullSafe(F.col(f"__k_{c}")) for c in within + [bucket]]
@@ -79,7 +81,7 @@ def quantile_bucket(df: DataFrame, col: str, name: str = "__b", descending: bool
     """Add an order-preserving bucket of a numeric column, cut at approximate
     quantiles.  Any cut points give right results; they only balance the work.
     Group equal values first, so that a value shared by many rows is one row."""
-    n = 2 ** min(10, bucket_bits(df.sparkSession))
+    n = 2 ** min(12, bucket_bits(df.sparkSession))
     cuts = df.approxQuantile(col, [i / n for i in range(1, n)], 1 / (4 * n))
     splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
     bucketed = Bucketizer(
