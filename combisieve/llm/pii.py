@@ -92,7 +92,7 @@ _SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four"
 _WORD = "|".join(_SPELLED)
 # a run of at least three figures, spelled or written, one of them spelled
 _FIGURES = re.compile(rf"(?i)(?<![a-z0-9])(?:plus[\x20])?(?:(?:{_WORD}|[0-9]++)(?:[\x20.-]|\x20-\x20|,\x20)){{2,}}(?:{_WORD}|[0-9]++)(?![a-z0-9])")
-_FIGURE = re.compile(rf"(?i){_WORD}|[0-9]+|plus")
+_FIGURE = re.compile(rf"(?i){_WORD}|[0-9]+|plus|,\x20")
 _SIGN = r"\x20?(?:\[\x20?{0}\x20?\]|\(\x20?{0}\x20?\)|\{{\x20?{0}\x20?\}}|<\x20?{0}\x20?>)\x20?|\x20{0}\x20"
 _AT, _DOT = _SIGN.format("at"), _SIGN.format("dot")
 # a written-out sign counts inside something shaped like a whole address
@@ -141,16 +141,15 @@ def _figures(text: str) -> list[tuple[int, int, str]]:
     out = []
     for run in _FIGURES.finditer(text):
         found = list(_FIGURE.finditer(run[0]))
-        if all(m[0].isdigit() for m in found):
+        if all(m[0].isdigit() or m[0] == ", " for m in found):
             continue
         for m in found:
             word = m[0].lower()
-            if not word.isdigit():
+            if word == ", ":
+                out.append((run.start() + m.start(), run.start() + m.end(), " "))
+            elif not word.isdigit():
                 new = "+" if word == "plus" else _SPELLED[word]
-                # "plus four" and "four four" stand close together once rewritten
-                end = m.end()
-                if end < len(run[0]) and run[0][end] == " " and word == "plus":
-                    end += 1
+                end = m.end() + (word == "plus")  # with the space behind it
                 out.append((run.start() + m.start(), run.start() + end, new))
     return out
 
