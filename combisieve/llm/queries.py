@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from combisieve.llm import decontam, jaccard, langid, licenses, pii, quality
+from combisieve.llm import decontam, jaccard, langid, licenses, pii, quality, tokenbin, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -137,3 +137,27 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.drop("lang"), model).select(
         "doc_id", "held_out", F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"), F.col("language.rejected").alias("rejected")
     )
+
+
+@query("op5_bit_packed_tokens")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    written = tokenbin.write_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2, by_word=True)
+    return tokenbin.read_tokens(written)
+
+
+OP7_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+leaders AS (SELECT payload_digest, min(page_id) AS leader FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN leader IS NULL OR leader = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN leader <> page_id THEN leader END AS refers_to
+FROM p LEFT JOIN leaders USING (payload_digest)
+"""
+
+
+@query("op7_warc_index_merge", OP7_SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.capture_histories(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
