@@ -400,3 +400,15 @@ def similar_classes(
         F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"),
         F.coalesce("component", "doc").alias("component_id"),
     )
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` without near copies: of each component the document
+    with the smallest id stays, and rows that repeat its id and text stay once.
+    Rows without an id or without words always stay."""
+    classes = similar_classes(docs, doc_id, text, n, percent)
+    gone = classes.filter("component_id < " + doc_id).select(F.col(doc_id).alias("__gone")).distinct()
+    rows = docs.select(F.struct("*").alias("__row"), F.col(doc_id).alias("__id"), F.xxhash64(text).alias("__mark"), (F.col(doc_id).isNull()).alias("__free"))
+    left = rows.join(gone, F.col("__id") == F.col("__gone"), "left_anti")
+    once = left.filter("not __free").dropDuplicates(["__id", "__mark"])
+    return once.unionByName(left.filter("__free")).select("__row.*")

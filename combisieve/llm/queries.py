@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from combisieve.llm import decontam, jaccard, langid, licenses, pii, quality, tokenbin, warc
+from combisieve.llm import decontam, jaccard, langid, licenses, mixing, pii, quality, sharding, tokenbin, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -161,3 +161,16 @@ FROM p LEFT JOIN leaders USING (payload_digest)
 @query("op7_warc_index_merge", OP7_SQL)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.capture_histories(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op1_multinomial_block_mix")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.taken().select(F.col("key.doc").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+@query("op9_histogram_shards")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", "size", F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
