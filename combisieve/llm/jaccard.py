@@ -4,9 +4,10 @@ n-gram incidence matrix.
 1. Documents with the same set of n-grams form a class; one row stands for it.
 2. *Blocks.*  Two sets of sizes a, b with ``100 * inter >= percent * union``
    differ in at most ``(100 - percent) * (a + b) / (100 + percent)`` n-grams.
-   Cut the hash range into more bands than that and one band at least holds the
-   same n-grams in both.  Sets that agree on a band are put into one block
-   (their connected components), so that no link leaves a block.
+   Cut the hash range into more bands than that, and all bands but so many hold
+   the same n-grams in both.  Sets that share fewer bands with others have no
+   link; the rest that agree on a band are put into one block (their connected
+   components), so that no link leaves a block.
 3. *Product.*  In a block, sets sorted by size are cut into runs; a task takes
    two runs, multiplies their incidence columns slice by slice, adds up the
    overlap counts and discards pairs below the bound that their sizes set.  Run
@@ -98,27 +99,32 @@ def size_class(n: int, percent: int) -> int:
 
 def band_count(k: int, percent: int) -> tuple[int, int]:
     """``(bands, largest difference)`` for pairs whose larger set lies in
-    interval ``k``.  The bands beyond the difference make room for empty ones."""
+    interval ``k``.  Linked sets agree on all bands but so many; a set that
+    agrees with others on fewer has no link."""
     d = (100 - percent) * 2 * size_limits(percent)[k] // (100 + percent)
-    return d + 1 + max(2, d // 32), d
+    return d + 1 + max(2, d // 4), d
 
 
-def band_keys(gram: np.ndarray, k: int, percent: int) -> np.ndarray:
-    """Keys of the bands of one set for interval ``k``.  Bands without n-grams
-    have no key, unless so many are empty that they may be all that agrees."""
+def band_keys(gram: np.ndarray, k: int, percent: int) -> tuple[np.ndarray, int]:
+    """Keys of the bands of one set for interval ``k`` (the lowest bit tells an
+    odd ``k``), and how many of them a partner must have too.  Bands without
+    n-grams have no key, unless so many are empty that they may be all that
+    agrees."""
     bands, d = band_count(k, percent)
     if d == 0:
-        return np.zeros(0, np.uint64)  # equal sets only: one class already
+        return np.zeros(0, np.uint64), 1  # equal sets only: one class already
     band = ((gram >> np.uint64(32)) * np.uint64(bands)) >> np.uint64(32)
     starts = np.flatnonzero(np.concatenate([[True], band[1:] != band[:-1]]))
     content = np.add.reduceat(mix(gram ^ np.uint64(k + 1)), starts)
     own = band[starts]
-    if bands - len(own) >= bands - d:
+    need = bands - d - (bands - len(own))
+    if need <= 0:
         own = np.arange(bands, dtype=np.uint64)
         full = np.zeros(bands, np.uint64)
         full[band[starts].astype(np.int64)] = content
-        content = full
-    return mix(content + mix(own + (np.uint64(k + 1) << np.uint64(40))))
+        content, need = full, 1
+    key = mix(content + mix(own + (np.uint64(k + 1) << np.uint64(40))))
+    return (key & ~np.uint64(1)) | np.uint64(k & 1), need
 
 
 def _described(n: int):
@@ -151,26 +157,50 @@ def _set_column(n: int):
     return array_udf(run, "struct<id:bigint,grams:binary>")
 
 
-def _emit_bands(n: int, percent: int, buckets: int):
-    """Per task: (bucket, keys and set ids of the bands that fall in it)."""
-
-    def flush(keys: list[np.ndarray], ids: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        key, own = np.concatenate(keys), np.concatenate(ids)
-        bucket = ((key >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-        order = np.argsort(bucket, kind="stable")
-        cut = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
-        pairs = np.stack([key[order], own[order]], 1)
-        full = np.flatnonzero(np.diff(cut))
-        payload = pa.array([pairs[cut[b] : cut[b + 1]].tobytes() for b in full], pa.binary())
+#: A band key of a set, and how many of its keys must be shared.
+POSTING = np.dtype([("key", "<u8"), ("own", "<i8"), ("need", "<u4")])
+
+
+def _dealt(postings: np.ndarray, by: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """(bucket, postings) rows by the high bits of ``by``."""
+    bucket = ((by >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    order = np.argsort(bucket, kind="stable")
+    cut = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
+    postings = postings[order]
+    full = np.flatnonzero(np.diff(cut))
+    payload = pa.array([postings[cut[b] : cut[b + 1]].tobytes() for b in full], pa.binary())
+    if len(full):
         yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), payload], ["bucket", "payload"])
 
+
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """All postings of each bucket (the rows of a task are sorted by bucket)."""
+    at, parts = None, []
+    for batch in batches:
+        for bucket, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if bucket != at and parts:
+                yield np.frombuffer(b"".join(parts), POSTING)
+                parts = []
+            at = bucket
+            parts.append(payload)
+    if parts:
+        yield np.frombuffer(b"".join(parts), POSTING)
+
+
+def _emit_bands(n: int, percent: int, buckets: int):
+    """Postings of all bands, dealt by key."""
+
+    def flush(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        postings = np.concatenate(held)
+        yield from _dealt(postings, postings["key"], buckets)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, ids, held = [], [], 0
+        held, count = [], 0
         seen: set[int] = set()  # classes already told by this task
         for batch in batches:
             for _, block in blocks(batch.column(0), SPACED, fold_case=True):
                 gram, first = sets_of(block, n)
-                for d, own in enumerate(set_id(gram, first).tolist()):
+                for d, own in enumerate(set_id(gram, first).view(np.int64).tolist()):
                     size = int(first[d + 1] - first[d])
                     if not size or own in seen:
                         continue
@@ -178,15 +208,58 @@ def _emit_bands(n: int, percent: int, buckets: int):
                         seen.add(own)
                     k = size_class(size, percent)
                     for other in (k, k + 1):
-                        key = band_keys(gram[first[d] : first[d + 1]], other, percent)
-                        keys.append(key)
-                        ids.append(np.full(len(key), own, np.uint64))
-                        held += len(key)
-                if held > 1_000_000:
-                    yield from flush(keys, ids)
-                    keys, ids, held = [], [], 0
-        if held:
-            yield from flush(keys, ids)
+                        key, need = band_keys(gram[first[d] : first[d + 1]], other, percent)
+                        postings = np.empty(len(key), POSTING)
+                        postings["key"], postings["own"], postings["need"] = key, own, need
+                        held.append(postings)
+                        count += len(key)
+                if count > 500_000:
+                    yield from flush(held)
+                    held, count = [], 0
+        if count:
+            yield from flush(held)
+
+    return run
+
+
+def _shared(postings: np.ndarray) -> np.ndarray:
+    """Postings, once each, whose key more than one set has, sorted by key."""
+    postings = postings[np.lexsort((postings["own"], postings["key"]))]
+    key, own = postings["key"], postings["own"]
+    fresh = np.ones(len(key), bool)
+    fresh[1:] = (key[1:] != key[:-1]) | (own[1:] != own[:-1])
+    postings = postings[fresh]
+    key = postings["key"]
+    both = np.zeros(len(key) + 1, bool)
+    both[1:-1] = key[1:] == key[:-1]
+    return postings[both[1:] | both[:-1]]
+
+
+def _collisions(buckets: int):
+    """Shared postings, dealt by set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for postings in _by_bucket(batches):
+            found = _shared(postings)
+            yield from _dealt(found, mix(found["own"].view(np.uint64)), buckets)
+
+    return run
+
+
+def _hopeful(buckets: int):
+    """Postings of sets that share as many keys as a linked set must, dealt by
+    key again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for postings in _by_bucket(batches):
+            odd = (postings["key"] & np.uint64(1)).astype(np.int64)
+            order = np.lexsort((odd, postings["own"]))
+            own, odd = postings["own"][order], odd[order]
+            starts = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (odd[1:] != odd[:-1])]))
+            counts = np.diff(np.concatenate([starts, [len(own)]]))
+            enough = np.repeat(counts >= postings["need"][order][starts], counts)
+            found = postings[order[enough]]
+            yield from _dealt(found, found["key"], buckets)
 
     return run
 
@@ -212,30 +285,13 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spanning forest of the sets that share a band key, bucket by bucket (the
-    rows of a task are sorted by bucket)."""
-
-    def solve(parts: list[bytes]) -> pa.RecordBatch:
-        pairs = np.frombuffer(b"".join(parts), np.uint64).reshape(-1, 2)
-        order = np.argsort(pairs[:, 0], kind="stable")
-        key, own = pairs[order, 0], pairs[order, 1].view(np.int64)
+    """Spanning forest of the sets that share a key, bucket by bucket."""
+    for postings in _by_bucket(batches):
+        found = _shared(postings)
+        key, own = found["key"], found["own"]
         same = np.flatnonzero(key[1:] == key[:-1])
-        a, b = own[same], own[same + 1]
-        other = a != b
-        edges = np.unique(np.stack([a[other], b[other]], 1), axis=0) if other.any() else np.zeros((0, 2), np.int64)
-        x, y = _forest(edges[:, 0], edges[:, 1])
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["src", "dst"])
-
-    at, parts = None, []
-    for batch in batches:
-        for bucket, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if bucket != at and parts:
-                yield solve(parts)
-                parts = []
-            at = bucket
-            parts.append(payload)
-    if parts:
-        yield solve(parts)
+        x, y = _forest(own[same], own[same + 1])
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["src", "dst"])
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarray:
@@ -363,11 +419,12 @@ def similar_classes(
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = parts * BUCKETS_PER_PARTITION
-    # a bucket id hashed to a task, whole buckets in sorted order: see _candidates
-    bands = docs.select("text").mapInArrow(_emit_bands(n, percent, buckets), "bucket int, payload binary")
-    candidates = (
-        bands.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_candidates, "src bigint, dst bigint")
-    )
+    held, edges = "bucket int, payload binary", "src bigint, dst bigint"
+    dealt = lambda df: df.repartition(parts, "bucket").sortWithinPartitions("bucket")
+    bands = docs.select("text").mapInArrow(_emit_bands(n, percent, buckets), held)
+    shared = dealt(bands).mapInArrow(_collisions(buckets), held)
+    hopeful = dealt(shared).mapInArrow(_hopeful(buckets), held)
+    candidates = dealt(hopeful).mapInArrow(_candidates, edges)
     block_of = component_roots(candidates)
     members = cut_lineage(block_of.join(classes, block_of.node == classes.id).select("id", F.col("root").alias("block"), "low", "n"))
     wanted = members.select("low", F.col("id").alias("member"))
