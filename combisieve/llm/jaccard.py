@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import bisect
 import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +36,11 @@ from combisieve.session import cut_lineage
 #: A run holds about so many sets, and so many n-grams, at most.
 RUN_SETS, RUN_GRAMS = 512, 2_000_000
 SLICE_COLUMNS = 4096
-BUCKETS_PER_PARTITION = 4
+BUCKETS_PER_PARTITION = 2
 #: Up to so many rows of two longs (16 MB) are broadcast, more are shuffled.
 BROADCAST_ROWS = 1_000_000
+#: Postings that a task gathers before it deals them out (20 bytes each).
+HELD_POSTINGS = 500_000
 #: Sets that a task remembers to have told already; only saves work.
 REMEMBERED = 200_000
 
@@ -161,16 +163,30 @@ def _set_column(n: int):
 POSTING = np.dtype([("key", "<u8"), ("own", "<i8"), ("need", "<u4")])
 
 
-def _dealt(postings: np.ndarray, by: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
-    """(bucket, postings) rows by the high bits of ``by``."""
-    bucket = ((by >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-    order = np.argsort(bucket, kind="stable")
-    cut = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
-    postings = postings[order]
-    full = np.flatnonzero(np.diff(cut))
-    payload = pa.array([postings[cut[b] : cut[b + 1]].tobytes() for b in full], pa.binary())
-    if len(full):
-        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), payload], ["bucket", "payload"])
+def _dealt(found: Iterator[np.ndarray], by: Callable[[np.ndarray], np.ndarray], buckets: int) -> Iterator[pa.RecordBatch]:
+    """(bucket, postings) rows by the high bits of ``by``.  A task gathers its
+    postings first, so it makes few rows for each bucket."""
+
+    def flush(held: list[np.ndarray]) -> pa.RecordBatch:
+        postings = np.concatenate(held)
+        bucket = ((by(postings) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+        order = np.argsort(bucket, kind="stable")
+        cut = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
+        postings = postings[order]
+        full = np.flatnonzero(np.diff(cut))
+        payload = pa.array([postings[cut[b] : cut[b + 1]].tobytes() for b in full], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), payload], ["bucket", "payload"])
+
+    held, count = [], 0
+    for postings in found:
+        if len(postings):
+            held.append(postings)
+            count += len(postings)
+        if count > HELD_POSTINGS:
+            yield flush(held)
+            held, count = [], 0
+    if count:
+        yield flush(held)
 
 
 def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
@@ -190,12 +206,7 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
 def _emit_bands(n: int, percent: int, buckets: int):
     """Postings of all bands, dealt by key."""
 
-    def flush(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        postings = np.concatenate(held)
-        yield from _dealt(postings, postings["key"], buckets)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, count = [], 0
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         seen: set[int] = set()  # classes already told by this task
         for batch in batches:
             for _, block in blocks(batch.column(0), SPACED, fold_case=True):
@@ -211,17 +222,22 @@ def _emit_bands(n: int, percent: int, buckets: int):
                         key, need = band_keys(gram[first[d] : first[d + 1]], other, percent)
                         postings = np.empty(len(key), POSTING)
                         postings["key"], postings["own"], postings["need"] = key, own, need
-                        held.append(postings)
-                        count += len(key)
-                if count > 500_000:
-                    yield from flush(held)
-                    held, count = [], 0
-        if count:
-            yield from flush(held)
+                        yield postings
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _dealt(found(batches), _by_key, buckets)
 
     return run
 
 
+def _by_key(postings: np.ndarray) -> np.ndarray:
+    return postings["key"]
+
+
+def _by_set(postings: np.ndarray) -> np.ndarray:
+    return mix(postings["own"].view(np.uint64))
+
+
 def _shared(postings: np.ndarray) -> np.ndarray:
     """Postings, once each, whose key more than one set has, sorted by key."""
     postings = postings[np.lexsort((postings["own"], postings["key"]))]
@@ -239,27 +255,26 @@ def _collisions(buckets: int):
     """Shared postings, dealt by set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for postings in _by_bucket(batches):
-            found = _shared(postings)
-            yield from _dealt(found, mix(found["own"].view(np.uint64)), buckets)
+        yield from _dealt(map(_shared, _by_bucket(batches)), _by_set, buckets)
 
     return run
 
 
+def _enough(postings: np.ndarray) -> np.ndarray:
+    """Postings of sets that share as many keys as a linked set must."""
+    odd = (postings["key"] & np.uint64(1)).astype(np.int64)
+    order = np.lexsort((odd, postings["own"]))
+    own, odd = postings["own"][order], odd[order]
+    starts = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (odd[1:] != odd[:-1])]))
+    counts = np.diff(np.concatenate([starts, [len(own)]]))
+    return postings[order[np.repeat(counts >= postings["need"][order][starts], counts)]]
+
+
 def _hopeful(buckets: int):
-    """Postings of sets that share as many keys as a linked set must, dealt by
-    key again."""
+    """Those that are ``_enough``, dealt by key again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for postings in _by_bucket(batches):
-            odd = (postings["key"] & np.uint64(1)).astype(np.int64)
-            order = np.lexsort((odd, postings["own"]))
-            own, odd = postings["own"][order], odd[order]
-            starts = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (odd[1:] != odd[:-1])]))
-            counts = np.diff(np.concatenate([starts, [len(own)]]))
-            enough = np.repeat(counts >= postings["need"][order][starts], counts)
-            found = postings[order[enough]]
-            yield from _dealt(found, found["key"], buckets)
+        yield from _dealt(map(_enough, _by_bucket(batches)), _by_key, buckets)
 
     return run
 
