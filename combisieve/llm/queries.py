@@ -106,7 +106,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = lambda x: F.array_join(
         F.transform(x, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ","
     )
-    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in pii.KINDS]
+    count = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("bigint")
+    counts = [count(kind).alias(f"n_{kind}") for kind in pii.KINDS]
     return pii.find_identifiers(docs).select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(spans).alias("spans"))
 
 
