@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from combisieve.functions.exprs import let
+from combisieve.operators.joins import one_to_one
 from combisieve.operators.profile import HALF_MAX, column_range
 
 
@@ -87,11 +88,12 @@ def drop_columns(vector: Column | str, positions: Sequence[int]) -> Column:
 
 def concat_features(tables: Sequence[tuple[DataFrame, str]], key: str, name: str | None = "features") -> DataFrame:
     """Feature tables side by side by key: one long vector, or one column per
-    table when ``name`` is None."""
+    table when ``name`` is None.  A key that a table lacks or repeats fails the
+    query."""
     out = None
     for df, col in tables:
         part = df.select(key, F.col(col))
-        out = part if out is None else out.join(part, key)
+        out = part if out is None else one_to_one(out, part, key)
     cols = [c for _, c in tables]
     return out.select(key, F.concat(*cols).alias(name)) if name else out.select(key, *cols)
 

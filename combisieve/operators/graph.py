@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from combisieve.operators.ordering import row_index
-from combisieve.operators.skew import attach_totals, scalar
+from combisieve.operators.skew import attach_totals, scalar, spread_join
 from combisieve.session import cut_lineage
 
 
@@ -78,7 +78,7 @@ def component_coverage(df: DataFrame, components: DataFrame, cols: Sequence[str]
     keyed = combos.withColumn("combo", F.struct(*cols)).select(
         "combo", "n", F.explode(F.array_distinct(F.array(*cols))).alias("block")
     )
-    hit = keyed.join(table, "block").select("combo", "n", "component").distinct()
+    hit = spread_join(keyed, table, ["block"], "inner", ["combo"]).select("combo", "n", "component").distinct()
     total = scalar(df, F.count(F.lit(1)))
     blocks = components.groupBy("component").agg(F.count(F.lit(1)).alias("n_blocks"))
     rows = hit.groupBy("component").agg(F.sum("n").alias("n_rows"))

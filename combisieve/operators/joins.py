@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from combisieve.functions.checks import require
@@ -20,7 +21,8 @@ def left_join_m1(left: DataFrame, right: DataFrame, on: Sequence[str], suffix: s
     on = list(on)
     values = [c for c in right.columns if c not in on]
     packed = right.groupBy(*on).agg(F.count(F.lit(1)).alias("__n"), F.max(F.struct(*values)).alias("__v"))
-    unique = packed.select(*on, require(F.col("__n") == 1, F.col("__v"), "join key repeats on the right").alias("__v"))
+    # checked in the key, which no column pruning can take out of the join
+    unique = packed.select(*[require(F.col("__n") == 1, F.col(k), "join key repeats on the right").alias(k) for k in on], "__v")
     if fits(right):
         out = left.join(F.broadcast(unique), on, "left")
     else:
@@ -30,11 +32,20 @@ def left_join_m1(left: DataFrame, right: DataFrame, on: Sequence[str], suffix: s
     )
 
 
+def one_to_one(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Rows side by side; a key that does not stand exactly once on both sides
+    (a NULL stands on neither) fails the query, whatever columns are read."""
+    n = F.count(F.lit(1)).over(W.partitionBy(key))
+    both = left.withColumn("__l", n).join(right.withColumn("__r", n), key, "full_outer")
+    ok = (F.coalesce("__l", F.lit(0)) == 1) & (F.coalesce("__r", F.lit(0)) == 1)
+    return both.filter(require(ok, F.lit(True), f"tables do not have the same {key} values, once each")).drop("__l", "__r")
+
+
 def keep_keys(df: DataFrame, keys: DataFrame, on: Sequence[str], inside: bool = True) -> DataFrame:
     """Semi join (``inside``) or anti join by a key list that may be large."""
     distinct = keys.select(*on).distinct()
     if fits(distinct):
-        return df.join(F.broadcast(distinct), list(on), "left_semi" if inside else "left_anti")
+        return df.join(F.broadcast(distinct), list(on), "left_semi" if inside else "left_anti").select(*df.columns)
     return spread_join(df, distinct, on, "left_semi" if inside else "left_anti")
 
 

@@ -12,8 +12,9 @@ from combisieve import TARGETS
 from combisieve.operators.ordering import prefix_sums, quantile_bucket
 from combisieve.session import cut_lineage
 
-# The row subsets of each named part and the parts each roll-up averages.
-PARTS = {"nonshare": (0,), "share": (1, 2, 3), "share1": (1,), "share2": (2, 3)}
+# The row subsets of each named part and the parts each roll-up
+# averages.  None: every subset but 0, also rows whose subset is NULL.
+PARTS = {"nonshare": (0,), "share": None, "share1": (1,), "share2": (2, 3)}
 ROLLUPS = {
     "pseudo_AP": ("nonshare", "share2"),
     "AP": ("nonshare", "share"),
@@ -68,13 +69,17 @@ def ap_from_counts(counts: DataFrame, by: Sequence[str]) -> DataFrame:
     )
 
 
+def in_part(subsets: Sequence[int] | None) -> Column:
+    return ~F.col("subset").eqNullSafe(F.lit(0)) if subsets is None else F.col("subset").isin(list(subsets))
+
+
 def average_precision(
-    df: DataFrame, by: Sequence[str] = (), targets: Sequence[str] = TARGETS, parts: Mapping[str, Sequence[int]] = PARTS
+    df: DataFrame, by: Sequence[str] = (), targets: Sequence[str] = TARGETS, parts: Mapping[str, Sequence[int] | None] = PARTS
 ) -> DataFrame:
     """Average precision per named part and protein (and ``by``)."""
     by = list(by)
     counts = score_counts(long_predictions(df, [*by, "subset"], targets), [*by, "subset", "protein"])
-    of = F.array_compact(F.array(*[F.when(F.col("subset").isin(list(s)), F.lit(p)) for p, s in parts.items()]))
+    of = F.array_compact(F.array(*[F.when(in_part(s), F.lit(p)) for p, s in parts.items()]))
     named = counts.withColumn("part", F.explode(of))
     keys = [*by, "part", "protein"]
     merged = named.groupBy(*keys, "score").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
@@ -91,7 +96,7 @@ def metric_rollup(ap: DataFrame, by: Sequence[str] = (), rollups: Mapping[str, S
 def micro_average_precision(df: DataFrame, targets: Sequence[str] = TARGETS) -> DataFrame:
     """One precision-recall curve over all proteins: all rows, subset 0, rest."""
     counts = score_counts(long_predictions(df, ["subset"], targets), ["subset"])
-    of = F.array(F.lit("all"), F.when(F.col("subset") == 0, F.lit("nonshare")).otherwise(F.lit("share")))
+    of = F.array(F.lit("all"), F.when(in_part(None), F.lit("share")).otherwise(F.lit("nonshare")))
     merged = counts.withColumn("part", F.explode(of)).groupBy("part", "score").agg(
         F.sum("n").alias("n"), F.sum("pos").alias("pos")
     )

@@ -15,8 +15,9 @@ from combisieve.operators.skew import fits, spread_join
 INLINE_VALUES = 10_000
 
 
-def member(col: str, values: Iterable[int]) -> Column:
-    return F.col(col).isin([int(v) for v in values])
+def member(col: str, values: Iterable) -> Column:
+    """True or false: NULL is in no set, and no member."""
+    return F.coalesce(F.col(col).isin([v for v in values if v is not None]), F.lit(False))
 
 
 def in_sets(sets: Mapping[str, Iterable[int]], mode: str = "all") -> Column:
@@ -35,12 +36,13 @@ def filter_in_set(df: DataFrame, members: Mapping[str, DataFrame], mode: str = "
     """Same predicate against member tables (first column = value).
 
     Small tables become literals of an ``isin``; larger ones are joined, with
-    hot values spread over tasks.
+    hot values spread over tasks.  Either way a NULL is in no set: mode ``none``
+    keeps it.
     """
     inline, flags, out = {}, [], df
     for col, table in members.items():
         value = table.columns[0]
-        distinct = table.select(F.col(value).alias(col)).distinct()
+        distinct = table.select(F.col(value).alias(col)).filter(F.col(col).isNotNull()).distinct()
         if fits(distinct, INLINE_VALUES):
             inline[col] = [r[0] for r in distinct.collect()]
             flags.append(member(col, inline[col]))

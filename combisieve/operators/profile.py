@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 
 from combisieve import TARGETS
 from combisieve.operators.ordering import bucket_bits, prefix_sums, quantile_bucket
-from combisieve.operators.skew import attach_totals, scalar
+from combisieve.operators.skew import attach_totals, broadcast_if_small, scalar
 from combisieve.session import cut_lineage
 
 # the largest finite half-precision number
@@ -58,7 +58,7 @@ def quantiles_from_counts(
     src = counts if bucket else quantile_bucket(counts, value)
     run = prefix_sums(src, bucket or "__b", [F.col(value)], {"__cum": F.col("n")}, by)
     totals = counts.groupBy(*by).agg(F.sum("n").alias("__n"))
-    run = run.join(totals, by) if by else run.withColumn("__n", scalar(counts, F.sum("n")))
+    run = run.join(broadcast_if_small(totals), by) if by else run.withColumn("__n", scalar(counts, F.sum("n")))
 
     def at(rank: Column) -> Column:
         inside = (F.col("__cum") >= rank) & (F.col("__cum") - F.col("n") < rank)
@@ -79,7 +79,7 @@ def quantiles_from_counts(
 def column_quantiles(df: DataFrame, cols: Sequence[str], percentiles: Sequence[float], kind: str = "disc") -> DataFrame:
     """Exact quantiles of several columns in one pass over the rows."""
     cols = list(cols)
-    n = 2 ** min(8, bucket_bits(df.sparkSession))
+    n = 2 ** min(12, bucket_bits(df.sparkSession))
     cuts = df.approxQuantile(cols, [i / n for i in range(1, n)], 1 / (4 * n))
     src = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
     src = Bucketizer(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from combisieve import TARGETS
 from combisieve.functions.checks import require
 from combisieve.functions.hashing import uniform
+from combisieve.operators.joins import one_to_one
 from combisieve.operators.ordering import row_index
 from combisieve.operators.skew import broadcast_if_small, spread_join
 
@@ -52,13 +53,8 @@ def wide_to_long(
 
 
 def attach_by_index(left: DataFrame, right: DataFrame, index: str = "index") -> DataFrame:
-    """Side-by-side tables by key; any row without its partner fails the query."""
-    both = left.withColumn("__l", F.lit(True)).join(right.withColumn("__r", F.lit(True)), index, "full_outer")
-    ok = F.col("__l").isNotNull() & F.col("__r").isNotNull()
-    checked = require(ok, F.col(index), "tables do not have the same index values")
-    return both.select(
-        checked.alias(index), *[c for c in left.columns + right.columns if c != index]
-    )
+    """Side-by-side tables by key; any row without its one partner fails the query."""
+    return one_to_one(left, right, index)
 
 
 def build_dictionary(columns: Sequence[tuple[DataFrame, str]], value: str = "value", name: str = "id") -> DataFrame:

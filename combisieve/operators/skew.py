@@ -4,19 +4,29 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DatetimeType, NumericType
 
-# A key is hot when it holds more than 1/HOT_PARTS of the rows, so there are
-# fewer than HOT_PARTS hot keys whatever the data looks like.
-HOT_PARTS = 64
-BROADCAST_ROWS = 200_000
+MIN_HOT_PARTS = 64
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 
 
-def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``max_rows`` rows (a count: a limit would
-    gather its rows in one task)."""
-    return df.count() <= max_rows
+def hot_parts(spark: SparkSession) -> int:
+    """A key is hot when it holds more than one of so many parts of the rows: more
+    than a shuffle partition should have.  There are fewer hot keys than parts."""
+    return max(MIN_HOT_PARTS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` has at most ``max_rows`` rows and about ``max_bytes`` (an
+    aggregate: a limit would gather its rows in one task)."""
+    wide = [f.name for f in df.schema if not isinstance(f.dataType, (NumericType, BooleanType, DatetimeType))]
+    width = F.lit(16 * len(df.columns)).cast("bigint")
+    for name in wide:
+        width = width + F.coalesce(F.octet_length(F.col(f"`{name}`").cast("string")), F.lit(0))
+    n, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
+    return n <= max_rows and size <= max_bytes
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -39,14 +49,15 @@ def attach_totals(
     """Left-join per-key ``totals`` (unique on ``keys``, with the row count of
     each key in ``count_col``) onto ``df``.
 
-    Hot keys (fewer than ``HOT_PARTS`` rows by construction) come from a
+    Hot keys (fewer than ``hot_parts`` rows by construction) come from a
     broadcast; their rows are spread over salts in the shuffle join that serves
     all other keys, so no task receives a hot key whole.
     """
     keys = list(keys)
     values = [c for c in totals.columns if c not in keys]
     n_rows = scalar(totals, F.sum(count_col))
-    is_hot = F.col(count_col) * F.lit(HOT_PARTS) > n_rows
+    parts = hot_parts(df.sparkSession)
+    is_hot = F.col(count_col) * F.lit(parts) > n_rows
     renamed = [F.col(k).alias(f"__k_{k}") for k in keys]
     hot = totals.filter(is_hot).select(*renamed, F.struct(*values).alias("__hot"))
     # counts are positive, so this is always 0; a plain literal would be folded
@@ -55,7 +66,7 @@ def attach_totals(
     cold = totals.filter(~is_hot).select(*renamed, zero.alias("__k_salt"), F.struct(*values).alias("__cold"))
     salt = F.when(
         F.col("__hot").isNotNull(),
-        F.pmod(F.xxhash64(*spread_by), F.lit(HOT_PARTS * 16)).cast("int") + 1,
+        F.pmod(F.xxhash64(*spread_by), F.lit(parts * 16)).cast("int") + 1,
     ).otherwise(F.lit(0))
     same = [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys]
     joined = (

@@ -77,23 +77,42 @@ def map_elements(
     """``(ids, out)`` with every array element looked up in ``table``.
 
     Up to 512 entries become a map literal and no data moves; larger tables are
-    joined on the exploded elements, which are put back in order per row.
+    joined on the exploded elements, which are put back in order.  Either way
+    there is one row per row of ``df``, ids repeated or not; a NULL array stays
+    NULL; NULL elements and unlisted ones become ``default``; of several entries
+    of one key the lowest counts.
     """
     kind = table.schema[value].dataType
+    table = table.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(value).alias(value))
     if fits(table, INLINE_TOKENS):
         pairs = [(r[0], r[1]) for r in table.select(key, value).collect()]
         lookup = F.create_map(*[F.lit(x) for kv in pairs for x in kv])
-        mapped = F.transform(col, lambda x: F.coalesce(lookup[x], default).cast(kind))
-        return df.select(*ids, mapped.alias(out))
-    cells = df.select(*ids, F.posexplode_outer(col).alias("__pos", key))
+        found = lambda x: F.coalesce(lookup[x], default) if pairs else default
+        return df.select(*ids, F.transform(col, lambda x: found(x).cast(kind)).alias(out))
+    cells = _cells(df, ids, col, key)
     right = table.select(key, F.col(value).alias("__v"))
     small = broadcast_if_small(right)
     if small is right:
         hit = spread_join(cells, right, [key], "left", [*ids, "__pos"])
     else:
         hit = cells.join(small, key, "left")
+    # equal rows have equal cells: one set, and a row for each of them
     cell = F.when(F.col("__pos").isNotNull(), F.struct("__pos", F.coalesce("__v", default).cast(kind).alias("__v")))
-    return hit.groupBy(*ids).agg(F.array_sort(F.collect_list(cell)).alias("__c")).select(*ids, F.col("__c.__v").alias(out))
+    rows = _rows(hit, ids, F.array_sort(F.collect_set(cell)).alias("__c"))
+    return rows.select(*ids, F.when(~F.col("__null"), F.col("__c.__v")).alias(out))
+
+
+def _cells(df: DataFrame, ids: Sequence[str], col: str, key: str) -> DataFrame:
+    """One row per element, with a hash of its array, as ids may repeat; a NULL
+    or empty array has one row without an element."""
+    return df.select(*ids, F.col(col).isNull().alias("__null"), F.xxhash64(col).alias("__mark"), F.posexplode_outer(col).alias("__pos", key))
+
+
+def _rows(cells: DataFrame, ids: Sequence[str], agg: Column) -> DataFrame:
+    """``agg`` of the cells of each row, as many times as the row was there."""
+    copies = F.count_if(F.coalesce("__pos", F.lit(0)) == 0).alias("__copies")
+    out = cells.groupBy(*ids, "__null", "__mark").agg(agg, copies)
+    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__copies"))))
 
 
 def encode(df: DataFrame, vocab: DataFrame, ids: Sequence[str], tokens: str = "tokens", unk: int = UNK) -> DataFrame:
@@ -147,18 +166,16 @@ def unseen_tokens(train: DataFrame, test: DataFrame) -> DataFrame:
 
 
 def rows_with_unseen(df: DataFrame, unseen: DataFrame, ids: Sequence[str], tokens: str = "tokens") -> DataFrame:
-    """``(ids, has_unseen)`` by token membership."""
+    """``(ids, has_unseen)`` by token membership, one row per row of ``df``."""
     if fits(unseen, INLINE_TOKENS):
         # an empty list means no row has one
-        values = [r[0] for r in unseen.select("token").collect()]
+        values = [r[0] for r in unseen.filter("token is not null").select("token").collect()]
         hit = F.arrays_overlap(tokens, F.array(*[F.lit(v) for v in values])) if values else F.lit(False)
         return df.select(*ids, F.coalesce(hit, F.lit(False)).alias("has_unseen"))
-    cells = df.select(*ids, F.explode(F.array_distinct(tokens)).alias("token"))
-    hit = spread_join(cells, unseen.select("token").withColumn("__u", F.lit(True)), ["token"], "inner", ids)
-    flagged = hit.select(*ids).distinct().withColumn("has_unseen", F.lit(True))
-    return df.select(*ids).join(flagged, list(ids), "left").select(
-        *ids, F.coalesce("has_unseen", F.lit(False)).alias("has_unseen")
-    )
+    cells = _cells(df.withColumn("__t", F.array_distinct(tokens)), ids, "__t", "token")
+    known = unseen.filter("token is not null").select("token").distinct().withColumn("__u", F.lit(True))
+    hit = spread_join(cells, known, ["token"], "left", [*ids, "__pos"])
+    return _rows(hit, ids, F.max(F.coalesce("__u", F.lit(False))).alias("has_unseen")).select(*ids, "has_unseen")
 
 
 def contains_any(text: Column | str, parts: Sequence[str]) -> Column:

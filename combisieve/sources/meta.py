@@ -7,27 +7,26 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from combisieve.operators.skew import fits
-
-META_ROWS = 1_000_000
+#: Items of a list on one line.
+LINE_ITEMS = 100_000
 
 
 def write_meta(rows: DataFrame, path: str) -> None:
     """``(name, position, value)`` rows as one JSON object of lists per line.
 
-    A list becomes one value, so this is for dictionaries and splits; a larger
-    table is refused and belongs in Parquet.
+    ``position`` counts from 0 without gaps.  A list goes over as many lines as
+    it needs; each tells the position of its first item.
     """
-    if not fits(rows, META_ROWS):
-        raise ValueError(f"more than {META_ROWS} list items: write the rows as a table instead")
-    lists = rows.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("position", "value"))).alias("items"))
-    lists.select("name", F.col("items.value").alias("values")).write.json(path)
+    line = (F.floor(F.col("position") / LINE_ITEMS) * LINE_ITEMS).cast("bigint").alias("first")
+    lists = rows.groupBy("name", line).agg(F.array_sort(F.collect_list(F.struct("position", "value"))).alias("items"))
+    lists.select("name", "first", F.col("items.value").alias("values")).write.json(path)
 
 
 def read_meta(spark: SparkSession, path: str, value: str = "bigint") -> DataFrame:
     """Rows of a file written by :func:`write_meta`."""
-    lists = spark.read.schema(f"name string, values array<{value}>").json(path)
-    return lists.select("name", F.posexplode("values").alias("position", "value"))
+    lists = spark.read.schema(f"name string, first bigint, values array<{value}>").json(path)
+    items = lists.select("name", "first", F.posexplode("values").alias("at", "value"))
+    return items.select("name", (F.col("first") + F.col("at")).cast("int").alias("position"), "value")
 
 
 def read_nested(spark: SparkSession, path: str, fields: Sequence[str], value: str = "bigint") -> DataFrame:

@@ -14,7 +14,6 @@ from pyspark.sql.types import StructType
 
 from combisieve.operators.profile import column_values
 from combisieve.operators.tokens import token_counts
-from combisieve.session import scratch_path
 
 
 def read_arriving(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int = 1) -> DataFrame:
@@ -29,14 +28,15 @@ def stream_column_profile(stream: DataFrame, features: str) -> DataFrame:
     return column_values(stream, features)
 
 
-def run_counter(counts: DataFrame, path: str, available_now: bool = True):
-    """Start the query; each micro-batch overwrites its own folder, so a replay
-    after a failure leaves the same files."""
+def run_counter(counts: DataFrame, path: str, available_now: bool = True, checkpoint: str | None = None):
+    """Start the query, or resume it: state and progress lie in ``checkpoint``,
+    beside ``path`` unless named.  Each micro-batch overwrites its own folder, so
+    a replay after a failure leaves the same files."""
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     writer = counts.writeStream.outputMode("update").foreachBatch(write)
-    writer = writer.option("checkpointLocation", scratch_path(counts.sparkSession, "stream"))
+    writer = writer.option("checkpointLocation", checkpoint or f"{path}-checkpoint")
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 

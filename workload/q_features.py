@@ -8,14 +8,13 @@ from combisieve.operators import features as FE
 from workload import fixtures as X
 from workload.base import d6, joined, query, rounded
 
-D_BITS = "bits as (select vec_id, list_transform(embedding[1:62], lambda v: (v>0)::int) b from embeddings)"
+D_BITS = "bits as (select vec_id, list_transform(embedding[1:64], lambda v: (v>0)::int) b from embeddings)"
 D_PACKED = """packed as (select vec_id, list_transform(range(0,8), lambda i: list_sum(list_transform(range(0,8), lambda j:
- case when i*8+j<62 then b[i*8+j+1] * (1 << (7-j)::int) else 0 end))::int) p from bits),
-full_bits as (select vec_id, list_concat(b, [0,0]) b from bits)"""
+ b[i*8+j+1] * (1 << (7-j)::int)))::int) p from bits)"""
 
 
 def _bits(spark, sf):
-    return X.table(spark, sf, "embeddings").selectExpr("vec_id", "transform(slice(embedding,1,62), v -> int(v>0)) bits")
+    return X.table(spark, sf, "embeddings").selectExpr("vec_id", "transform(embedding, v -> int(v>0)) bits")
 
 
 def _packed(spark, sf):
@@ -27,21 +26,21 @@ def pack_bits(spark, sf):
     return _packed(spark, sf).select("vec_id", joined("packed").alias("packed"))
 
 
-@query("ft2_unpack_bits", X.sql(D_BITS, D_PACKED, body="select vec_id, array_to_string(b, ',') as bits from full_bits"))
+@query("ft2_unpack_bits", X.sql(D_BITS, D_PACKED, body="select vec_id, array_to_string(b, ',') as bits from bits"))
 def unpack_bits(spark, sf):
     return _packed(spark, sf).withColumn("bits", FE.unpack_bits("packed")).select("vec_id", joined("bits").alias("bits"))
 
 
 @query("ft3_bit_formats", X.sql(D_BITS, D_PACKED, body="""
 select vec_id, array_to_string(list_filter(range(0,64), lambda i: b[i+1]=1), ',') as as_set, array_to_string(b, ',') as as_seq,
- array_to_string(list_transform(range(0,64), lambda i: 2*i+b[i+1]), ',') as as_seq_v2 from full_bits"""))
+ array_to_string(list_transform(range(0,64), lambda i: 2*i+b[i+1]), ',') as as_seq_v2 from bits"""))
 def bit_formats(spark, sf):
     df = _packed(spark, sf).select("vec_id", *[FE.bit_formats("packed", f).alias(f"as_{f}") for f in ("set", "seq", "seq_v2")])
     return df.select("vec_id", *[joined(c).alias(c) for c in ("as_set", "as_seq", "as_seq_v2")])
 
 
 @query("ft4_bit_density", X.sql(D_BITS, D_PACKED, body=f"""
-select {d6('(select sum(list_sum(b))::double/sum(len(b)) from full_bits)')} as bit_density,
+select {d6('(select sum(list_sum(b))::double/sum(len(b)) from bits)')} as bit_density,
  {d6('sum(len(list_filter(p, lambda x: x<>0)))::double/sum(len(p))')} as byte_density from packed"""))
 def bit_density(spark, sf):
     return rounded(FE.bit_density(_packed(spark, sf), "packed"), "bit_density", "byte_density")

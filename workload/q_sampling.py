@@ -62,17 +62,32 @@ def balanced_group_weights_log(spark, sf):
     return rounded(out.select("mol_id", "sample_weight"), "sample_weight")
 
 
-@query("sa4_weighted_sample", X.sql(X.D_LIB,
-    f"it as (select mol_id as id, cast(round(1/({X.d_uniform('mol_id::varchar', 'w')}+0.00001::double)*1000000) as bigint) w, {H} h from lib)",
-    "tot as (select sum(w)::bigint t, count(*) n from it)",
-    "line as (select id, sum(w) over (order by (w*1024>t) desc, h, id)-w as s from it, tot where w>0)",
+# weights in units of 2**-40 of the largest, then about 2**52 units for the whole line
+_D_DRAWS = [
+    "un as (select id, h, ceil(x/(select max(x) from wt)*1099511627776::double)::hugeint w from wt where x>0)",
+    "it as (select id, h, ((w*4503599627370496+(select sum(w) from un)-1)//(select sum(w) from un))::bigint w from un)",
+    "tot as (select sum(w)::bigint t, (select count(*) from lib) n from it)",
+    "line as (select id, sum(w) over (order by (w*1024>t) desc, h, id)-w as s from it, tot)",
     f"draws as (select draw, floor({X.d_uniform('draw::varchar', 'draw42')}*t::double)::bigint v from tot, lateral (select unnest(range(0,n)) draw))",
+]
+
+
+@query("sa4_weighted_sample", X.sql(X.D_LIB,
+    f"wt as (select mol_id as id, 1/({X.d_uniform('mol_id::varchar', 'w')}+0.00001::double) x, {H} h from lib)", *_D_DRAWS,
     body="select draw, id from draws asof join line on v>=s"))
 def weighted_sample(spark, sf):
     lib = _lib(spark, sf).withColumn("w", 1.0 / (uniform("mol_id", seed="w") + F.lit(0.00001)))
     return sampling.weighted_sample(lib, "mol_id", "w", lib.count())
 
 
+@query("sa4_group_size_sample", X.sql(X.D_LIB,
+    f"wt as (select mol_id as id, 1/pow(count(*) over (partition by scaffold)::double, 2) x, {H} h from lib)", *_D_DRAWS,
+    body="select draw, id from draws asof join line on v>=s"))
+def group_size_sample(spark, sf):
+    lib = _lib(spark, sf)
+    return sampling.weighted_sample(sampling.group_size_weights(lib, "scaffold", ["mol_id"], 2.0), "mol_id", "sample_weight", lib.count())
+
+
 @query("sa5_epoch_shards", X.sql(X.D_LIB, f"""p as (select mol_id, e*(select count(*) from lib)+row_number() over
  (partition by e order by {X.d_hash("e::varchar||':'||mol_id::varchar")}, mol_id)-1 as pos from lib, (select unnest(range(0,2)) e))""",
     body="select mol_id, (pos%4)::int as shard, pos//4 as step from p"))

@@ -85,7 +85,7 @@ def d_long(rel: str, extra: str = "", subset: str = "subset") -> str:
     ])
 
 
-PARTS = "parts as (select * from (values ('nonshare',0),('share',1),('share',2),('share',3),('share1',1),('share2',2),('share2',3)) p(part,subset))"
+PARTS = "parts as (select * from (values ('nonshare',0),('share',null),('share1',1),('share2',2),('share2',3)) p(part,subset))"
 
 
 def d_ap(rel: str, keys: str) -> str:
@@ -95,7 +95,7 @@ cu as (select *, sum(n) over w cn, sum(pos) over w cp from sc window w as (parti
 ap as (select {keys}, sum(n)::bigint n, sum(pos)::bigint positives, case when sum(pos)>0 then sum(pos*(cp/cn::double))/sum(pos) end ap from cu group by {keys})"""
 
 
-AP = [*PREDS, f"ln as ({d_long('preds')})", PARTS, "nm as (select part, protein, score, target from ln join parts using (subset))", d_ap("nm", "part, protein")]
+AP = [*PREDS, f"ln as ({d_long('preds')})", PARTS, "nm as (select part, protein, score, target from ln join parts p on case when part='share' then ln.subset is distinct from 0 else ln.subset=p.subset end)", d_ap("nm", "part, protein")]
 
 
 @query("tm5_average_precision", X.sql(*AP, body=f"select part, protein, n, positives, {d6('ap')} as ap from ap"))
@@ -155,7 +155,7 @@ def clean_predictions(spark, sf):
 
 @query("tm10_staged_scores", X.sql(X.D_LIB, *[X.d_predictions(m, f"p{m}") for m in (1, 2, 3, 4)],
     "ln as (" + X.union_all([d_long(f"p{m}", f"{(m - 1) * 500} as step, ") for m in (1, 2, 3, 4)]) + ")", PARTS,
-    "nm as (select step, part, protein, score, target from ln join parts using (subset))", d_ap("nm", "step, part, protein"), _ROLL,
+    "nm as (select step, part, protein, score, target from ln join parts p on case when part='share' then ln.subset is distinct from 0 else ln.subset=p.subset end)", d_ap("nm", "step, part, protein"), _ROLL,
     body=f"select step, metric, {d6('avg(ap)')} as value from ap join roll using (part) group by step, metric"))
 def staged_scores(spark, sf):
     steps = X.stack_rows([_preds(spark, sf, m).withColumn("step", F.lit((m - 1) * 500)) for m in (1, 2, 3, 4)])
@@ -280,7 +280,7 @@ _SUBSET = "case when bb1 between 0 and 4 and bb2 between 100 and 119 and bb3 bet
 @query("flagship_baseline_report", X.sql(
     X.D_LIB, *D_RATES,
     f"preds as (select {_SUBSET.replace('bb', 'l.bb')} as subset, " + ", ".join(f"{_FORMS['product'].format(t=t)} pred_{t}, l.{t} target_{t}" for t in TARGETS) + f" {_JOIN})",
-    f"ln as ({d_long('preds')})", PARTS, "nm as (select part, protein, score, target from ln join parts using (subset))", d_ap("nm", "part, protein"), _ROLL,
+    f"ln as ({d_long('preds')})", PARTS, "nm as (select part, protein, score, target from ln join parts p on case when part='share' then ln.subset is distinct from 0 else ln.subset=p.subset end)", d_ap("nm", "part, protein"), _ROLL,
     body=f"""select part||'_'||protein||'_AP' as metric, {d6('ap')} as value from ap where ap is not null union all
 select metric, {d6('avg(ap)')} from ap join roll using (part) where ap is not null group by metric"""))
 def flagship(spark, sf):
