@@ -153,10 +153,10 @@ def count_unk(df: DataFrame, input_ids: str = "input_ids", unk: int = UNK) -> Da
 
 
 def assert_no_unk(df: DataFrame, input_ids: str = "input_ids", unk: int = UNK) -> DataFrame:
-    """Passes rows through; fails on the first unknown token."""
-    return df.withColumn(
-        input_ids, require(~F.array_contains(input_ids, F.lit(unk).cast("bigint")), F.col(input_ids), "unknown token")
-    )
+    """Passes rows through; fails on the first unknown token, whatever columns are
+    read.  A NULL sequence or NULL token is not unknown."""
+    found = F.coalesce(F.array_contains(input_ids, F.lit(unk).cast("bigint")), F.lit(False))
+    return df.filter(require(~found, F.lit(True), "unknown token"))
 
 
 def unseen_tokens(train: DataFrame, test: DataFrame) -> DataFrame:

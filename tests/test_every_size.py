@@ -138,3 +138,10 @@ def test_odd_bit_lengths(spark):
     df = spark.createDataFrame([(1, [1] * 10), (2, [0, 1]), (3, [])], "id int, bits array<int>")
     got = {r["id"]: list(r["p"]) for r in df.select("id", features.pack_bits("bits").alias("p")).collect()}
     assert got == {1: [255, 192], 2: [64], 3: []}
+
+
+def test_unknown_tokens_are_refused(spark):
+    known = spark.createDataFrame([(1, [5, None]), (2, None), (3, []), (3, [])], "id int, input_ids array<bigint>")
+    assert listed(tokens.assert_no_unk(known, unk=7)) == listed(known)
+    bad = known.unionByName(spark.createDataFrame([(4, [5, 7])], known.schema))
+    fails(tokens.assert_no_unk(bad, unk=7).select("id"), "unknown token")
