@@ -91,16 +91,28 @@ _LOOKALIKE = re.compile(f"[{re.escape(''.join(_LOOKALIKES))}]")
 _SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 _WORD = "|".join(_SPELLED)
 # a run of at least three figures, spelled or written, one of them spelled
-_FIGURES = re.compile(rf"(?i)(?<![a-z0-9])(?:plus[\x20])?(?:(?:{_WORD}|[0-9]++)(?:[\x20.-]|\x20-\x20|,\x20)){{2,}}(?:{_WORD}|[0-9]++)(?![a-z0-9])")
-_FIGURE = re.compile(rf"(?i){_WORD}|[0-9]+|plus|,\x20")
-_SIGN = r"\x20?(?:\[\x20?{0}\x20?\]|\(\x20?{0}\x20?\)|\{{\x20?{0}\x20?\}}|<\x20?{0}\x20?>)\x20?|\x20{0}\x20"
-_AT, _DOT = _SIGN.format("at"), _SIGN.format("dot")
+_FIGURES = re.compile(rf"(?ai)(?<![a-z0-9])(?:plus[\x20])?(?:(?:{_WORD}|[0-9]++)(?:[\x20.-]|\x20-\x20|,\x20)){{2,}}(?:{_WORD}|[0-9]++)(?![a-z0-9])")
+_FIGURE = re.compile(rf"(?ai){_WORD}|[0-9]+|plus|,\x20")
+# the word or the sign itself in brackets, or the word between blanks
+_SIGN = r"\x20?(?:\[\x20?(?:{0}|{1})\x20?\]|\(\x20?(?:{0}|{1})\x20?\)|\{{\x20?(?:{0}|{1})\x20?\}}|<\x20?(?:{0}|{1})\x20?>)\x20?|\x20{0}\x20"
+_AT, _DOT = _SIGN.format("at", "@"), _SIGN.format("dot", r"\.")
 # a written-out sign counts inside something shaped like a whole address
 _ADDRESS = re.compile(
     rf"(?i)(?<![a-z0-9._%+-])[a-z0-9_%+-]{{1,64}}+(?:(?:\.|{_DOT})[a-z0-9_%+-]{{1,64}}+){{0,8}}?(?:@|{_AT})[a-z0-9-]{{1,63}}+(?:(?:\.|{_DOT})[a-z0-9-]{{1,63}}+){{1,8}}"
 )
 _SIGNS = re.compile(rf"(?i)(?P<at>{_AT})|(?P<dot>{_DOT})")
-_SIGN_HINT = re.compile(r"(?i)[\[({<\x20]\x20?(?:at|dot)\x20?[\])}>\x20]")
+_SIGN_HINT = re.compile(r"(?i)[\[({<\x20]\x20?(?:at|dot)\x20?[\])}>\x20]|[\[({<]\x20?[.@]\x20?[\])}>]")
+# a dot sign counts between figures, too
+_BETWEEN = re.compile(rf"(?ai)(?<=[0-9])(?:{_DOT})(?=[0-9])")
+# Runs of spelled figures with dot signs between them.  Between two signs spelled
+# and written figures may mix; at the ends of a chain they are other words' neighbours.
+_SPELT = rf"(?:{_WORD})(?![a-z0-9])"
+_RUN = rf"(?:{_SPELT}(?:[\x20-]{_SPELT}){{0,19}}+|[0-9]++)"
+_MIXED = rf"(?:{_SPELT}|[0-9]++)(?:[\x20-](?:{_SPELT}|[0-9]++)){{0,19}}+"
+_CHAIN = re.compile(
+    rf"(?ai)(?<![a-z0-9])(?:(?P<plus>plus\x20)(?:[0-9]++[\x20-]){{0,4}})?(?P<runs>{_RUN}(?:(?:\.|{_DOT})(?:{_MIXED}(?=\.[a-z0-9]|{_DOT})|{_RUN}))++)"
+)
+_CHAINED = re.compile(rf"(?ai){_MIXED}")
 
 
 def _rewritten(text: str, edits: list[tuple[int, int, str]]) -> str:
@@ -137,6 +149,21 @@ def _homoglyphs(text: str) -> list[tuple[int, int, str]]:
     return [] if text.isascii() else [(m.start(), m.end(), _LOOKALIKES[m[0]]) for m in _LOOKALIKE.finditer(text)]
 
 
+def _chains(text: str) -> list[tuple[int, int, str]]:
+    """Spelled figures beside a dot sign: a run is one number, without blanks."""
+    out = []
+    for chain in _CHAIN.finditer(text):
+        runs = []
+        for run in _CHAINED.finditer(text, chain.start("runs"), chain.end("runs")):
+            figures = [m[0].lower() for m in _FIGURE.finditer(run[0])]
+            if not all(f.isdigit() for f in figures):
+                runs.append((run.start(), run.end(), "".join(_SPELLED.get(f, f) for f in figures)))
+        if runs and chain["plus"]:
+            out.append((*chain.span("plus"), "+"))
+        out += runs
+    return out
+
+
 def _figures(text: str) -> list[tuple[int, int, str]]:
     out = []
     for run in _FIGURES.finditer(text):
@@ -157,14 +184,14 @@ def _figures(text: str) -> list[tuple[int, int, str]]:
 def _signs(text: str) -> list[tuple[int, int, str]]:
     if not _SIGN_HINT.search(text):
         return []
-    out = []
+    found = {(m.start(), m.end(), ".") for m in _BETWEEN.finditer(text)}
     for address in _ADDRESS.finditer(text):
         for m in _SIGNS.finditer(text, address.start(), address.end()):
-            out.append((m.start(), m.end(), "@" if m["at"] else "."))
-    return out
+            found.add((m.start(), m.end(), "@" if m["at"] else "."))
+    return sorted(found)
 
 
-TRANSDUCERS = (_homoglyphs, _figures, _signs)
+TRANSDUCERS = (_homoglyphs, _chains, _figures, _signs)
 
 
 def disguised_spans(text: str) -> list[tuple[int, int, int, str]]:

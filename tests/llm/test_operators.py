@@ -182,6 +182,39 @@ def test_disguised_identifiers(text, kind, shown, value):
     assert [(s["kind"], text[s["start"] : s["end"]], s["value"]) for s in found] == [(kind, shown, value)]
 
 
+SPELT_CARD = "four one one one " + "one one one one " * 2 + "one one one one"
+
+
+@pytest.mark.parametrize(("shown", "kind", "value"), [
+    ("jane@example[.]com", "email", "jane@example.com"),
+    ("jane[@]example.com", "email", "jane@example.com"),
+    ("jane (@) mail{.}example dot com", "email", "jane@mail.example.com"),
+    ("192 dot 168 dot 10 dot 5", "ip", "192.168.10.5"),
+    ("192[dot]168[DOT]10[dot]5", "ip", "192.168.10.5"),
+    ("192[.]168[.]1[.]1", "ip", "192.168.1.1"),
+    ("192.168 (.) 1 <.> 1", "ip", "192.168.1.1"),
+    ("one nine two dot one six eight dot one dot five", "ip", "192.168.1.5"),
+    ("One-Nine-Two[.]1 six 8[.]one.five", "ip", "192.168.1.5"),
+    ("192 dot one six eight dot 10 dot five", "ip", "192.168.10.5"),
+    ("one nine two dot 1 dot 2 dot one six eight", "ip", "192.1.2.168"),
+    ("+1 dot 555 dot 123 dot 4567", "phone", "+1.555.123.4567"),
+    ("plus one dot five five five dot one two three dot four five six seven", "phone", "+1.555.123.4567"),
+    ("plus 1 five five five.one two three.four five six seven", "phone", "+1 555.123.4567"),
+    (SPELT_CARD, "card", "4 " + " ".join("1" * 15)),
+])
+def test_disguised_by_dot_signs(shown, kind, value):
+    for text in (shown, f"see ({shown}), now", f"é {shown} é"):
+        found = [s for s in pii.spans_of(text) if s["disguised"]]
+        assert [(s["kind"], text[s["start"] : s["end"]], s["value"]) for s in found] == [(kind, shown, value)]
+
+
+def test_dot_signs_without_identifiers():
+    for text in ("300 dot 1 dot 2 dot 3", "one dot two dot three", "ask one. Two dot com", "1 9 2 dot one", "f\u0131ve two three four", "\u017fix dot \u017fix"):
+        assert pii.spans_of(text) == []
+    for text in ("one " * 10**5, "one dot " * 10**5, "1[.]" * 10**5, "one-1." * 10**5, "plus 1 1 " * 10**5, "[.]" * 10**5):
+        pii.spans_of(text)
+
+
 def test_identifiers_of_odd_rows(docs, empty):
     assert pii.find_identifiers(docs).count() == len(rows())
     assert all(r.identifiers == [] for r in pii.find_identifiers(docs).filter("text is null").collect())
