@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterable, Mapping, Sequence
+from itertools import accumulate
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from combisieve import TARGETS
 from combisieve.functions.hashing import HASH_BITS, hash_key
@@ -23,6 +27,8 @@ from combisieve.session import cut_lineage
 STAGE2_RATIO = 158_699 / 508_983
 STAGE23_RATIO = 369_039 / 508_983
 SIZE_CUT = 6116
+# Label shares as integers: exact up to 10**18 rows of a label.
+SHARE_SCALE = 10**36
 
 
 # --- folds of rows ---------------------------------------------------------
@@ -41,9 +47,10 @@ def stratified_kfold(
 
 # --- folds of groups -------------------------------------------------------
 
-def _fill(loads: list[int], size: int, count: int) -> list[int]:
+def _fill(loads: list[int], size: int, count: int, rows: list[int] | None = None, group: int = 0) -> list[int]:
     """How many of ``count`` equal groups each fold gets when every next group
-    goes to the lightest fold (lowest index on ties)."""
+    goes to the lightest fold.  Ties go to the fold with the fewest ``rows``, to
+    which a group adds ``group``, then to the lowest index."""
 
     def below(level: int) -> list[int]:
         return [max(0, -(-(level - load) // size)) for load in loads]
@@ -53,11 +60,11 @@ def _fill(loads: list[int], size: int, count: int) -> list[int]:
         mid = (low + high) // 2
         low, high = (mid, high) if sum(below(mid)) <= count else (low, mid)
     got = below(low)
-    left = count - sum(got)
-    for i, load in enumerate(loads):
-        if left and load + got[i] * size == low:
-            got[i] += 1
-            left -= 1
+    last = [i for i, load in enumerate(loads) if load + got[i] * size == low]
+    if rows:
+        last.sort(key=lambda i: rows[i] + got[i] * group)
+    for i in last[: count - sum(got)]:
+        got[i] += 1
     return got
 
 
@@ -97,23 +104,40 @@ def group_kfold(
     return attach_totals(df, folds, [key], "group_size", ids).drop("group_size")
 
 
-def _balance(counts: np.ndarray, k: int) -> np.ndarray:
-    """Fold per unit from a unit x label count matrix: units with the most
-    uneven labels first, each to the fold where it adds least to the squared
-    label shares."""
-    totals = np.maximum(counts.sum(axis=0), 1).astype(float)
-    share = counts / totals
-    order = np.lexsort((np.arange(len(counts)), -counts.sum(axis=1), -counts.std(axis=1)))
-    loads = np.zeros((k, counts.shape[1]))
-    rows = np.zeros(k)
-    fold = np.zeros(len(counts), dtype=int)
-    for u in order:
-        cost = np.round(loads @ share[u], 12)
-        f = min(range(k), key=lambda i: (cost[i], rows[i], i))
-        fold[u] = f
-        loads[f] += share[u]
-        rows[f] += counts[u].sum()
-    return fold
+def label_mix_plan(histogram: Iterable[tuple[Sequence[str], int]], k: int) -> list[list[int]]:
+    """Cumulative group counts per fold for each ``(label mix, groups)`` row; a
+    mix lists ``rows:label`` of one group.
+
+    Groups with the most uneven labels first (the larger, then the lower mix on
+    ties), each to the fold where it adds least to the squared label shares.
+    Groups of one mix are interchangeable and each adds the same to the cost of
+    its fold, so a mix is dealt in one step whatever its number of groups.
+    Integers all through: every engine gets the same folds.
+    """
+    units, totals = [], Counter()
+    for at, (mix, count) in enumerate(histogram):
+        cells = [(label, int(n)) for n, _, label in (cell.partition(":") for cell in mix)]
+        for label, n in cells:
+            totals[label] += n * count
+        units.append((tuple(mix), at, cells, int(count)))
+    weight = {label: max(1, SHARE_SCALE // t**2) for label, t in totals.items()}
+    loads, rows = {label: [0] * k for label in totals}, [0] * k
+
+    def first(unit: tuple) -> tuple:
+        size = sum(n for _, n in unit[2])
+        return size**2 - len(totals) * sum(n * n for _, n in unit[2]), -size, unit[0]
+
+    ends = [[] for _ in units]
+    for _, at, cells, count in sorted(units, key=first):
+        cost = [sum(weight[label] * n * loads[label][i] for label, n in cells) for i in range(k)]
+        size = sum(n for _, n in cells)
+        got = _fill(cost, sum(weight[label] * n * n for label, n in cells), count, rows, size)
+        for i, g in enumerate(got):
+            rows[i] += g * size
+            for label, n in cells:
+                loads[label][i] += g * n
+        ends[at] = list(accumulate(got))
+    return ends
 
 
 def stratified_group_folds(
@@ -123,49 +147,38 @@ def stratified_group_folds(
     k: int,
     within: Sequence[str] = (),
     seed: object = 42,
-    units: int = 20_000,
-    max_labels: int = 256,
+    units: int | None = None,
     name: str = "fold_idx",
 ) -> DataFrame:
     """``(within, key, group_size, fold)``: whole groups, label mix kept.
 
-    The greedy choice needs an order, so it runs on the driver over units of a
-    bounded number: a group that holds more than 1/units of its rows is a unit
-    of its own, and smaller groups share ``units`` hash bundles once there are
-    more groups than that.
+    Every group is placed by itself at any number of groups and labels: folds
+    are planned on the histogram of label mixes (``label_mix_plan``), by a task
+    per ``within``, and a group finds its fold by its hash rank among those of
+    its mix.  A NULL label is a label, a NULL key a group.  ``units`` is taken
+    for older calls and has no effect.
     """
-    within = list(within)
-    spark = df.sparkSession
-    cells = cut_lineage(df.groupBy(*within, key, label).agg(F.count(F.lit(1)).alias("__n")))
-    sizes = cells.groupBy(*within, key).agg(F.sum("__n").alias("group_size"))
-    parts = max(1, sizes.select(*within).distinct().count()) if within else 1
-    limit = max(k, units // parts)
-    if within:
-        totals = sizes.groupBy(*within).agg(F.sum("group_size").alias("__t"), F.count(F.lit(1)).alias("__g"))
-        sizes = sizes.join(totals, within)
-    else:
-        one = sizes.agg(F.sum("group_size").alias("__t"), F.count(F.lit(1)).alias("__g")).first()
-        sizes = sizes.withColumns({"__t": F.lit(one[0]), "__g": F.lit(one[1])})
-    alone = (F.col("__g") <= limit) | (F.col("group_size") * limit > F.col("__t"))
-    bundle = F.concat(F.lit("bundle "), (hash_key(key, seed=seed) % limit).cast("string"))
-    sizes = sizes.withColumn("__unit", F.when(alone, F.concat(F.lit("group "), F.col(key).cast("string"))).otherwise(bundle))
-    table = (
-        cells.join(sizes.select(*within, key, "__unit"), [*within, key])
-        .groupBy(*within, "__unit", label)
-        .agg(F.sum("__n").alias("__n"))
+    within, plan_by = list(within), list(within) or ["__all"]
+    cells = df.groupBy(*within, key, label).agg(F.count(F.lit(1)).alias("__n"))
+    # without a label there is no colon, so NULL and "" differ
+    cell = F.concat_ws(":", F.col("__n").cast("string"), F.col(label).cast("string"))
+    groups = cut_lineage(
+        cells.groupBy(*within, key).agg(F.sum("__n").alias("group_size"), F.array_sort(F.collect_list(cell)).alias("__mix"))
     )
-    if table.select(label).distinct().count() > max_labels:
-        raise ValueError(f"more than {max_labels} labels")
-    rows = table.orderBy(*within, "__unit", label).toPandas()
-    out = []
-    for outer, part in rows.groupby(within, sort=True) if within else [((), rows)]:
-        outer = outer if isinstance(outer, tuple) else (outer,)
-        matrix = part.pivot_table(index="__unit", columns=label, values="__n", fill_value=0, aggfunc="sum").sort_index()
-        for unit, f in zip(matrix.index, _balance(matrix.to_numpy(), k)):
-            out.append((*[v.item() if hasattr(v, "item") else v for v in outer], unit, int(f)))
-    schema = ", ".join([*[f"`{c}` {df.schema[c].dataType.simpleString()}" for c in within], "__unit string", f"`{name}` int"])
-    folds = F.broadcast(spark.createDataFrame(out, schema))  # at most 2*units rows
-    return sizes.join(folds, [*within, "__unit"]).select(*within, key, "group_size", name)
+    hist = groups.groupBy(*within, "__mix").agg(F.count(F.lit(1)).alias("__groups"))
+    if not within:
+        hist = hist.withColumn("__all", F.lit(0))
+    schema = StructType([*hist.schema, StructField("__ends", ArrayType(LongType()))])
+
+    def deal(part: pd.DataFrame) -> pd.DataFrame:
+        return part.assign(__ends=pd.Series(label_mix_plan(zip(part["__mix"], part["__groups"]), k), part.index))
+
+    plan = cut_lineage(hist.groupBy(*plan_by).applyInPandas(deal, schema))
+    ranked = hash_rank(groups, [key], seed, [*within, "__mix"], "__rank")
+    # a mix may be that of most groups
+    found = attach_totals(ranked, plan.select(*within, "__mix", "__groups", "__ends"), [*within, "__mix"], "__groups", [key])
+    fold = F.size(F.filter("__ends", lambda e: e <= F.col("__rank")))
+    return found.select(*within, key, "group_size", fold.alias(name))
 
 
 def stratified_group_kfold(

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from combisieve.operators import features, joins, predicates, reshape, sampling, skew, tokens
+from combisieve.operators import features, joins, predicates, reshape, sampling, skew, splits, tokens
 from combisieve.session import scratch_path
 from combisieve.sources import assay, meta
 from combisieve.streaming import counters
@@ -145,3 +145,38 @@ def test_unknown_tokens_are_refused(spark):
     assert listed(tokens.assert_no_unk(known, unk=7)) == listed(known)
     bad = known.unionByName(spark.createDataFrame([(4, [5, 7])], known.schema))
     fails(tokens.assert_no_unk(bad, unk=7).select("id"), "unknown token")
+
+
+def greedy_folds(groups, k, scale=10**36):
+    """Group after group to the fold where it adds least to the squared label shares."""
+    totals = {}
+    for cells in groups.values():
+        for label, n in cells.items():
+            totals[label] = totals.get(label, 0) + n
+    loads, rows, dealt = {label: [0] * k for label in totals}, [0] * k, {}
+    uneven = lambda c: len(totals) * sum(n * n for n in c.values()) - sum(c.values()) ** 2
+    mix = lambda c: tuple(sorted(f"{n}" if label is None else f"{n}:{label}" for label, n in c.items()))
+    for cells in sorted(groups.values(), key=lambda c: (-uneven(c), -sum(c.values()), mix(c))):
+        cost = [sum(scale // totals[label] ** 2 * n * loads[label][f] for label, n in cells.items()) for f in range(k)]
+        f = min(range(k), key=lambda i: (cost[i], rows[i], i))
+        rows[f] += sum(cells.values())
+        for label, n in cells.items():
+            loads[label][f] += n
+        dealt.setdefault(mix(cells), [0] * k)[f] += 1
+    return dealt, mix
+
+
+@pytest.mark.parametrize(("n", "labels", "size"), [(400, 3, 40), (30_000, 2, 4), (24_000, 300, 4)])
+def test_stratified_groups_of_any_number(spark, n, labels, size):
+    rows = spark.range(n).select(F.col("id").alias("g"), F.explode(F.sequence(F.lit(0), F.xxhash64("id") % size)).alias("i"))
+    rows = rows.filter("i >= 0").withColumn("label", F.pmod(F.xxhash64("g", F.col("i") * 7), F.lit(labels)))
+    rows = rows.withColumns({"label": F.when(F.col("label") > 0, F.col("label")), "g": F.when(F.col("g") > 0, F.col("g"))})
+    groups = {}
+    for r in rows.groupBy("g", "label").count().collect():
+        groups.setdefault(r["g"], {})[r["label"]] = r["count"]
+    want, mix = greedy_folds(groups, 5)
+    got, folds = {}, splits.stratified_group_folds(rows, "g", "label", 5).collect()
+    for r in folds:
+        got.setdefault(mix(groups[r["g"]]), [0] * 5)[r["fold_idx"]] += 1
+        assert r["group_size"] == sum(groups[r["g"]].values())
+    assert got == want and len(folds) == len(groups)
