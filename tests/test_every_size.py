@@ -1,12 +1,18 @@
 """One answer on both sides of every size check, and checks that stay."""
 
+import random
+import shutil
+
 import pytest
 from pyspark.sql import functions as F
 
-from combisieve.operators import features, joins, predicates, reshape, sampling, skew, splits, tokens
+from combisieve.functions.hashing import hash_key
+from combisieve.operators import features, joins, matching, predicates, reshape, sampling, similarity, skew, splits, tokens
 from combisieve.session import scratch_path
 from combisieve.sources import assay, meta
 from combisieve.streaming import counters
+from workload import q_similarity
+from workload.base import ORACLES
 
 
 def listed(df):
@@ -180,3 +186,39 @@ def test_stratified_groups_of_any_number(spark, n, labels, size):
         got.setdefault(mix(groups[r["g"]]), [0] * 5)[r["fold_idx"]] += 1
         assert r["group_size"] == sum(groups[r["g"]].values())
     assert got == want and len(folds) == len(groups)
+
+
+def test_blocks_without_a_common_bit_are_matched(spark, sf, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    pick = random.Random(3)
+    sparse = [(i, [1.0 if x in on else -1.0 for x in range(64)]) for i in range(200) for on in [[i % 23] if i < 25 else pick.sample(range(64), pick.choice((1, 1, 2, 3)))]]
+    con = duckdb.connect()
+    con.execute("create table embeddings (vec_id bigint, embedding double[])")
+    con.executemany("insert into embeddings values (?, ?)", sparse)
+    con.execute(f"copy embeddings to '{tmp_path}/embeddings.parquet'")
+    # the smallest table has no held-out blocks
+    shutil.copy(f"{sf.replace('sf0.001', 'sf0.01')}/lineitem.parquet", tmp_path)
+    con.execute(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet'")
+    want = con.execute(ORACLES["sg5_validation_from_matches"]).fetchall()
+    got = q_similarity.validation_from_matches(spark, str(tmp_path)).select("target", "positives", "pct").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+@pytest.mark.parametrize("copies", [1, 2])
+def test_everyone_is_matched_in_order(spark, copies):
+    pick = random.Random(4)
+    left, right = ({i: 1 << pick.randrange(12) | 1 << pick.randrange(12) for i in range(lo, lo + n)} for lo, n in ((0, 25), (100, 25 // copies)))
+    a, b = (spark.createDataFrame([(i, [w]) for i, w in side.items()], "id bigint, words array<bigint>") for side in (left, right))
+    pairs = matching.member_pairs(similarity.similarity_pairs(a, b, threshold=0.01, n_bits=32), a, b)
+    got = matching.match_everyone(matching.match_edges(pairs, copies=copies), a, b, copies).collect()
+    edges = spark.createDataFrame(
+        [(x, y, c, 1 - (v & w).bit_count() / (v | w).bit_count()) for x, v in left.items() for y, w in right.items() for c in range(1, copies + 1)],
+        "a bigint, b bigint, copy int, cost double",
+    )
+    order = edges.withColumn("h", hash_key("a", "b", "copy")).orderBy("cost", "h", "a", "b", "copy").collect()
+    used, want = set(), []
+    for e in order:
+        if not {("a", e.a), (e.b, e.copy)} & used:
+            used |= {("a", e.a), (e.b, e.copy)}
+            want.append((e.a, e.b, e.copy, e.cost))
+    assert sorted(map(tuple, got)) == sorted(want) and any(e.cost == 1 for e in got)

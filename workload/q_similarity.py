@@ -136,9 +136,10 @@ ed{_n} as (select a.vec_id a, b.vec_id b, copy, 1-(bit_count(a.w0&b.w0)+bit_coun
 def validation_from_matches(spark, sf):
     kept = []
     for col in ("bb1", "bb2"):
-        # every pair of vectors with 20 to 44 of 64 bits set has a common bit or costs 1
-        pairs = similarity_pairs(_blocks(spark, sf, col, False), _blocks(spark, sf, col, True), threshold=0.01, n_bits=64)
-        kept.append(matching.one_to_one_match(matching.match_edges(pairs)).select("a"))
+        seen, held = _blocks(spark, sf, col, False), _blocks(spark, sf, col, True)
+        # a pair of 64-bit vectors with a common bit has at least 1/64
+        pairs = matching.member_pairs(similarity_pairs(seen, held, threshold=0.01, n_bits=64), seen, held)
+        kept.append(matching.match_everyone(matching.match_edges(pairs), seen, held).select("a"))
     return rounded(matching.validation_from_matches(X.train(spark, sf), *kept), "pct")
 
 
