@@ -427,6 +427,12 @@ def similar_classes(
     other than the two are ignored; an empty table gives an empty table.  Sets
     are compared by 64-bit hashes of their n-grams.
     """
+    return _rooted_classes(docs, doc_id, text, n, percent).drop("__root")
+
+
+def _rooted_classes(docs: DataFrame, doc_id: str, text: str, n: int, percent: int) -> DataFrame:
+    """``similar_classes`` with ``__root``, which names the component even where
+    components share their smallest id."""
     spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text"))
     described = cut_lineage(docs.select("doc", _described(n)("text").alias("s")).select("doc", F.col("s.n").alias("n"), F.col("s.id").alias("id")))
@@ -464,23 +470,33 @@ def similar_classes(
     roots = component_roots(linked.select(F.col("id").alias("src"), F.col("root").alias("dst")).filter("src <> dst"))
     lows = classes.join(roots, classes.id == roots.node, "left").select("id", F.coalesce("root", "id").alias("root"), "low")
     lowest = lows.groupBy("root").agg(F.min("low").alias("component"))
-    by_set = lows.join(lowest, "root").join(counts, "id", "left").select(F.col("id").alias("set"), "component", F.coalesce("n_links", F.lit(0)).alias("links"))
+    by_set = lows.join(lowest, "root").join(counts, "id", "left").select(F.col("id").alias("set"), "root", "component", F.coalesce("n_links", F.lit(0)).alias("links"))
     return described.join(by_set, F.col("id") == F.col("set"), "left").select(
         F.col("doc").alias(doc_id),
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("id")).alias("set_id"),
         F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"),
         F.coalesce("component", "doc").alias("component_id"),
+        F.col("root").alias("__root"),
     )
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` without near copies: of each component the document
-    with the smallest id stays, and rows that repeat its id and text stay once.
-    Rows without an id or without words always stay."""
-    classes = similar_classes(docs, doc_id, text, n, percent)
-    gone = classes.filter("component_id < " + doc_id).select(F.col(doc_id).alias("__gone")).distinct()
-    rows = docs.select(F.struct("*").alias("__row"), F.col(doc_id).alias("__id"), F.xxhash64(text).alias("__mark"), (F.col(doc_id).isNull()).alias("__free"))
-    left = rows.join(gone, F.col("__id") == F.col("__gone"), "left_anti")
-    once = left.filter("not __free").dropDuplicates(["__id", "__mark"])
-    return once.unionByName(left.filter("__free")).select("__row.*")
+    """The rows of ``docs`` without near copies: of each component one row with
+    the smallest id stays; where that id has several of its texts, the one with
+    the lowest hashes.  Texts that share an id are judged one by one.  Rows
+    without an id always stay, rows without words once per id and text."""
+    classes = cut_lineage(_rooted_classes(docs, doc_id, text, n, percent).filter(F.col(doc_id).isNotNull() & F.col("set_id").isNotNull()))
+    above = classes.filter(F.col("component_id") < F.col(doc_id)).select(F.col(doc_id).alias("__gone"), F.col("set_id").alias("__gone_set")).distinct()
+    lowest = classes.filter(F.col("component_id") == F.col(doc_id)).groupBy("__root", doc_id)
+    sets = lowest.agg(F.array_sort(F.collect_set("set_id")).alias("__sets")).filter("size(__sets) > 1")
+    gone = above.unionByName(
+        sets.select(F.col(doc_id).alias("__gone"), F.explode(F.slice("__sets", F.lit(2), F.size("__sets") - 1)).alias("__gone_set"))
+    )
+    rows = docs.select(F.struct("*").alias("__row"), F.col(doc_id).alias("__id"), F.xxhash64(text).alias("__mark"), _described(n)(F.col(text)).alias("__s"))
+    rows = rows.select("__row", "__id", "__mark", F.when(F.col("__s.n") > 0, F.col("__s.id")).alias("__set"))
+    free = rows.filter("__id is null").select("__row.*")
+    left = rows.filter("__id is not null").join(gone, (F.col("__id") == F.col("__gone")) & (F.col("__set") == F.col("__gone_set")), "left_anti")
+    blank = F.when(F.col("__set").isNull(), F.col("__mark")).alias("__blank")
+    once = left.groupBy("__id", "__set", blank).agg(F.min_by("__row", "__mark").alias("__row"))
+    return once.select("__row.*").unionByName(free)

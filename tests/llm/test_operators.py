@@ -124,6 +124,20 @@ def test_keep_one(docs):
     assert {4, 9}.isdisjoint({r.doc_id for r in kept}) and None in {r.doc_id for r in kept}
 
 
+def test_keep_one_of_texts_that_share_an_id(spark):
+    base, other, third = (" ".join(f"{c}{i}" for i in range(60)) for c in "abc")
+    items = [
+        (1, base), (2, base + " more"), (2, other),  # a near copy and a clean text under one id
+        (3, third), (3, third + " more"), (3, third.upper()), (3, "short and clean words of its own"),  # near copies under one id
+        (4, " "), (4, " "), (4, ""), (None, base), (None, base),
+    ]
+    kept = [tuple(r) for r in jaccard.keep_one(spark.createDataFrame(items, "doc_id bigint, text string"), n=4).collect()]
+    assert [t for i, t in kept if i == 1] == [base] and [t for i, t in kept if i == 2] == [other]
+    threes = [t for i, t in kept if i == 3]
+    assert len(threes) == 2 and "short and clean words of its own" in threes
+    assert sorted(t for i, t in kept if i == 4) == ["", " "] and kept.count((None, base)) == 2
+
+
 def test_decontamination(spark, docs, empty, monkeypatch):
     long = rows()[8][1]
     items = [(1, " ".join(long.split()[50:75])), (2, "One two"), (3, None), (4, ""), (5, "zzz"), (None, "one TWO"), (1, "e f"), (6, " ".join(long.split()[60:75]) + " other words")]
