@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from combisieve.llm import decontam, jaccard, langid, licenses, mixing, pii, quality, sharding, tokenbin, warc
+from combisieve.llm import bytebpe, centroids, decontam, jaccard, langid, licenses, mixing, pii, quality, sharding, spelling, tokenbin, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -175,3 +176,35 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", "size", F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
+
+
+@query("op11_byte_bpe_round_trip")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    coded = bytebpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
+    return bytebpe.decode(coded.drop("text"), ranks, public_tokenizers.PATTERN).select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query("op12_partenum_spelling")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.word_counts(table(spark, sf_dir, "documents")))
+
+
+@query("op13_bisector_clusters")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    clusters = centroids.fit(vectors)
+    # one row per centroid
+    ends = [(i, min(n, 2**63 - 1), hashlib.sha256(",".join(map(str, c)).encode()).hexdigest()) for i, (c, n) in enumerate(zip(*clusters, strict=True))]
+    told = spark.createDataFrame(ends, "cluster int, cluster_inertia bigint, centroid_sha256 string")
+    found = centroids.assign(vectors, clusters).filter("assigned is not null").select("vec_id", "assigned.*")
+    return found.join(F.broadcast(told), "cluster").select(
+        "vec_id", "cluster", "distance", "cluster_inertia", F.lit(sum(n for _, n, _ in ends)).cast("bigint").alias("inertia"), "centroid_sha256"
+    )
