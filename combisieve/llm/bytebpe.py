@@ -70,12 +70,16 @@ class Codec:
         with open(path, "rb") as lines:
             pairs = (line.split() for line in lines if line.strip())
             ranks = {base64.b64decode(token): int(rank) for token, rank in pairs}
-        make = functools.partial(tiktoken.Encoding, mergeable_ranks=ranks, special_tokens={})
-        self.split = make("split", pat_str=pattern)
-        self.whole = make("whole", pat_str=r"[\s\S]+")
+        self.make = functools.partial(tiktoken.Encoding, mergeable_ranks=ranks, special_tokens={})
+        self.split = self.make("split", pat_str=pattern)
         self.known = np.zeros(max(ranks.values(), default=-1) + 1, bool)
         self.known[list(ranks.values())] = True
 
+    @functools.cached_property
+    def whole(self):
+        """Takes a text as one match; few texts need it."""
+        return self.make("whole", pat_str=r"[\s\S]+")
+
     def encode(self, text: str) -> np.ndarray:
         ids = [(self.whole if one else self.split).encode_ordinary(part) for part, one in parts(text)]
         return np.concatenate([np.array(x, np.int32) for x in ids]) if ids else np.zeros(0, np.int32)

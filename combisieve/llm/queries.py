@@ -192,12 +192,72 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op12_partenum_spelling")
+OP12_SQL = """
+WITH RECURSIVE runs AS (
+  SELECT doc_id, run, count(*) AS n FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[A-Za-z\\x{C0}-\\x{FF}]+')) AS run FROM documents) GROUP BY ALL),
+crc AS (
+  SELECT list(list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM range(256) r(i)),
+hashed AS (
+  SELECT run, n, xor(4294967295, list_reduce(list_concat([4294967295], flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''),
+    lambda s: CASE WHEN unicode(s) < 128 THEN [unicode(s)::BIGINT] ELSE [195, unicode(s)::BIGINT - 64] END))),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS h
+  FROM runs, crc),
+words AS (
+  SELECT word, sum(n)::BIGINT AS n FROM (
+    SELECT CASE WHEN h % 199 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, n FROM hashed)
+  WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+short AS (
+  SELECT word, i, word[:i - 1] || word[i + 1:] AS s FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (
+  SELECT a.word AS x, b.word AS y FROM short a JOIN short b USING (i, s) WHERE a.word <> b.word
+  UNION SELECT word, s FROM short WHERE s IN (SELECT word FROM words)
+  UNION SELECT s, word FROM short WHERE s IN (SELECT word FROM words)),
+counted AS (
+  SELECT x AS word, count(*) AS n_near, arg_min(y, (-w.n, y)) AS best, max(w.n) AS best_n FROM near JOIN words w ON w.word = y GROUP BY x),
+formed AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 5 * n THEN best END AS form, CASE WHEN best_n >= 5 * n THEN best_n END AS form_n
+  FROM words LEFT JOIN counted USING (word)),
+steps AS (
+  SELECT word, word AS at FROM formed UNION SELECT s.word, f.form FROM steps s JOIN formed f ON f.word = s.at WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, s.at AS root, f.n, f.n_near, f.form_n
+FROM formed f JOIN steps s USING (word) JOIN formed e ON e.word = s.at WHERE e.form IS NULL
+"""
+
+
+@query("op12_partenum_spelling", OP12_SQL)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(spelling.word_counts(table(spark, sf_dir, "documents")))
 
 
-@query("op13_bisector_clusters")
+def _d_rounds(rounds: int = 3) -> str:
+    """Assignments ``a<r>`` to centroids ``c<r>`` and the centroids after them."""
+    assign = lambda r: f"""
+a{r} AS (SELECT rid, c, d FROM (
+  SELECT rid, c, list_sum(list_transform(list_zip(v.x, c{r}.x), lambda t: (t[1] - t[2]) * (t[1] - t[2])))::BIGINT AS d FROM v, c{r})
+  QUALIFY row_number() OVER (PARTITION BY rid ORDER BY d, c) = 1)"""
+    move = lambda r: f"""
+c{r + 1} AS (SELECT c, coalesce(m.x, c{r}.x) AS x FROM c{r} LEFT JOIN (
+  SELECT c, list(((s - (s % n + n) % n) // n)::BIGINT ORDER BY i) AS x FROM (
+    SELECT c, i, sum(y) AS s, count(*) AS n FROM a{r} JOIN p USING (rid) GROUP BY c, i) GROUP BY c) m USING (c))"""
+    return ",".join(f(r) for r in range(rounds) for f in (assign, move)) + "," + assign(rounds)
+
+
+OP13_SQL = f"""
+WITH v AS (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+p AS (SELECT rid, unnest(range(64)) AS i, unnest(x) AS y FROM v),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), x) - 1 AS c, x FROM v QUALIFY c < 16),{_d_rounds()},
+inertia AS (SELECT c, sum(d)::BIGINT AS cluster_inertia FROM a3 GROUP BY c)
+SELECT vec_id, c::INTEGER AS cluster, d AS distance, cluster_inertia, (SELECT sum(d) FROM a3)::BIGINT AS inertia, sha256(array_to_string(c3.x, ',')) AS centroid_sha256
+FROM a3 JOIN v USING (rid) JOIN c3 USING (c) JOIN inertia USING (c)
+"""
+
+
+@query("op13_bisector_clusters", OP13_SQL)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     clusters = centroids.fit(vectors)
