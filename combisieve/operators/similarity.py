@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -12,6 +14,7 @@ from pyspark.sql import Window as W
 
 from combisieve.functions.exprs import let
 from combisieve.operators.features import popcount
+from combisieve.operators.joins import keep_keys
 from combisieve.operators.skew import fits, spread_join
 from combisieve.session import cut_lineage
 
@@ -19,6 +22,9 @@ WORD_BITS = 32
 CELL_ROWS = 4_000
 BROADCAST_VECTORS = 20_000
 GRID_ROWS = 2_048
+#: Thresholds at which neighbours are looked for, one after the other.
+LEVELS = (0.8, 0.5, 0.25)
+PROBES = 1_024
 METRICS = ("tanimoto", "dice", "cosine", "tversky")
 
 
@@ -133,10 +139,20 @@ def similarity_pairs(
         raise ValueError("the threshold must be above 0 and at most 1")
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric!r}")
-    spark = left.sparkSession
-    # read five times below: written once instead of rebuilding the vectors
+    # read several times below: written once instead of rebuilding the vectors
     lv = cut_lineage(distinct_vectors(left, id_col, words))
     rv = lv if right is None else cut_lineage(distinct_vectors(right, id_col, words))
+    found = _candidates(lv, rv, right is None, threshold, n_bits, metric, alpha, beta)
+    return _scored(found, lv, rv, threshold, metric, alpha, beta)
+
+
+def _candidates(
+    lv: DataFrame, rv: DataFrame, one_table: bool, threshold: float, n_bits: int, metric: str, alpha: float, beta: float,
+    most_rows: int | None = None,
+) -> DataFrame | None:
+    """``(l_id, r_id, l_size, r_size)``: pairs of distinct vectors that may reach
+    the threshold; None where the join of the lists has more than ``most_rows``."""
+    spark = lv.sparkSession
     # frequency per bit: at most n_bits numbers
     places = F.sequence(F.lit(0), F.lit(n_bits - 1))
     on = F.filter(places, lambda p: F.get("words", F.floor(p / WORD_BITS).cast("int")).bitwiseAND(
@@ -150,12 +166,16 @@ def similarity_pairs(
         "size int, band int, l_lo int, l_hi int, l_need int, band_lo int, band_hi int, r_lo int, r_hi int, r_need int",
     )
 
-    lp = _ranked(lv, rank, bounds, "l").withColumn("band", F.explode(F.sequence("band_lo", "band_hi"))).drop("band_lo", "band_hi")
-    rp = _ranked(rv, rank, bounds, "r").drop("band_lo", "band_hi", "r_lo", "r_hi")
+    # the lists of bits are made once, then read for the cells and for the join
+    lp = cut_lineage(_ranked(lv, rank, bounds, "l").withColumn("band", F.explode(F.sequence("band_lo", "band_hi"))).drop("band_lo", "band_hi"))
+    rp = cut_lineage(_ranked(rv, rank, bounds, "r").drop("band_lo", "band_hi", "r_lo", "r_hi"))
     # at most n_bits * n_bands rows each: how many parts a list is cut into
-    lc = lp.groupBy("bit", "band").agg(F.ceil(F.count(F.lit(1)) / CELL_ROWS).cast("int").alias("l_parts"))
-    rc = rp.groupBy("bit", "band").agg(F.ceil(F.count(F.lit(1)) / CELL_ROWS).cast("int").alias("r_parts"))
-    cells = F.broadcast(lc.join(rc, ["bit", "band"]))
+    lc, rc = (df.groupBy("bit", "band").agg(F.count(F.lit(1)).alias(n)) for df, n in ((lp, "l_n"), (rp, "r_n")))
+    both = lc.join(rc, ["bit", "band"])
+    if most_rows is not None and (both.agg(F.sum(F.col("l_n").cast("decimal(38,0)") * F.col("r_n"))).first()[0] or 0) > most_rows:
+        return None
+    parts = [F.ceil(F.col(f"{side}_n") / CELL_ROWS).cast("int").alias(f"{side}_parts") for side in "lr"]
+    cells = F.broadcast(both.select("bit", "band", *parts))
     lp = lp.join(cells, ["bit", "band"]).withColumns({
         "l_part": F.pmod(F.xxhash64("l_id"), F.col("l_parts")),
         "r_part": F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("r_parts").cast("bigint") - 1)),
@@ -167,37 +187,45 @@ def similarity_pairs(
 
     pairs = lp.join(rp, ["bit", "band", "l_part", "r_part"])
     keep = F.col("r_size").between(F.col("l_lo"), F.col("l_hi"))
-    if right is None:
+    if one_table:
         keep = keep & (F.col("l_id") < F.col("r_id"))
     # at their first common bit two vectors share at most what is left of either
     most = F.least(F.col("l_size") - F.col("l_pos"), F.col("r_size") - F.col("r_pos"))
-    sizes = F.col("l_size"), F.col("r_size")
-    keep = keep & (similarity_of(most, *sizes, metric, alpha, beta) >= F.lit(threshold - 1e-9))
+    keep = keep & (similarity_of(most, F.col("l_size"), F.col("r_size"), metric, alpha, beta) >= F.lit(threshold - 1e-9))
     # only ids travel until the candidates are distinct
-    found = pairs.filter(keep).select("l_id", "r_id", "l_size", "r_size").distinct()
+    return pairs.filter(keep).select("l_id", "r_id", "l_size", "r_size").distinct()
+
+
+def _scored(
+    found: DataFrame, lv: DataFrame, rv: DataFrame, threshold: float, metric: str, alpha: float, beta: float
+) -> DataFrame:
+    """Similarity of candidates, those that reach the threshold."""
     full = _attach_vectors(_attach_vectors(found, lv, "l"), rv, "r")
-    sim = similarity_of(common_bits("l_words", "r_words"), *sizes, metric, alpha, beta)
+    sim = similarity_of(common_bits("l_words", "r_words"), F.col("l_size"), F.col("r_size"), metric, alpha, beta)
     return full.select(
         F.col("l_id").alias("left_id"), F.col("r_id").alias("right_id"), sim.alias("similarity"),
         F.col("l_copies").alias("left_copies"), F.col("r_copies").alias("right_copies"),
     ).filter(F.col("similarity") >= F.lit(threshold))
 
 
-def _grid(queries: DataFrame, targets: DataFrame, id_col: str, words: str, schema: str, reduce_cell) -> DataFrame:
-    """Run ``reduce_cell(query ids, target ids, similarity matrix)`` over a grid
-    of query and target blocks of bounded size; only reduced rows come out."""
-    nq = max(1, -(-queries.count() // GRID_ROWS))
-    nt = max(1, -(-targets.count() // GRID_ROWS))
-
-    def blocks(df: DataFrame, mine: str, n: int, other: str, m: int) -> DataFrame:
-        return df.select(
-            F.col(id_col).alias("id"), F.col(words).alias("words"),
-            F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int").alias(mine),
-            F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other),
+def _grid(queries: DataFrame, targets: DataFrame, schema: str, reduce_cell) -> tuple[DataFrame, DataFrame]:
+    """Run ``reduce_cell(queries, targets)`` over a grid of blocks of bounded size
+    for each ``cls`` of ``(id, words, cls)``; only reduced rows come out.  A row
+    is copied to the blocks of the other side in its own class.  Also the rows of
+    each side by class (``cls``, ``q_n``, ``t_n``)."""
+    sides = [df.groupBy("cls").agg(F.count(F.lit(1)).alias(n)) for df, n in ((queries, "q_n"), (targets, "t_n"))]
+    # a class is an interval of sizes: few rows
+    cells = cut_lineage(sides[0].join(sides[1], "cls"))
+    parts = F.broadcast(cells.select("cls", *[F.ceil(F.col(n) / GRID_ROWS).cast("int").alias(n) for n in ("q_n", "t_n")]))
+
+    def blocks(df: DataFrame, mine: str, n: str, other: str, m: str) -> DataFrame:
+        return df.join(parts, "cls").select(
+            "id", "words", "cls", F.pmod(F.xxhash64("id"), F.col(n)).cast("int").alias(mine),
+            F.explode(F.sequence(F.lit(0), F.col(m) - 1)).alias(other),
         )
 
-    q, t = blocks(queries, "qb", nq, "tb", nt), blocks(targets, "tb", nt, "qb", nq)
-    return q.groupBy("qb", "tb").cogroup(t.groupBy("qb", "tb")).applyInPandas(reduce_cell, schema)
+    q, t = blocks(queries, "qb", "q_n", "tb", "t_n"), blocks(targets, "tb", "t_n", "qb", "q_n")
+    return q.groupBy("cls", "qb", "tb").cogroup(t.groupBy("cls", "qb", "tb")).applyInPandas(reduce_cell, schema), cells
 
 
 def _matrix(q: pd.DataFrame, t: pd.DataFrame, metric: str, alpha: float, beta: float) -> np.ndarray:
@@ -213,47 +241,181 @@ def _matrix(q: pd.DataFrame, t: pd.DataFrame, metric: str, alpha: float, beta: f
     return np.nan_to_num(sim, nan=0.0)
 
 
-def similarity_summary(
-    queries: DataFrame, targets: DataFrame, id_col: str = "id", words: str = "words",
-    metric: str = "tanimoto", alpha: float = 0.5, beta: float = 0.5,
+def _width(*frames: DataFrame) -> int:
+    """Bits of the widest vector of the tables."""
+    return WORD_BITS * max(df.agg(F.max(F.size("words"))).first()[0] or 0 for df in frames)
+
+
+def _compared(report: list | None, stage: str, pairs: int) -> None:
+    if report is not None:
+        report.append((stage, pairs))
+
+
+def _near_vectors(
+    qv: DataFrame, tv: DataFrame, want: int, metric: str, alpha: float, beta: float, levels: Sequence[float], report: list | None
 ) -> DataFrame:
-    """``(query_id, best, worst, spread)`` over all targets."""
+    """``(left_id, right_id, similarity)``: per distinct query vector the first
+    ``want`` distinct target vectors by (similarity, lowest id).
+
+    The threshold falls from level to level.  A query whose targets at a level
+    have ``want`` rows is done, since all pairs of the level are known; only the
+    others go on.  What is left after the last level, or where the lists of a
+    level would give more rows than there are pairs, is compared block by block.
+    """
+    def first(pairs: DataFrame) -> DataFrame:
+        # Spark cuts each task's rows to ``want`` per query before the shuffle
+        rank = F.row_number().over(W.partitionBy("left_id").orderBy(F.desc("similarity"), "right_id"))
+        return pairs.withColumn("__r", rank).filter(F.col("__r") <= want).select("left_id", "right_id", "similarity")
+
+    n_bits, n_targets, left, parts = _width(qv, tv), tv.count(), qv, []
+    for level in levels:
+        found = _candidates(left, tv, False, level, n_bits, metric, alpha, beta, left.count() * n_targets)
+        if found is None:
+            break
+        found = cut_lineage(found)
+        if report is not None:
+            _compared(report, f"level {level}", found.count())
+        pairs = cut_lineage(_scored(found, left, tv, level, metric, alpha, beta))
+        rows = pairs.groupBy("left_id").agg(F.sum("right_copies").alias("n"))
+        done = cut_lineage(rows.filter(F.col("n") >= want).select(F.col("left_id").alias("id")))
+        parts.append(first(keep_keys(pairs, done.withColumnRenamed("id", "left_id"), ["left_id"])))
+        left = cut_lineage(keep_keys(left, done, ["id"], inside=False))
+        if left.isEmpty():
+            return reduce(DataFrame.unionByName, parts)
+
     def cell(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         if q.empty or t.empty:
-            return pd.DataFrame({"query_id": [], "best": [], "worst": []})
+            return pd.DataFrame({"left_id": [], "right_id": [], "similarity": []})
+        t = t.sort_values("id")
         sim = _matrix(q, t, metric, alpha, beta)
-        return pd.DataFrame({"query_id": q["id"].to_numpy(), "best": sim.max(axis=1), "worst": sim.min(axis=1)})
+        best = np.argsort(-sim, axis=1, kind="stable")[:, :want]
+        return pd.DataFrame({
+            "left_id": np.repeat(q["id"].to_numpy(), best.shape[1]),
+            "right_id": t["id"].to_numpy()[best].ravel(),
+            "similarity": np.take_along_axis(sim, best, axis=1).ravel(),
+        })
 
-    kind = queries.schema[id_col].dataType.simpleString()
-    parts = _grid(queries, targets, id_col, words, f"query_id {kind}, best double, worst double", cell)
-    out = parts.groupBy("query_id").agg(F.max("best").alias("best"), F.min("worst").alias("worst"))
-    return out.withColumn("spread", F.col("best") - F.col("worst"))
+    kinds = [df.schema["id"].dataType.simpleString() for df in (qv, tv)]
+    whole = [df.select("id", "words", F.lit(0).alias("cls")) for df in (left, tv)]
+    rest, cells = _grid(*whole, f"left_id {kinds[0]}, right_id {kinds[1]}, similarity double", cell)
+    if report is not None:
+        _compared(report, "blocks", cells.agg(F.coalesce(F.sum(F.col("q_n") * F.col("t_n")), F.lit(0))).first()[0])
+    return reduce(DataFrame.unionByName, [*parts, first(rest)])
 
 
 def nearest(
     queries: DataFrame, targets: DataFrame, k: int, id_col: str = "id", words: str = "words", metric: str = "tanimoto",
-    alpha: float = 0.5, beta: float = 0.5, exclude_self: bool = False,
+    alpha: float = 0.5, beta: float = 0.5, exclude_self: bool = False, levels: Sequence[float] = LEVELS, report: list | None = None,
 ) -> DataFrame:
     """``(query_id, rank, target_id, similarity)``: the k most similar targets,
-    ties by target id.  Every block hands on k rows per query."""
+    ties by target id; ``exclude_self`` leaves out the target with the query's id.
+
+    Exact: ``levels`` only decide how many pairs are looked at.  ``report``
+    collects ``(stage, pairs compared)``.  Rows without a vector take no part.
+    """
+    want = k + exclude_self
+    queries, targets = (df.select(F.col(id_col).alias("id"), F.col(words).alias("words")).filter("words is not null") for df in (queries, targets))
+    qv, tv = (cut_lineage(distinct_vectors(df, "id", "words")) for df in (queries, targets))
+    if not _width(qv, tv) or tv.isEmpty():
+        kinds = [df.schema["id"].dataType.simpleString() for df in (queries, targets)]
+        return queries.sparkSession.createDataFrame([], f"query_id {kinds[0]}, rank int, target_id {kinds[1]}, similarity double")
+    near = _near_vectors(qv, tv, want, metric, alpha, beta, levels, report)
+    # the lowest ids of each target vector: no more than ``want`` can be called for
+    number = F.row_number().over(W.partitionBy("words").orderBy("id"))
+    lowest = targets.withColumn("__r", number).filter(F.col("__r") <= want).groupBy("words").agg(
+        F.min("id").alias("right_id"), F.collect_list("id").alias("ids")
+    )
+    each = spread_join(near, lowest.select("right_id", "ids"), ["right_id"], "inner", ["left_id"]).select(
+        "left_id", "similarity", F.explode("ids").alias("target_id")
+    )
+    place = F.row_number().over(W.partitionBy("left_id").orderBy(F.desc("similarity"), "target_id"))
+    listed = each.withColumn("__r", place).filter(F.col("__r") <= want).groupBy("left_id").agg(
+        F.array_sort(F.collect_list(F.struct("__r", "target_id", "similarity"))).alias("near")
+    )
+    by_vector = qv.join(listed, qv["id"] == listed["left_id"]).select("words", "near")
+    near = F.col("near")
+    if exclude_self:
+        near = F.filter(near, lambda x: x["target_id"] != F.col("id"))
+    out = spread_join(queries, by_vector, ["words"], "inner", ["id"]).select(
+        F.col("id").alias("query_id"), F.posexplode(F.slice(near, 1, k)).alias("__p", "x")
+    )
+    return out.select("query_id", (F.col("__p") + 1).alias("rank"), F.col("x.target_id").alias("target_id"), F.col("x.similarity").alias("similarity"))
+
+
+def _size_classes(tv: DataFrame) -> list[tuple[int, int]]:
+    """``(lowest, highest)`` size of classes of targets, small sizes together.
+    The driver sees one row per size."""
+    sizes = tv.groupBy(popcount("words").alias("size")).agg(F.count(F.lit(1)).alias("n")).orderBy("size").collect()
+    classes, held = [], 0
+    for r in sizes:
+        if not classes or held >= GRID_ROWS:
+            classes.append((r["size"], r["size"]))
+            held = 0
+        classes[-1] = (classes[-1][0], r["size"])
+        held += r["n"]
+    return classes
+
+
+def _farthest(qv: DataFrame, tv: DataFrame, metric: str, alpha: float, beta: float, report: list | None) -> DataFrame:
+    """``(id, worst)``: the lowest similarity of each distinct query vector.
+
+    First against ``PROBES`` targets with the fewest bits and as many others: a
+    query with nothing in common with one of them is done.  Two vectors of a and
+    b bits out of n share at least a + b - n, so the rest only meet the classes
+    of sizes that can go below what they have.
+    """
+    n_bits, classes = _width(qv, tv), _size_classes(tv)
+    sized = tv.select("id", "words", popcount("words").alias("size"))
+    probes = [
+        r["words"] for order in (["size", "id"], [F.xxhash64("id"), "id"]) for r in sized.orderBy(*order).limit(PROBES).select("words").collect()
+    ]
+    _compared(report, "probes", 0 if report is None else qv.count() * len(probes))
+    low = np.array([c[0] for c in classes], float)
+    found = pd.DataFrame({"words": probes})
+
+    def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for q in batches:
+            if q.empty:
+                continue
+            worst = _matrix(q, found, metric, alpha, beta).min(axis=1)
+            bits = np.bitwise_count(np.stack(q["words"].to_numpy()).astype(np.uint64)).sum(axis=1).astype(float)[:, None]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                least = similarity_of(np.maximum(0.0, bits + low[None, :] - n_bits), bits, low[None, :], metric, alpha, beta, np.sqrt)
+            open_to = np.nan_to_num(least, nan=0.0) < worst[:, None]
+            yield pd.DataFrame({"id": q["id"], "words": q["words"], "worst": worst, "classes": [np.flatnonzero(x).tolist() for x in open_to]})
+
+    kind = qv.schema["id"].dataType.simpleString()
+    seen = cut_lineage(qv.select("id", "words").mapInPandas(probe, f"id {kind}, words array<bigint>, worst double, classes array<int>"))
+    rest = seen.filter("worst > 0").select("id", "words", F.explode("classes").alias("cls"))
+    class_of = F.array_position(F.transform(F.array(*[F.lit(c[1]) for c in classes]), lambda top: F.col("size") <= top), True) - 1
+
     def cell(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         if q.empty or t.empty:
-            return pd.DataFrame({"query_id": [], "target_id": [], "similarity": []})
-        t = t.sort_values("id")
-        ids = t["id"].to_numpy()
-        sim = _matrix(q, t, metric, alpha, beta)
-        if exclude_self:
-            sim[q["id"].to_numpy()[:, None] == ids[None, :]] = -1.0
-        best = np.argsort(-sim, axis=1, kind="stable")[:, :k]
-        out = pd.DataFrame({
-            "query_id": np.repeat(q["id"].to_numpy(), best.shape[1]),
-            "target_id": ids[best].ravel(),
-            "similarity": np.take_along_axis(sim, best, axis=1).ravel(),
-        })
-        return out[out["similarity"] >= 0]
+            return pd.DataFrame({"id": [], "worst": []})
+        return pd.DataFrame({"id": q["id"].to_numpy(), "worst": _matrix(q, t, metric, alpha, beta).min(axis=1)})
+
+    more, cells = _grid(rest, sized.select("id", "words", class_of.cast("int").alias("cls")), f"id {kind}, worst double", cell)
+    if report is not None:
+        _compared(report, "classes", cells.agg(F.coalesce(F.sum(F.col("q_n") * F.col("t_n")), F.lit(0))).first()[0])
+    return seen.select("id", "worst").unionByName(more).groupBy("id").agg(F.min("worst").alias("worst"))
+
+
+def similarity_summary(
+    queries: DataFrame, targets: DataFrame, id_col: str = "id", words: str = "words",
+    metric: str = "tanimoto", alpha: float = 0.5, beta: float = 0.5, report: list | None = None,
+) -> DataFrame:
+    """``(query_id, best, worst, spread)`` over all targets.
 
-    kinds = [d.schema[id_col].dataType.simpleString() for d in (queries, targets)]
-    schema = f"query_id {kinds[0]}, target_id {kinds[1]}, similarity double"
-    parts = _grid(queries, targets, id_col, words, schema, cell)
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("similarity"), "target_id"))
-    return parts.withColumn("rank", rank).filter(F.col("rank") <= k)
+    Queries with equal vectors are looked up once.  ``report`` collects
+    ``(stage, pairs compared)``.  Rows without a vector take no part, and without
+    targets there is no row.
+    """
+    queries, targets = (df.select(F.col(id_col).alias("id"), F.col(words).alias("words")).filter("words is not null") for df in (queries, targets))
+    qv, tv = (cut_lineage(distinct_vectors(df, "id", "words")) for df in (queries, targets))
+    if tv.isEmpty():
+        return queries.limit(0).select(F.col("id").alias("query_id"), *[F.lit(0.0).alias(c) for c in ("best", "worst", "spread")])
+    best = _near_vectors(qv, tv, 1, metric, alpha, beta, LEVELS, report).select(F.col("left_id").alias("id"), F.col("similarity").alias("best"))
+    both = qv.select("id", "words").join(best, "id").join(_farthest(qv, tv, metric, alpha, beta, report), "id").select("words", "best", "worst")
+    out = spread_join(queries, both, ["words"], "inner", ["id"])
+    out = out.groupBy(F.col("id").alias("query_id")).agg(F.max("best").alias("best"), F.min("worst").alias("worst"))
+    return out.withColumn("spread", F.col("best") - F.col("worst"))
