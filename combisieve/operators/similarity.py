@@ -146,6 +146,14 @@ def similarity_pairs(
     return _scored(found, lv, rv, threshold, metric, alpha, beta)
 
 
+def similarity_pairs_of(
+    left: DataFrame, right: DataFrame, threshold: float, n_bits: int, metric: str = "tanimoto", alpha: float = 0.5, beta: float = 0.5
+) -> DataFrame:
+    """``similarity_pairs`` of two tables that ``distinct_vectors`` made."""
+    found = _candidates(left, right, False, threshold, n_bits, metric, alpha, beta)
+    return _scored(found, left, right, threshold, metric, alpha, beta)
+
+
 def _candidates(
     lv: DataFrame, rv: DataFrame, one_table: bool, threshold: float, n_bits: int, metric: str, alpha: float, beta: float,
     most_rows: int | None = None,
@@ -208,7 +216,7 @@ def _scored(
     ).filter(F.col("similarity") >= F.lit(threshold))
 
 
-def _grid(queries: DataFrame, targets: DataFrame, schema: str, reduce_cell) -> tuple[DataFrame, DataFrame]:
+def compare_blocks(queries: DataFrame, targets: DataFrame, schema: str, reduce_cell) -> tuple[DataFrame, DataFrame]:
     """Run ``reduce_cell(queries, targets)`` over a grid of blocks of bounded size
     for each ``cls`` of ``(id, words, cls)``; only reduced rows come out.  A row
     is copied to the blocks of the other side in its own class.  Also the rows of
@@ -220,7 +228,7 @@ def _grid(queries: DataFrame, targets: DataFrame, schema: str, reduce_cell) -> t
 
     def blocks(df: DataFrame, mine: str, n: str, other: str, m: str) -> DataFrame:
         return df.join(parts, "cls").select(
-            "id", "words", "cls", F.pmod(F.xxhash64("id"), F.col(n)).cast("int").alias(mine),
+            *df.columns, F.pmod(F.xxhash64("id"), F.col(n)).cast("int").alias(mine),
             F.explode(F.sequence(F.lit(0), F.col(m) - 1)).alias(other),
         )
 
@@ -228,7 +236,7 @@ def _grid(queries: DataFrame, targets: DataFrame, schema: str, reduce_cell) -> t
     return q.groupBy("cls", "qb", "tb").cogroup(t.groupBy("cls", "qb", "tb")).applyInPandas(reduce_cell, schema), cells
 
 
-def _matrix(q: pd.DataFrame, t: pd.DataFrame, metric: str, alpha: float, beta: float) -> np.ndarray:
+def similarity_matrix(q: pd.DataFrame, t: pd.DataFrame, metric: str, alpha: float = 0.5, beta: float = 0.5) -> np.ndarray:
     a = np.stack(q["words"].to_numpy()).astype(np.uint64)
     b = np.stack(t["words"].to_numpy()).astype(np.uint64)
     common = np.zeros((len(a), len(b)))
@@ -287,7 +295,7 @@ def _near_vectors(
         if q.empty or t.empty:
             return pd.DataFrame({"left_id": [], "right_id": [], "similarity": []})
         t = t.sort_values("id")
-        sim = _matrix(q, t, metric, alpha, beta)
+        sim = similarity_matrix(q, t, metric, alpha, beta)
         best = np.argsort(-sim, axis=1, kind="stable")[:, :want]
         return pd.DataFrame({
             "left_id": np.repeat(q["id"].to_numpy(), best.shape[1]),
@@ -297,7 +305,7 @@ def _near_vectors(
 
     kinds = [df.schema["id"].dataType.simpleString() for df in (qv, tv)]
     whole = [df.select("id", "words", F.lit(0).alias("cls")) for df in (left, tv)]
-    rest, cells = _grid(*whole, f"left_id {kinds[0]}, right_id {kinds[1]}, similarity double", cell)
+    rest, cells = compare_blocks(*whole, f"left_id {kinds[0]}, right_id {kinds[1]}, similarity double", cell)
     if report is not None:
         _compared(report, "blocks", cells.agg(F.coalesce(F.sum(F.col("q_n") * F.col("t_n")), F.lit(0))).first()[0])
     return reduce(DataFrame.unionByName, [*parts, first(rest)])
@@ -377,7 +385,7 @@ def _farthest(qv: DataFrame, tv: DataFrame, metric: str, alpha: float, beta: flo
         for q in batches:
             if q.empty:
                 continue
-            worst = _matrix(q, found, metric, alpha, beta).min(axis=1)
+            worst = similarity_matrix(q, found, metric, alpha, beta).min(axis=1)
             bits = np.bitwise_count(np.stack(q["words"].to_numpy()).astype(np.uint64)).sum(axis=1).astype(float)[:, None]
             with np.errstate(divide="ignore", invalid="ignore"):
                 least = similarity_of(np.maximum(0.0, bits + low[None, :] - n_bits), bits, low[None, :], metric, alpha, beta, np.sqrt)
@@ -392,9 +400,9 @@ def _farthest(qv: DataFrame, tv: DataFrame, metric: str, alpha: float, beta: flo
     def cell(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         if q.empty or t.empty:
             return pd.DataFrame({"id": [], "worst": []})
-        return pd.DataFrame({"id": q["id"].to_numpy(), "worst": _matrix(q, t, metric, alpha, beta).min(axis=1)})
+        return pd.DataFrame({"id": q["id"].to_numpy(), "worst": similarity_matrix(q, t, metric, alpha, beta).min(axis=1)})
 
-    more, cells = _grid(rest, sized.select("id", "words", class_of.cast("int").alias("cls")), f"id {kind}, worst double", cell)
+    more, cells = compare_blocks(rest, sized.select("id", "words", class_of.cast("int").alias("cls")), f"id {kind}, worst double", cell)
     if report is not None:
         _compared(report, "classes", cells.agg(F.coalesce(F.sum(F.col("q_n") * F.col("t_n")), F.lit(0))).first()[0])
     return seen.select("id", "worst").unionByName(more).groupBy("id").agg(F.min("worst").alias("worst"))

@@ -1,5 +1,6 @@
 """One answer on both sides of every size check, and checks that stay."""
 
+import hashlib
 import random
 import shutil
 
@@ -215,10 +216,63 @@ def test_everyone_is_matched_in_order(spark, copies):
         [(x, y, c, 1 - (v & w).bit_count() / (v | w).bit_count()) for x, v in left.items() for y, w in right.items() for c in range(1, copies + 1)],
         "a bigint, b bigint, copy int, cost double",
     )
-    order = edges.withColumn("h", hash_key("a", "b", "copy")).orderBy("cost", "h", "a", "b", "copy").collect()
+    order = edges.filter("cost < 1").withColumn("h", hash_key("a", "b", "copy")).orderBy("cost", "h", "a", "b", "copy").collect()
     used, want = set(), []
     for e in order:
         if not {("a", e.a), (e.b, e.copy)} & used:
             used |= {("a", e.a), (e.b, e.copy)}
             want.append((e.a, e.b, e.copy, e.cost))
+    ranked = [
+        [tuple(r)[1:] for r in edges.select(*ids).distinct().select(hash_key(*ids).alias("h"), *ids).orderBy("h", *ids).collect()]
+        for ids in (["a"], ["b", "copy"])
+    ]
+    free = [[x for x in ranked[0] if ("a", x[0]) not in used], [x for x in ranked[1] if x not in used]]
+    want += [(*x, *y, 1.0) for x, y in zip(*free)]
     assert sorted(map(tuple, got)) == sorted(want) and any(e.cost == 1 for e in got)
+
+
+def _taken(left, right, copies, inverse):
+    """Vectors in the order (cost, hash, ids), as often as both have rows; rows
+    in hash order: one after the other."""
+    key = lambda *ids: int(hashlib.md5(":".join(["42", *map(str, ids)]).encode()).hexdigest()[:13], 16)
+    sides = []
+    for rows, n in ((left, 1), (right, copies)):
+        groups = {}
+        for i, w in rows:
+            groups.setdefault(w, []).append(i)
+        units = lambda ids: sorted([(i,) for i in ids] if n == 1 and rows is left else [(i, c) for i in ids for c in range(1, n + 1)], key=lambda x: (key(*x), *x))
+        sides.append({min(ids): (w, units(ids)) for w, ids in groups.items()})
+    alike = lambda v, w: (v & w).bit_count() / (v | w).bit_count() if v and w else 0.0
+    edges = []
+    for u, (v, _) in sides[0].items():
+        for x, (w, _) in sides[1].items():
+            cost = alike(v, w) if inverse else 1 - alike(v, w)
+            if inverse or cost < 1:
+                edges.append((cost, key(u) ^ key(x), u, x))
+    out = []
+    for cost, _, u, x in sorted(edges):
+        a, b = sides[0][u][1], sides[1][x][1]
+        while a and b:
+            out.append((*a.pop(0), *b.pop(0), cost))
+    if not inverse:
+        free = [sorted((y for _, ys in s.values() for y in ys), key=lambda x: (key(*x), *x)) for s in sides]
+        out += [(*x, *y, 1.0) for x, y in zip(*free)]
+    return sorted((a, b, c, round(cost, 9)) for a, b, c, cost in out)
+
+
+@pytest.mark.parametrize(("copies", "inverse"), [(1, False), (3, False), (1, True)])
+def test_tables_are_matched_in_order(spark, copies, inverse, monkeypatch):
+    """Vectors with many rows, empty ones and such that share no bit."""
+    monkeypatch.setattr(similarity, "GRID_ROWS", 8)
+    pick = random.Random(7)
+    word = lambda: sum(1 << b for b in pick.sample(range(16), pick.randrange(1, 4)))
+    hub = word()
+    left = [(i, hub if i % 3 == 0 else word()) for i in range(45)] + [(98, 0), (99, 0)]
+    right = [(100 + i, hub ^ 1 if i % 4 == 0 else word()) for i in range(40 // copies)] + [(200, 0)]
+    a, b = (spark.createDataFrame([(i, [w]) for i, w in rows] + [(-1, None)], "id bigint, words array<bigint>") for rows in (left, right))
+    got = matching.match_tables(a, b, copies, inverse=inverse).collect()
+    assert sorted((r.a, r.b, r.copy, round(r.cost, 9)) for r in got) == _taken(left, right, copies, inverse)
+    if copies == 1 and not inverse:
+        near = matching.match_tables(a, b, max_cost=0.5).collect()
+        assert sorted((r.a, r.b, r.copy, round(r.cost, 9)) for r in near) == [x for x in _taken(left, right, 1, False) if x[3] <= 0.5]
+        assert matching.match_tables(a.limit(0), b).count() == matching.match_tables(a, b.limit(0), inverse=True).count() == 0

@@ -110,6 +110,55 @@ def unmatched(spark, sf):
     return X.stack_rows([matching.unmatched(n, matches, s).withColumn("side", F.lit(s)) for s, n in sides.items()])
 
 
+def d_rounds(cost: str, where: str) -> list[str]:
+    """All pairs of distinct vectors of the even and the odd rows, taken in the
+    order (cost, hash, ids) as often as both have rows: rounds of pairs that are
+    first on both sides, as CTEs that end in ``flow(u, v, cost, fu, fv, m)``, and
+    the rows of each vector in hash order, ``ra(u, a, i)`` and ``rb(v, b, j)``."""
+    sides = []
+    for t, odd, n, who, r in (("na", 0, "u", "a", "i"), ("nb", 1, "v", "b", "j")):
+        key = "vec_id::varchar" if n == "u" else "vec_id::varchar||':1'"
+        sides.append(f"""{t} as (select *, {X.d_hash(f"{n}::varchar")} h from (select w0, w1, min(vec_id) {n}, count(*)::bigint c from fp where vec_id%2={odd} group by w0, w1)),
+r{who} as (select {n}, vec_id {who}, row_number() over (partition by {n} order by {X.d_hash(key)}, vec_id)-1 {r} from fp join {t} using (w0, w1) where vec_id%2={odd})""")
+    sim = "(bit_count(na.w0&nb.w0)+bit_count(na.w1&nb.w1))/(bit_count(na.w0|nb.w0)+bit_count(na.w1|nb.w1))::double"
+    mine = "row_number() over (partition by {0} order by cost, h, u, v)=1"
+    return [
+        *sides,
+        f"eg as (select u, v, {cost.format(sim)} cost, xor(na.h, nb.h) h, na.c cu, nb.c cv from na, nb)",
+        f"""rec as (select 0 round, *, 0::bigint m from eg where {where} union all
+ select round+1, u, v, cost, h, cu-uu, cv-uv, n from (select *, sum(n) over (partition by u)::bigint uu, sum(n) over (partition by v)::bigint uv from (
+ select *, case when {mine.format("u")} and {mine.format("v")} then least(cu, cv) else 0 end n from rec where m=0)) where n>0 or (cu>uu and cv>uv))""",
+        """flow as (select u, v, cost, m, coalesce(sum(m) over (partition by u order by cost, h, v rows between unbounded preceding and 1 preceding), 0) fu,
+ coalesce(sum(m) over (partition by v order by cost, h, u rows between unbounded preceding and 1 preceding), 0) fv from rec where m>0)""",
+        "unit as (select u, v, cost, fu+x i, fv+x j from (select *, unnest(range(m)) x from flow))",
+        "done as (select a, b, cost from unit join ra using (u, i) join rb using (v, j))",
+    ]
+
+
+def d_by_rank(table: str, node: str, key: str, taken: str) -> str:
+    return f"(select {node}, row_number() over (order by {X.d_hash(key)}, {node}) r from {table} where {node} not in (select {node} from {taken}))"
+
+
+def _halves(spark, sf):
+    fp = X.fingerprints(spark, sf).withColumnRenamed("vec_id", "id")
+    return fp.filter("id%2=0"), fp.filter("id%2=1")
+
+
+@query("sg4_match_table", X.sql(X.D_FP, *d_rounds("1-{}", "cost<1"), recursive=True, body=f"""
+select a, b, 1 as copy, {d6('cost')} as cost from done union all
+select a, b, 1, 1::double from {d_by_rank("ra", "a", "a::varchar", "done")} join {d_by_rank("rb", "b", "b::varchar||':1'", "done")} using (r)"""))
+def match_table(spark, sf):
+    """Every embedding of an even id with one of an odd id, as alike as can be had."""
+    return rounded(matching.match_tables(*_halves(spark, sf)), "cost")
+
+
+@query("sg4_inverse_match", X.sql(X.D_FP, *d_rounds("{}", "true"), recursive=True, body=f"""
+select a, b, 1 as copy, {d6('cost')} as cost from done"""))
+def inverse_match(spark, sf):
+    """The same rows with the least alike partners."""
+    return rounded(matching.match_tables(*_halves(spark, sf), inverse=True), "cost")
+
+
 def _blocks(spark, sf, col, held):
     """Vectors of the blocks of one side: the embedding with the block's id."""
     lib = X.train(spark, sf) if not held else X.lib(spark, sf).filter("bb1 >= 18")
@@ -123,13 +172,16 @@ for _n, _c, _lo in (("m1", "bb1", ""), ("m2", "bb2", "2")):
     _SG5.append(f"""tr{_n} as (select distinct fp.* from train join fp on vec_id={_c}),
 te{_n} as (select distinct fp.* from lib join fp on vec_id={_c} where bb1>=18),
 ed{_n} as (select a.vec_id a, b.vec_id b, copy, 1-(bit_count(a.w0&b.w0)+bit_count(a.w1&b.w1))/(bit_count(a.w0)+bit_count(a.w1)+bit_count(b.w0)+bit_count(b.w1)-bit_count(a.w0&b.w0)-bit_count(a.w1&b.w1))::double cost
- from tr{_n} a cross join te{_n} b cross join (select 1 as copy)),
-""" + d_greedy(f"ed{_n}").replace("eo as", f"eo{_n} as").replace("from eo)", f"from eo{_n})").replace("gr as", f"gr{_n} as").replace("from gr g", f"from gr{_n} g"))
+ from tr{_n} a cross join te{_n} b cross join (select 1 as copy) where cost<1),
+""" + d_greedy(f"ed{_n}").replace("eo as", f"eo{_n} as").replace("from eo)", f"from eo{_n})").replace("gr as", f"gr{_n} as").replace("from gr g", f"from gr{_n} g")
+ + f""", up{_n} as (select a from gr{_n} where ok union all select a from
+ (select vec_id a, row_number() over (order by {X.d_hash("vec_id::varchar")}, vec_id) r from tr{_n} where vec_id not in (select a from gr{_n} where ok)) join
+ (select vec_id b, row_number() over (order by {X.d_hash("vec_id::varchar||':1'")}, vec_id) r from te{_n} where vec_id not in (select b from gr{_n} where ok)) using (r))""")
 
 
 @query("sg5_validation_from_matches", X.sql(
     X.D_LIB, X.D_TRAIN, X.D_FP, *_SG5,
-    """s as (select * from train where bb1 in (select a from grm1 where ok) and bb2 in (select a from grm2 where ok) and bb3 in (select a from grm2 where ok))""",
+    """s as (select * from train where bb1 in (select a from upm1) and bb2 in (select a from upm2) and bb3 in (select a from upm2))""",
     recursive=True, body=X.union_all([
         f"select '{t}' as target, sum({e})::bigint as positives, {d6(f'sum({e})*100/({n}*count(*))::double')} as pct from s"
         for t, e, n in (("BRD4", "BRD4", 1), ("HSA", "HSA", 1), ("sEH", "sEH", 1), ("micro", "BRD4+HSA+sEH", 3))])))
