@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterable, Mapping, Sequence
 from itertools import accumulate
 
@@ -27,8 +26,8 @@ from combisieve.session import cut_lineage
 STAGE2_RATIO = 158_699 / 508_983
 STAGE23_RATIO = 369_039 / 508_983
 SIZE_CUT = 6116
-# Label shares as integers: exact up to 10**18 rows of a label.
-SHARE_SCALE = 10**36
+# Label shares are compared as whole numbers of this part.
+SHARE_SCALE = 10**15
 
 
 # --- folds of rows ---------------------------------------------------------
@@ -104,40 +103,26 @@ def group_kfold(
     return attach_totals(df, folds, [key], "group_size", ids).drop("group_size")
 
 
-def label_mix_plan(histogram: Iterable[tuple[Sequence[str], int]], k: int) -> list[list[int]]:
-    """Cumulative group counts per fold for each ``(label mix, groups)`` row; a
-    mix lists ``rows:label`` of one group.
+def stratum_plan(histogram: Iterable[tuple[int, int, int]], k: int, turn: int = 0) -> list[list[int]]:
+    """Cumulative group counts per fold for each ``(own, size, groups)`` row of a
+    stratum: groups with the most rows of the stratum's label first, the larger
+    of equal ones, each to the fold with the fewest of those rows, then to the
+    one with the fewest rows, then to the first from ``turn`` on.
 
-    Groups with the most uneven labels first (the larger, then the lower mix on
-    ties), each to the fold where it adds least to the squared label shares.
-    Groups of one mix are interchangeable and each adds the same to the cost of
-    its fold, so a mix is dealt in one step whatever its number of groups.
-    Integers all through: every engine gets the same folds.
+    Groups with equal numbers are interchangeable and dealt in one step.
     """
-    units, totals = [], Counter()
-    for at, (mix, count) in enumerate(histogram):
-        cells = [(label, int(n)) for n, _, label in (cell.partition(":") for cell in mix)]
-        for label, n in cells:
-            totals[label] += n * count
-        units.append((tuple(mix), at, cells, int(count)))
-    weight = {label: max(1, SHARE_SCALE // t**2) for label, t in totals.items()}
-    loads, rows = {label: [0] * k for label in totals}, [0] * k
-
-    def first(unit: tuple) -> tuple:
-        size = sum(n for _, n in unit[2])
-        return size**2 - len(totals) * sum(n * n for _, n in unit[2]), -size, unit[0]
-
-    ends = [[] for _ in units]
-    for _, at, cells, count in sorted(units, key=first):
-        cost = [sum(weight[label] * n * loads[label][i] for label, n in cells) for i in range(k)]
-        size = sum(n for _, n in cells)
-        got = _fill(cost, sum(weight[label] * n * n for label, n in cells), count, rows, size)
-        for i, g in enumerate(got):
-            rows[i] += g * size
-            for label, n in cells:
-                loads[label][i] += g * n
-        ends[at] = list(accumulate(got))
-    return ends
+    loads, rows = [0] * k, [0] * k
+    histogram = list(histogram)
+    found: dict[int, list[int]] = {}
+    for at in sorted(range(len(histogram)), key=lambda i: (-histogram[i][0], -histogram[i][1])):
+        own, size, count = histogram[at]
+        got = _fill(loads, int(own), int(count), rows, int(size))
+        loads = [load + g * int(own) for load, g in zip(loads, got)]
+        rows = [r + g * int(size) for r, g in zip(rows, got)]
+        # strata do not all begin with the same fold
+        turned = [got[(i - turn) % k] for i in range(k)]
+        found[at] = list(accumulate(turned))
+    return [found[at] for at in range(len(found))]
 
 
 def stratified_group_folds(
@@ -147,36 +132,45 @@ def stratified_group_folds(
     k: int,
     within: Sequence[str] = (),
     seed: object = 42,
-    units: int | None = None,
     name: str = "fold_idx",
 ) -> DataFrame:
     """``(within, key, group_size, fold)``: whole groups, label mix kept.
 
-    Every group is placed by itself at any number of groups and labels: folds
-    are planned on the histogram of label mixes (``label_mix_plan``), by a task
-    per ``within``, and a group finds its fold by its hash rank among those of
-    its mix.  A NULL label is a label, a NULL key a group.  ``units`` is taken
-    for older calls and has no effect.
+    A group belongs to the stratum of the label of which it holds the largest
+    share of all rows (ties: the lower label), so that rare labels are dealt
+    evenly before common ones.  Every stratum is planned by a task of its own on
+    the histogram of ``(rows of the label, rows)`` of its groups
+    (``stratum_plan``), at any number of groups and labels; a group finds its
+    fold by its hash rank among those with equal numbers.  A NULL label is a
+    label, a NULL key a group.
     """
-    within, plan_by = list(within), list(within) or ["__all"]
-    cells = df.groupBy(*within, key, label).agg(F.count(F.lit(1)).alias("__n"))
-    # without a label there is no colon, so NULL and "" differ
-    cell = F.concat_ws(":", F.col("__n").cast("string"), F.col(label).cast("string"))
+    within = list(within)
+    # compared as text, like in every engine; NULL before all others
+    cells = cut_lineage(
+        df.groupBy(*within, F.col(key).alias("__key"), F.col(label).cast("string").alias("__label")).agg(F.count(F.lit(1)).alias("__n"))
+    )
+    totals = cells.groupBy(*within, "__label").agg(F.sum("__n").alias("__all"), F.count(F.lit(1)).alias("__groups"))
+    shared = attach_totals(cells, totals, [*within, "__label"], "__groups", ["__key"])
+    # whole numbers, so that equal shares are equal in every engine
+    share = F.expr(f"cast(__n as decimal(38,0)) * {SHARE_SCALE} div cast(__all as decimal(38,0))")
+    first = F.min(F.struct((-share).alias("s"), F.col("__label").isNotNull().alias("some"), "__label", "__n"))
     groups = cut_lineage(
-        cells.groupBy(*within, key).agg(F.sum("__n").alias("group_size"), F.array_sort(F.collect_list(cell)).alias("__mix"))
+        shared.groupBy(*within, "__key").agg(F.sum("__n").alias("group_size"), first.alias("__f"))
+        .select(*within, "__key", "group_size", F.col("__f.__label").alias("__label"), F.col("__f.__n").alias("__own"))
     )
-    hist = groups.groupBy(*within, "__mix").agg(F.count(F.lit(1)).alias("__groups"))
-    if not within:
-        hist = hist.withColumn("__all", F.lit(0))
+    stratum = [*within, "__label"]
+    cell = [*stratum, "__own", "group_size"]
+    hist = groups.groupBy(*cell).agg(F.count(F.lit(1)).alias("__groups"))
+    turn = F.pmod(hash_key(F.coalesce("__label", F.lit("")), seed=seed), F.lit(k)).cast("int")
     schema = StructType([*hist.schema, StructField("__ends", ArrayType(LongType()))])
 
     def deal(part: pd.DataFrame) -> pd.DataFrame:
-        return part.assign(__ends=pd.Series(label_mix_plan(zip(part["__mix"], part["__groups"]), k), part.index))
+        ends = stratum_plan(zip(part["__own"], part["group_size"], part["__groups"]), k, int(part["__turn"].iloc[0]))
+        return part.drop(columns="__turn").assign(__ends=pd.Series(ends, part.index))
 
-    plan = cut_lineage(hist.groupBy(*plan_by).applyInPandas(deal, schema))
-    ranked = hash_rank(groups, [key], seed, [*within, "__mix"], "__rank")
-    # a mix may be that of most groups
-    found = attach_totals(ranked, plan.select(*within, "__mix", "__groups", "__ends"), [*within, "__mix"], "__groups", [key])
+    plan = cut_lineage(hist.withColumn("__turn", turn).groupBy(*stratum).applyInPandas(deal, schema))
+    ranked = hash_rank(groups.withColumnRenamed("__key", key), [key], seed, cell, "__rank")
+    found = attach_totals(ranked, plan, cell, "__groups", [key])
     fold = F.size(F.filter("__ends", lambda e: e <= F.col("__rank")))
     return found.select(*within, key, "group_size", fold.alias(name))
 

@@ -154,23 +154,28 @@ def test_unknown_tokens_are_refused(spark):
     fails(tokens.assert_no_unk(bad, unk=7).select("id"), "unknown token")
 
 
-def greedy_folds(groups, k, scale=10**36):
-    """Group after group to the fold where it adds least to the squared label shares."""
+def strata_folds(groups, k):
+    """Groups by the label of which they hold the largest share, one after the
+    other; groups per fold for each (label, rows of it, rows)."""
+    text = lambda label: (label is not None, str(label))
     totals = {}
     for cells in groups.values():
         for label, n in cells.items():
             totals[label] = totals.get(label, 0) + n
-    loads, rows, dealt = {label: [0] * k for label in totals}, [0] * k, {}
-    uneven = lambda c: len(totals) * sum(n * n for n in c.values()) - sum(c.values()) ** 2
-    mix = lambda c: tuple(sorted(f"{n}" if label is None else f"{n}:{label}" for label, n in c.items()))
-    for cells in sorted(groups.values(), key=lambda c: (-uneven(c), -sum(c.values()), mix(c))):
-        cost = [sum(scale // totals[label] ** 2 * n * loads[label][f] for label, n in cells.items()) for f in range(k)]
-        f = min(range(k), key=lambda i: (cost[i], rows[i], i))
-        rows[f] += sum(cells.values())
-        for label, n in cells.items():
-            loads[label][f] += n
-        dealt.setdefault(mix(cells), [0] * k)[f] += 1
-    return dealt, mix
+    kind, strata = {}, {}
+    for g, cells in groups.items():
+        label = min(cells, key=lambda x: (-(cells[x] * splits.SHARE_SCALE // totals[x]), text(x)))
+        kind[g] = (label, cells[label], sum(cells.values()))
+        strata.setdefault(label, []).append(kind[g][1:])
+    dealt = {}
+    for label, members in strata.items():
+        turn = int(hashlib.md5(f"42:{'' if label is None else label}".encode()).hexdigest()[:13], 16) % k
+        loads, rows = [0] * k, [0] * k
+        for own, size in sorted(members, reverse=True):
+            f = min(range(k), key=lambda i: (loads[i], rows[i], i))
+            loads[f], rows[f] = loads[f] + own, rows[f] + size
+            dealt.setdefault((label, own, size), [0] * k)[(f + turn) % k] += 1
+    return dealt, kind
 
 
 @pytest.mark.parametrize(("n", "labels", "size"), [(400, 3, 40), (30_000, 2, 4), (24_000, 300, 4)])
@@ -181,10 +186,10 @@ def test_stratified_groups_of_any_number(spark, n, labels, size):
     groups = {}
     for r in rows.groupBy("g", "label").count().collect():
         groups.setdefault(r["g"], {})[r["label"]] = r["count"]
-    want, mix = greedy_folds(groups, 5)
+    want, kind = strata_folds(groups, 5)
     got, folds = {}, splits.stratified_group_folds(rows, "g", "label", 5).collect()
     for r in folds:
-        got.setdefault(mix(groups[r["g"]]), [0] * 5)[r["fold_idx"]] += 1
+        got.setdefault(kind[r["g"]], [0] * 5)[r["fold_idx"]] += 1
         assert r["group_size"] == sum(groups[r["g"]].values())
     assert got == want and len(folds) == len(groups)
 

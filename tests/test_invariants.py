@@ -19,12 +19,20 @@ def test_stratified_group_folds_keep_groups_and_labels(spark, sf):
     assert folds.select("fold_idx").distinct().count() == 5
 
 
-def test_bundles_keep_groups_together(spark, sf):
-    lib = q_splits._lib(spark, sf).withColumn("pair", F.concat_ws("-", "bb2", "bb3"))
-    folds = splits.stratified_group_folds(lib, "pair", "label", 4, units=50)
+def test_folds_of_groups_keep_labels_even(spark, sf):
+    """Each label's rows differ little between folds, and so do all rows."""
+    lib = q_splits._lib(spark, sf.replace("sf0.001", "sf0.01")).withColumn("pair", F.concat_ws("-", "bb2", "bb3"))
+    folds = splits.stratified_group_folds(lib, "pair", "label", 4)
     assert folds.select("pair").distinct().count() == folds.count() == lib.select("pair").distinct().count()
+    rows = lib.join(folds, "pair")
     loads = [r[1] for r in folds.groupBy("fold_idx").agg(F.sum("group_size")).collect()]
-    assert len(loads) == 4 and max(loads) < 1.2 * min(loads)
+    assert len(loads) == 4 and max(loads) < 1.05 * min(loads)
+    labels = {}
+    for r in rows.groupBy("label", "fold_idx").count().collect():
+        labels.setdefault(r["label"], []).append(r["count"])
+    for counts in labels.values():
+        if sum(counts) >= 1000:
+            assert len(counts) == 4 and max(counts) < 1.15 * min(counts), labels
 
 
 def test_two_level_folds_cover_the_blocks(spark, sf):

@@ -67,33 +67,33 @@ def group_fold_loads(spark, sf):
     return folds.groupBy("fold_idx").agg(F.sum("group_size").alias("load"), F.count(F.lit(1)).alias("n_groups"))
 
 
-def d_mix(cells: str, k: int, pre: str = "") -> str:
-    """Group after group of ``cells(p, key, label, n)`` in the order (uneven
-    labels, size, mix, hash) to the fold of its part ``p`` where it adds least to
-    the squared label shares, as CTEs that end in ``{pre}gf(p, key, fold)``."""
-    cost = "list_sum(list_transform(range(1, len(o.v)+1), lambda j: loads[f][j]*o.v[j]*o.w[j]))"
+def d_strata(cells: str, k: int, pre: str = "") -> str:
+    """Groups of ``cells(p, key, label, n)`` by the label of which they hold the
+    largest share; in each such stratum, one group after the other in the order
+    (rows of the label, rows, hash) to the fold with the fewest rows of the label,
+    then the fewest rows, as CTEs that end in ``{pre}gf(p, key, fold)``."""
+    h = X.d_hash("key::varchar")
     return f"""
-{pre}l as (select p, label, 1000000000000000000000000000000000000::hugeint // (sum(n)*sum(n))::hugeint w from {cells} group by all),
-{pre}m as (select p, key, list_sort(list(n::varchar||':'||label::varchar)) mix from {cells} group by all),
-{pre}u as (select l.p, g.key, list(coalesce(n,0)::hugeint order by l.label) v, list(w order by l.label) w, sum(coalesce(n,0))::bigint size,
- count(*)*sum(coalesce(n,0)*coalesce(n,0))-sum(coalesce(n,0))*sum(coalesce(n,0)) uneven
- from {pre}l l join (select distinct p, key from {cells}) g on g.p=l.p left join {cells} c on c.p=l.p and c.key=g.key and c.label=l.label group by all),
-{pre}o as (select u.*, mix, row_number() over (partition by u.p order by uneven desc, size desc, mix, {X.d_hash("u.key::varchar")}, u.key) i,
- row_number() over (partition by u.p, mix order by {X.d_hash("u.key::varchar")}, u.key)-1 r from {pre}u u join {pre}m m on m.p=u.p and m.key=u.key),
-{pre}rec as (select p, 0::bigint i, list_transform(range(0,{k}), lambda x: list_transform(any_value(v), lambda y: 0::hugeint)) loads,
- list_transform(range(0,{k}), lambda x: 0::bigint) tot, 0::bigint fold, []::varchar[] mix from {pre}o where i=1 group by p union all
- select p, i, list_transform(range(1,{k}+1), lambda f: case when f=pick then list_transform(range(1, len(v)+1), lambda j: loads[f][j]+v[j]) else loads[f] end),
- list_transform(range(1,{k}+1), lambda f: tot[f]+case when f=pick then size else 0 end), pick-1, mix from (
- select o.p, o.i, loads, tot, o.v, o.size, o.mix, list_sort(list_transform(range(1,{k}+1), lambda f:
- {{'c': {cost}, 't': tot[f], 'f': f}}))[1].f pick from {pre}rec r join {pre}o o on o.p=r.p and o.i=r.i+1)),
-{pre}cum as (select p, mix, fold, c, sum(c) over (partition by p, mix order by fold) e from
- (select p, mix, fold, count(*) c from {pre}rec where i>0 group by all)),
-{pre}gf as (select o.p, o.key, c.fold from {pre}o o join {pre}cum c on o.p=c.p and o.mix=c.mix and o.r>=e-c.c and o.r<e)"""
+{pre}s as (select p, key, size, label, own from (
+ select c.p, key, label, n own, sum(n) over (partition by c.p, key)::bigint size,
+ row_number() over (partition by c.p, key order by (n::hugeint*1000000000000000)//t desc, label::varchar) x
+ from {cells} c join (select p, label, sum(n)::hugeint t from {cells} group by all) using (p, label)) where x=1),
+{pre}o as (select *, row_number() over (partition by p, label order by own desc, size desc, {h}, key) i,
+ row_number() over (partition by p, label, own, size order by {h}, key)-1 r from {pre}s),
+{pre}rec as (select p, label, 0::bigint i, list_transform(range(0,{k}), lambda x: 0::bigint) loads, list_transform(range(0,{k}), lambda x: 0::bigint) tot,
+ 0::bigint fold, 0::bigint own, 0::bigint size from {pre}o where i=1 union all
+ select p, label, i, list_transform(range(1,{k}+1), lambda f: loads[f]+case when f=pick then own else 0 end),
+ list_transform(range(1,{k}+1), lambda f: tot[f]+case when f=pick then size else 0 end), pick-1, own, size from (
+ select o.p, o.label, o.i, loads, tot, o.own, o.size, list_sort(list_transform(range(1,{k}+1), lambda f:
+ {{'c': loads[f], 't': tot[f], 'f': f}}))[1].f pick from {pre}rec r join {pre}o o on o.p=r.p and o.label=r.label and o.i=r.i+1)),
+{pre}cum as (select *, sum(c) over (partition by p, label, own, size order by fold) e from (
+ select p, label, own, size, (fold+{X.d_hash("label::varchar")})%{k} fold, count(*) c from {pre}rec where i>0 group by all)),
+{pre}gf as (select o.p, o.key, c.fold from {pre}o o join {pre}cum c on o.p=c.p and o.label=c.label and o.own=c.own and o.size=c.size and o.r>=e-c.c and o.r<e)"""
 
 
 @query("sp4_stratified_group_kfold", X.sql(
     X.D_LIB, f"cells as (select 0 as p, scaffold as key, {LABEL} as label, count(*) as n from lib group by all)",
-    d_mix("cells", 5), recursive=True, body="""
+    d_strata("cells", 5), recursive=True, body="""
 select mol_id, scaffold, fold::int as fold_idx from lib join gf on key=scaffold"""))
 def stratified_group_kfold(spark, sf):
     lib = _lib(spark, sf)
@@ -101,10 +101,10 @@ def stratified_group_kfold(spark, sf):
 
 
 @query("sp5_two_level_block_folds", X.sql(
-    X.D_LIB, f"cells as (select 0 as p, bb1 as key, {LABEL} as label, count(*) as n from lib group by all)", d_mix("cells", 4),
+    X.D_LIB, f"cells as (select 0 as p, bb1 as key, {LABEL} as label, count(*) as n from lib group by all)", d_strata("cells", 4),
     f"""held as (select fold as p, bb2 as key, {LABEL} as label from lib join gf on gf.key=bb1 union all
  select fold, bb3, {LABEL} from lib join gf on gf.key=bb1 where bb3<>bb2)""",
-    "cells2 as (select p, key, label, count(*) as n from held group by all)", d_mix("cells2", 6, "b"), recursive=True, body="""
+    "cells2 as (select p, key, label, count(*) as n from held group by all)", d_strata("cells2", 6, "b"), recursive=True, body="""
 select fold::int as bb1_fold, 'bb1' as side, key as block, fold::int as fold_idx from gf union all
 select p::int, 'bb23', key, fold::int from bgf"""))
 def two_level_block_folds(spark, sf):
