@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -33,6 +34,7 @@ BLOCK = 4096  # ids in a block, a multiple of 64
 FILE_TOKENS = 4_000_000
 #: Pieces whose ids a task keeps at hand; only saves work.
 REMEMBERED_WORDS = 500_000
+_LETTERS_ONLY = re.compile("[a-zß-öø-ÿ]+")
 
 
 def width(vocabulary: int) -> int:
@@ -162,20 +164,24 @@ class WordEncoder:
         self.flat, self.count = np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
     def _learn(self, pieces: list[str]) -> None:
+        """Pieces of lower-case letters are one word each: as many as a text with
+        blanks between them has ids that close a word.  Any other piece (marks,
+        figures, other letters, special tokens) is a text of its own."""
+        plain = [w for w in pieces if _LETTERS_ONLY.fullmatch(w)]
+        other = [w for w in pieces if not _LETTERS_ONLY.fullmatch(w)]
         ids, counts = [self.flat], [self.count]
-        pieces = sorted(pieces, key=str.isalpha)
-        split = sum(not w.isalpha() for w in pieces)
-        for at in [*range(0, split, 256), *range(split, len(pieces), 256)]:
-            own = pieces[at : min(at + 256, split if at < split else len(pieces))]
-            got = np.array(self.tokenizer.encode(" ".join(own), add_special_tokens=False).ids, np.uint32)
-            ends = np.flatnonzero(self.closes[got]) + 1
-            if len(ends) != len(own) or len(got) != ends[-1]:  # not one word each
-                each = [e.ids for e in self.tokenizer.encode_batch(own, add_special_tokens=False)]
-                got, ends = np.array([i for x in each for i in x], np.uint32), np.cumsum([len(x) for x in each])
+        for at in range(0, len(plain), 256):
+            got = np.array(self.tokenizer.encode(" ".join(plain[at : at + 256]), add_special_tokens=False).ids, np.uint32)
             ids.append(got)
-            counts.append(np.diff(ends, prepend=0))
-        self.known.update(zip(pieces, range(len(self.known), len(self.known) + len(pieces)), strict=True))
+            counts.append(np.diff(np.flatnonzero(self.closes[got]) + 1, prepend=0))
+        for at in range(0, len(other), 4096):
+            each = [e.ids for e in self.tokenizer.encode_batch(other[at : at + 4096], add_special_tokens=False)]
+            ids.append(np.array([i for x in each for i in x], np.uint32))
+            counts.append(np.array([len(x) for x in each], np.int64))
+        self.known.update(zip(plain + other, range(len(self.known), len(self.known) + len(pieces)), strict=True))
         self.flat, self.count = np.concatenate(ids), np.concatenate(counts)
+        if len(self.count) != len(self.known) or self.count.sum() != len(self.flat):
+            raise ValueError("not a tokenizer that closes each word of letters once")
 
     def _pieces(self, block: Block) -> tuple[pa.LargeStringArray, np.ndarray]:
         """Pieces of all texts, and the first one of each text (one more)."""
