@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from combisieve.operators.skew import attach_totals
 from combisieve.session import cut_lineage
 
 
 def _toward_lowest(around: DataFrame) -> DataFrame:
-    """``(v, low)`` for every row ``(u, v)``, low = lowest of u and its partners.
-    Minima are combined before the shuffle; where one ``u`` has very many
-    partners the adaptive join splits its partition."""
-    low = around.groupBy("u").agg(F.min("v").alias("low")).select(F.col("u").alias("at"), F.least("u", "low").alias("low"))
-    return around.join(low, F.col("u") == F.col("at")).select("u", "v", "low")
+    """``(u, v, low)`` for every row ``(u, v)``, low = lowest of u and its
+    partners.  Minima are combined before the shuffle; the rows of a ``u`` with
+    very many partners are spread over tasks."""
+    low = around.groupBy("u").agg(F.count(F.lit(1)).alias("partners"), F.min("v").alias("low"))
+    return attach_totals(around, low.select("u", "partners", F.least("u", "low").alias("low")), ["u"], "partners", ["v"]).select("u", "v", "low")
 
 
 def _round(edges: DataFrame) -> DataFrame:

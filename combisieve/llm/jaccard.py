@@ -5,9 +5,10 @@ n-gram incidence matrix.
 2. *Blocks.*  Two sets of sizes a, b with ``100 * inter >= percent * union``
    differ in at most ``(100 - percent) * (a + b) / (100 + percent)`` n-grams.
    Cut the hash range into more bands than that, and all bands but so many hold
-   the same n-grams in both.  Sets that share fewer bands with others have no
-   link; the rest that agree on a band are put into one block (their connected
-   components), so that no link leaves a block.
+   the same n-grams in both.  Small sets are keyed by each choice of so many
+   bands at once, larger ones by each band.  Sets that share fewer keys with
+   others have no link; each of the rest tells the lowest set of its keys, once,
+   and components of that are the blocks, so that no link leaves a block.
 3. *Product.*  In a block, sets sorted by size are cut into runs; a task takes
    two runs, multiplies their incidence columns slice by slice, adds up the
    overlap counts and discards pairs below the bound that their sizes set.  Run
@@ -20,6 +21,7 @@ from __future__ import annotations
 import bisect
 import functools
 from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,7 @@ from pyspark.sql import Window as W
 from combisieve.llm.columns import array_udf
 from combisieve.llm.components import component_roots
 from combisieve.llm.words import SPACED, Block, blocks, mix, ngrams
-from combisieve.operators.skew import attach_totals
+from combisieve.operators.skew import attach_totals, broadcast_if_small
 from combisieve.session import cut_lineage
 
 #: A run holds about so many sets, and so many n-grams, at most.
@@ -43,6 +45,12 @@ BROADCAST_ROWS = 1_000_000
 HELD_POSTINGS = 500_000
 #: Sets that a task remembers to have told already; only saves work.
 REMEMBERED = 200_000
+#: By the largest difference: how many bands linked sets agree on, out of so many
+#: and the difference.  A key of several bands holds most of a small set, which a
+#: text from the same template with other words in its gaps does not share.
+AGREED = {1: 3, 2: 3, 3: 3, 4: 2, 5: 2, 6: 2}
+#: Keys with few n-grams are cut further, so often at most.
+LEVELS = 2
 
 
 def sets_of(block: Block, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -104,7 +112,38 @@ def band_count(k: int, percent: int) -> tuple[int, int]:
     interval ``k``.  Linked sets agree on all bands but so many; a set that
     agrees with others on fewer has no link."""
     d = (100 - percent) * 2 * size_limits(percent)[k] // (100 + percent)
-    return d + 1 + max(2, d // 4), d
+    return d + AGREED.get(d, 1 + max(2, d // 4)), d
+
+
+@functools.cache
+def _choices(bands: int, agreed: int) -> np.ndarray:
+    """0/1 rows, one for each choice of ``agreed`` bands."""
+    rows = list(combinations(range(bands), agreed))
+    out = np.zeros((len(rows), bands), np.uint64)
+    out[np.repeat(np.arange(len(rows)), agreed), np.concatenate(rows)] = 1
+    return out
+
+
+def _choice_keys(gram: np.ndarray, bands: int, agreed: int, least: int, salt: int, level: int = 0) -> list[int]:
+    """Keys of all choices of bands.  Where these hold fewer than ``least``
+    n-grams, sets would share the key by chance: linked sets that do share it
+    also agree on as many bands of the other n-grams, dealt anew, so the choice
+    is told by keys of those.  What is cut further depends on what such sets
+    share, never on the rest, in which they differ."""
+    band = ((mix(gram ^ np.uint64(salt)) >> np.uint64(32)) * np.uint64(bands)) >> np.uint64(32)
+    count = np.bincount(band.astype(np.int64), minlength=bands).astype(np.uint64)
+    content = np.zeros(bands, np.uint64)
+    np.add.at(content, band.astype(np.int64), mix(gram + np.uint64(salt)))
+    choices = _choices(bands, agreed)
+    keys = mix(choices @ mix(content + mix(np.arange(bands, dtype=np.uint64) + np.uint64(salt))) + mix(np.arange(len(choices), dtype=np.uint64) ^ np.uint64(salt)))
+    thin = choices @ count < least
+    if level == LEVELS or not thin.any():
+        return keys.tolist()
+    out = keys[~thin].tolist()
+    for i in np.flatnonzero(thin):
+        rest = gram[choices[i][band.astype(np.int64)] == 0]
+        out += _choice_keys(rest, bands, agreed, least, int(keys[i]), level + 1)
+    return out
 
 
 def band_keys(gram: np.ndarray, k: int, percent: int) -> tuple[np.ndarray, int]:
@@ -115,6 +154,10 @@ def band_keys(gram: np.ndarray, k: int, percent: int) -> tuple[np.ndarray, int]:
     bands, d = band_count(k, percent)
     if d == 0:
         return np.zeros(0, np.uint64), 1  # equal sets only: one class already
+    if d in AGREED:
+        least = max(2, size_limits(percent)[k] * AGREED[d] // (3 * bands))
+        key = np.array(_choice_keys(gram, bands, AGREED[d], least, k + 1), np.uint64)
+        return (key & ~np.uint64(1)) | np.uint64(k & 1), 1
     band = ((gram >> np.uint64(32)) * np.uint64(bands)) >> np.uint64(32)
     starts = np.flatnonzero(np.concatenate([[True], band[1:] != band[:-1]]))
     content = np.add.reduceat(mix(gram ^ np.uint64(k + 1)), starts)
@@ -161,6 +204,8 @@ def _set_column(n: int):
 
 #: A band key of a set, and how many of its keys must be shared.
 POSTING = np.dtype([("key", "<u8"), ("own", "<i8"), ("need", "<u4")])
+#: A shared key, told by its lowest set.
+SHARED = np.dtype([("own", "<i8"), ("low", "<i8"), ("need", "<u4"), ("odd", "u1")])
 
 
 def _dealt(found: Iterator[np.ndarray], by: Callable[[np.ndarray], np.ndarray], buckets: int) -> Iterator[pa.RecordBatch]:
@@ -189,18 +234,18 @@ def _dealt(found: Iterator[np.ndarray], by: Callable[[np.ndarray], np.ndarray],
         yield flush(held)
 
 
-def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+def _by_bucket(batches: Iterator[pa.RecordBatch], kind: np.dtype) -> Iterator[np.ndarray]:
     """All postings of each bucket (the rows of a task are sorted by bucket)."""
     at, parts = None, []
     for batch in batches:
         for bucket, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             if bucket != at and parts:
-                yield np.frombuffer(b"".join(parts), POSTING)
+                yield np.frombuffer(b"".join(parts), kind)
                 parts = []
             at = bucket
             parts.append(payload)
     if parts:
-        yield np.frombuffer(b"".join(parts), POSTING)
+        yield np.frombuffer(b"".join(parts), kind)
 
 
 def _emit_bands(n: int, percent: int, buckets: int):
@@ -239,44 +284,47 @@ def _by_set(postings: np.ndarray) -> np.ndarray:
 
 
 def _shared(postings: np.ndarray) -> np.ndarray:
-    """Postings, once each, whose key more than one set has, sorted by key."""
+    """Postings, once each, whose key more than one set has."""
     postings = postings[np.lexsort((postings["own"], postings["key"]))]
     key, own = postings["key"], postings["own"]
     fresh = np.ones(len(key), bool)
     fresh[1:] = (key[1:] != key[:-1]) | (own[1:] != own[:-1])
     postings = postings[fresh]
-    key = postings["key"]
-    both = np.zeros(len(key) + 1, bool)
-    both[1:-1] = key[1:] == key[:-1]
-    return postings[both[1:] | both[:-1]]
+    key, own = postings["key"], postings["own"]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    sets = np.diff(np.append(first, len(key)))
+    out = np.empty(len(key), SHARED)
+    out["own"], out["low"], out["need"], out["odd"] = own, np.repeat(own[first], sets), postings["need"], key & np.uint64(1)
+    return out[np.repeat(sets > 1, sets)]
 
 
 def _collisions(buckets: int):
-    """Shared postings, dealt by set."""
+    """Shared keys, dealt by set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _dealt(map(_shared, _by_bucket(batches)), _by_set, buckets)
+        yield from _dealt(map(_shared, _by_bucket(batches, POSTING)), _by_set, buckets)
 
     return run
 
 
-def _enough(postings: np.ndarray) -> np.ndarray:
-    """Postings of sets that share as many keys as a linked set must."""
-    odd = (postings["key"] & np.uint64(1)).astype(np.int64)
-    order = np.lexsort((odd, postings["own"]))
-    own, odd = postings["own"][order], odd[order]
+def _enough(shared: np.ndarray) -> np.ndarray:
+    """Rows of sets that share as many keys as a linked set must."""
+    shared = shared[np.lexsort((shared["odd"], shared["own"]))]
+    own, odd = shared["own"], shared["odd"]
     starts = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (odd[1:] != odd[:-1])]))
     counts = np.diff(np.concatenate([starts, [len(own)]]))
-    return postings[order[np.repeat(counts >= postings["need"][order][starts], counts)]]
-
+    return shared[np.repeat(counts >= shared["need"][starts], counts)]
 
-def _hopeful(buckets: int):
-    """Those that are ``_enough``, dealt by key again."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _dealt(map(_enough, _by_bucket(batches)), _by_key, buckets)
-
-    return run
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each set that is ``_enough`` with the lowest sets of its keys, once each,
+    and with itself.  All keys of a set are in one bucket, so the number of
+    buckets does not matter."""
+    for shared in _by_bucket(batches, SHARED):
+        found = _enough(shared)
+        own = np.unique(found["own"])
+        edges = np.unique(np.stack([np.concatenate([found["own"], own]), np.concatenate([found["low"], own])], 1), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], ["src", "dst"])
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -299,16 +347,6 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[label[moved]]
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spanning forest of the sets that share a key, bucket by bucket."""
-    for postings in _by_bucket(batches):
-        found = _shared(postings)
-        key, own = found["key"], found["own"]
-        same = np.flatnonzero(key[1:] == key[:-1])
-        x, y = _forest(own[same], own[same + 1])
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["src", "dst"])
-
-
 def overlaps(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarray:
     """Overlap counts of all pairs of sets, as a product of 0/1 incidence
     matrices taken column slice by column slice."""
@@ -430,6 +468,18 @@ def similar_classes(
     return _rooted_classes(docs, doc_id, text, n, percent).drop("__root")
 
 
+def candidates(docs: DataFrame, n: int, percent: int, parts: int) -> DataFrame:
+    """``(src, dst)``: set ids whose components hold all links (``docs`` has a
+    column ``text``).  A set that may have a link is with itself, too."""
+    buckets = parts * BUCKETS_PER_PARTITION
+    held = "bucket int, payload binary"
+    # by number, so that each task gets as many buckets
+    dealt = lambda df: df.repartitionById(parts, F.pmod("bucket", F.lit(parts))).sortWithinPartitions("bucket")
+    bands = docs.select("text").mapInArrow(_emit_bands(n, percent, buckets), held)
+    shared = dealt(bands).mapInArrow(_collisions(buckets), held)
+    return dealt(shared).mapInArrow(_candidates, "src bigint, dst bigint")
+
+
 def _rooted_classes(docs: DataFrame, doc_id: str, text: str, n: int, percent: int) -> DataFrame:
     """``similar_classes`` with ``__root``, which names the component even where
     components share their smallest id."""
@@ -439,18 +489,13 @@ def _rooted_classes(docs: DataFrame, doc_id: str, text: str, n: int, percent: in
     classes = described.filter("n > 0").groupBy("id").agg(F.min("doc").alias("low"), F.first("n").alias("n"))
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = parts * BUCKETS_PER_PARTITION
-    held, edges = "bucket int, payload binary", "src bigint, dst bigint"
-    dealt = lambda df: df.repartition(parts, "bucket").sortWithinPartitions("bucket")
-    bands = docs.select("text").mapInArrow(_emit_bands(n, percent, buckets), held)
-    shared = dealt(bands).mapInArrow(_collisions(buckets), held)
-    hopeful = dealt(shared).mapInArrow(_hopeful(buckets), held)
-    candidates = dealt(hopeful).mapInArrow(_candidates, edges)
-    block_of = component_roots(candidates)
-    members = cut_lineage(block_of.join(classes, block_of.node == classes.id).select("id", F.col("root").alias("block"), "low", "n"))
-    wanted = members.select("low", F.col("id").alias("member"))
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
+    told = cut_lineage(candidates(docs, n, percent, parts))
+    block_of, hopeful = component_roots(told), told.select(F.col("src").alias("own")).distinct()
+    members = block_of.join(hopeful, F.col("node") == F.col("own")).join(classes, F.col("node") == classes.id).select("id", F.col("root").alias("block"), "low", "n")
+    members = cut_lineage(members)
+    sizes = members.groupBy("block").agg(F.count(F.lit(1)).alias("sets"))
+    members = cut_lineage(attach_totals(members, sizes, ["block"], "sets", ["id"]).filter("sets > 1").drop("sets"))
+    wanted = broadcast_if_small(members.select("low", F.col("id").alias("member")), BROADCAST_ROWS)
     tiles = _tiles(members, percent)
     sets = (
         docs.join(wanted, F.col("doc").eqNullSafe(F.col("low")))

@@ -118,6 +118,55 @@ def test_linked_sets_share_enough_bands():
             assert len(np.intersect1d(x, y)) >= max(1, min(need_x, need_y))
 
 
+def test_linked_small_sets_share_a_choice():
+    """Sets of which many bands are empty, or nearly so, too."""
+    pick = np.random.default_rng(8)
+    seen = 0
+    for percent in (80, 85, 50):
+        for size in [*range(2, 46)] * 12:
+            a = np.unique(pick.integers(0, 2**64 - 1, size, dtype=np.uint64))
+            lost, new = int(pick.integers(0, 3 + size // 9)), int(pick.integers(0, 3 + size // 9))
+            b = np.unique(np.concatenate([pick.permutation(a)[lost:], pick.integers(0, 2**64 - 1, new, dtype=np.uint64)]))
+            inter = len(np.intersect1d(a, b))
+            if not len(b) or 100 * inter < percent * (len(a) + len(b) - inter) or np.array_equal(a, b):
+                continue
+            k = max(jaccard.size_class(len(a), percent), jaccard.size_class(len(b), percent))
+            (x, need_x), (y, need_y) = jaccard.band_keys(a, k, percent), jaccard.band_keys(b, k, percent)
+            assert len(np.intersect1d(x, y)) >= max(1, min(need_x, need_y))
+            seen += 1
+    assert seen > 300
+
+
+def test_candidates_do_not_depend_on_buckets(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("text")
+    few, many = (sorted(map(tuple, jaccard.candidates(docs, 5, 80, parts).collect())) for parts in (4, 400))
+    assert few == many and few and len(few) == len(set(few))
+
+
+def templated(n: int, seed: int = 1) -> list[tuple[int, str]]:
+    """Short texts of one template with five words from small lists."""
+    pick = random.Random(seed)
+    gap = lambda c, m: f"{c}{pick.randrange(m)}"
+    return [(i, f"the {gap('a', 40)} house in {gap('b', 60)} with {gap('c', 30)} rooms is for {gap('d', 50)} since the {gap('e', 40)} year") for i in range(n)]
+
+
+def test_blocks_of_templated_texts_do_not_grow_together(spark, monkeypatch):
+    """No two different ones can link; the pairs that are multiplied must not
+    grow with the square of the table."""
+    work = {}
+    for n in (1000, 4000):
+        sets = len({t for _, t in templated(n)})
+        edges = jaccard.candidates(spark.createDataFrame(templated(n), "doc_id bigint, text string").select("text"), 4, 85, 4).cache()
+        hopeful = {r.src for r in edges.select("src").distinct().collect()}
+        blocks = {}
+        for r in jaccard.component_roots(edges).collect():
+            if r.node in hopeful:
+                blocks[r.root] = blocks.get(r.root, 0) + 1
+        work[n] = sum(b * (b - 1) // 2 for b in blocks.values())
+        assert max(blocks.values(), default=0) < sets // 20
+    assert work[4000] < 8 * max(work[1000], 200)
+
+
 def test_keep_one(docs):
     kept = jaccard.keep_one(docs, n=4, percent=85).collect()
     assert [r.doc_id for r in kept].count(3) == 1
@@ -265,6 +314,21 @@ def test_bit_packing():
             assert len(tokenbin.pack(ids, bits)) == 8 * -(-n * bits // 64)
 
 
+def test_pieces_in_any_company():
+    """Ids of a text depend neither on its neighbours nor on earlier texts."""
+    public = pytest.importorskip("public_tokenizers")
+    path = public.path("word_bpe_49k.json")
+    pieces = ["<|endoftext|>", "<|startoftext|>", "don't", "it's", "x²", "…", "e\u0301", "½", "'s", "A<|endoftext|>b", "İ", "ﬁ", "ª", "ß", "٣", "a\u200db", "abc", "12a", "<|", "|>", "İ<", "—é—", "\u0301"]
+    own, each = tokenbin.WordEncoder(path), tokenbin.TextEncoder(path)
+    pick = random.Random(9)
+    batches = [[a, b] for a in pieces for b in pieces] + [[f"{a} {b}", a + b] for a in pieces for b in pieces]
+    batches += [[pick.choice((" ", "")).join(pick.choices(pieces, k=pick.randrange(6))) for _ in range(40)] for _ in range(60)]
+    for texts in batches:
+        got, lengths = own.encode(pa.array(texts, pa.string()), None)
+        want, wanted = each.encode(pa.array(texts, pa.string()), None)
+        assert got.tolist() == want.tolist() and lengths.tolist() == wanted.tolist(), texts
+
+
 def test_token_files(spark, docs, empty, tmp_path, monkeypatch):
     public = pytest.importorskip("public_tokenizers")
     path = public.path("word_bpe_49k.json")
