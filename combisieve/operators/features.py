@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from combisieve.functions.exprs import let
 from combisieve.operators.joins import one_to_one
-from combisieve.operators.profile import HALF_MAX, column_range
+from combisieve.operators.profile import HALF_MAX, column_range, top_k_features
 
 
 def _c(c: Column | str) -> Column:
@@ -61,6 +61,30 @@ def bit_formats(packed: Column | str, fmt: str = "seq") -> Column:
     raise ValueError(f"unknown bit format {fmt!r}")
 
 
+def project_bits(packed: Column | str, positions: Sequence[int]) -> Column:
+    """0/1 array of the chosen positions of packed bytes, in that order, tested
+    where they stand: nothing is unpacked.  Positions behind the end are 0."""
+    if not positions:
+        return F.array().cast("array<int>")
+    places = F.array(*[F.struct(F.lit(p // 8).alias("byte"), F.lit(1 << (7 - p % 8)).alias("mask")) for p in positions])
+    return let(_c(packed), lambda c: F.transform(
+        places, lambda x: F.coalesce(F.get(c, x["byte"]).bitwiseAND(x["mask"]) > 0, F.lit(False)).cast("int")))
+
+
+def project_top_features(
+    df: DataFrame, packed: str, importance: DataFrame, k: int, by: str | None = None, prefix: str = "top"
+) -> DataFrame:
+    """``df`` with the bits of the ``k`` best features of ``importance(feature,
+    importance)``, best first: a column ``<prefix>``, or one ``<prefix>_<class>``
+    per class of ``by``.  ``k`` rows per class come to the driver."""
+    best = top_k_features(importance, k, [by] if by else [])
+    rows = sorted(best.collect(), key=lambda r: (-r["importance"], r["feature"]))
+    classes = sorted({r[by] for r in rows}) if by else [None]
+    return df.withColumns({
+        prefix if c is None else f"{prefix}_{c}": project_bits(packed, [r["feature"] for r in rows if by is None or r[by] == c]) for c in classes
+    })
+
+
 def popcount(words: Column | str) -> Column:
     return F.aggregate(_c(words), F.lit(0), lambda a, w: a + F.bit_count(w))
 

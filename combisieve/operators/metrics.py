@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from combisieve import TARGETS
-from combisieve.operators.ordering import prefix_sums, quantile_bucket
+from combisieve.operators.ordering import prefix_sums, quantile_bucket, row_index
 from combisieve.session import cut_lineage
 
 # The row subsets of each named part and the parts each roll-up
@@ -103,10 +103,15 @@ def micro_average_precision(df: DataFrame, targets: Sequence[str] = TARGETS) ->
     return ap_from_counts(merged, ["part"])
 
 
-def row_log_loss(logit: Column, target: Column, pos_weight: float = 1.0, smoothing: float = 0.0) -> Column:
+def row_log_loss(
+    logit: Column, target: Column, pos_weight: float = 1.0, smoothing: float = 0.0, target_threshold: float | None = None
+) -> Column:
     """Binary cross entropy of a logit, stable for large values.  Smoothing s
-    moves targets to s/2 and 1 - s/2."""
+    moves targets to s/2 and 1 - s/2; with ``target_threshold`` they then become
+    1 above it and 0 elsewhere."""
     y = F.when(target > 0.5, F.lit(1.0 - smoothing / 2)).otherwise(F.lit(smoothing / 2)) if smoothing else target
+    if target_threshold is not None:
+        y = F.when(y > target_threshold, F.lit(1.0)).otherwise(F.lit(0.0))
     weight = 1.0 + F.lit(pos_weight - 1.0) * y
     softplus = F.log1p(F.exp(-F.abs(logit))) + F.greatest(-logit, F.lit(0.0))
     return (1.0 - y) * logit + weight * softplus
@@ -118,9 +123,10 @@ def log_loss(
     pos_weight: float = 1.0,
     smoothing: float = 0.0,
     reduction: str = "mean",
+    target_threshold: float | None = None,
 ) -> DataFrame:
     """``mean`` over all cells, ``sum``, or ``batch_mean`` = sum over rows / rows."""
-    terms = [row_log_loss(F.col(f"pred_{t}"), F.col(f"target_{t}").cast("double"), pos_weight, smoothing) for t in targets]
+    terms = [row_log_loss(F.col(f"pred_{t}"), F.col(f"target_{t}").cast("double"), pos_weight, smoothing, target_threshold) for t in targets]
     total = F.sum(sum(terms[1:], terms[0]))
     n = F.count(F.lit(1))
     value = {"sum": total, "batch_mean": total / n, "mean": total / (n * F.lit(len(targets)))}[reduction]
@@ -135,6 +141,13 @@ def clean_predictions(df: DataFrame, preds: Sequence[str], flag: str = "had_nan"
     })
 
 
+def ordered_predictions(df: DataFrame, preds: Sequence[str], index: str, flag: str = "had_nan") -> tuple[DataFrame, DataFrame]:
+    """``clean_predictions`` with the ``position`` of each row in the order of its
+    unique ``index``, and one row ``(n_rows, n_nan)``."""
+    cleaned = row_index(clean_predictions(df, preds, flag), [index], "position")
+    return cleaned, cleaned.agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum(F.col(flag).cast("bigint")), F.lit(0)).alias("n_nan"))
+
+
 def best_metrics(
     log: DataFrame, modes: Mapping[str, str], default: str = "max", top_k: int = -1
 ) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -194,15 +194,24 @@ def pad_fixed(seq: Column | str, length: int | Column, pad: int = PAD, truncate:
 
 
 def pad_batch(
-    df: DataFrame, batch: str, ids: Sequence[str], seq: str, max_len: int, pad: int = PAD, padding: bool = True
+    df: DataFrame, batch: str, ids: Sequence[str], seq: str | Mapping[str, object], max_len: int, pad: int = PAD, padding: bool = True
 ) -> DataFrame:
     """Pad to the longest sequence of the batch (or cut to its shortest),
-    never beyond ``max_len``."""
-    pick = F.max(F.size(seq)) if padding else F.min(F.size(seq))
-    sizes = df.groupBy(batch).agg(F.count(F.lit(1)).alias("__n"), pick.alias("__len"))
+    never beyond ``max_len``.
+
+    Several sequences come as ``{column: its pad value}``: arrays of any element
+    type that have one length per row, which the first of them tells.
+    """
+    pads = {seq: pad} if isinstance(seq, str) else dict(seq)
+    own = F.size(next(iter(pads)))
+    sizes = df.groupBy(batch).agg(F.count(F.lit(1)).alias("__n"), (F.max(own) if padding else F.min(own)).alias("__len"))
     out = attach_totals(df, sizes, [batch], "__n", ids)
     target = F.least(F.col("__len"), F.lit(max_len))
-    return out.withColumn(seq, pad_fixed(seq, target, pad, truncate=True)).drop("__n", "__len")
+    return out.withColumns({c: _filled(F.col(c), target, F.lit(value).cast(df.schema[c].dataType.elementType)) for c, value in pads.items()}).drop("__n", "__len")
+
+
+def _filled(c: Column, n: Column, pad: Column) -> Column:
+    return F.concat(F.slice(c, F.lit(1), n), F.array_repeat(pad, F.greatest(n - F.size(c), F.lit(0))))
 
 
 def used_length(seq: Column | str, pad: int = PAD) -> Column:
@@ -273,12 +282,18 @@ def drop_token_ids(seq: Column | str, ids: Sequence[int], pad: int = PAD) -> Col
 
 
 def multi_hot(seq: Column | str, vocab_size: int) -> Column:
-    """0/1 per vocabulary id, without the padding column 0."""
-    places = F.sequence(F.lit(1), F.lit(vocab_size - 1))
-    return let(
-        F.array_distinct(_c(seq)),
-        lambda present: F.transform(places, lambda i: F.array_contains(present, i.cast("bigint")).cast("int")),
-    )
+    """0/1 per vocabulary id, without the padding column 0: the present ids in
+    order, each behind the zeros since the one before."""
+    zeros = lambda n: F.array_repeat(F.lit(0), n.cast("int"))
+    inside = F.array_sort(F.array_distinct(F.filter(_c(seq), lambda x: (x > 0) & (x < vocab_size))))
+
+    def cells(ids: Column) -> Column:
+        before = lambda i: F.when(i > 0, F.get(ids, i - 1)).otherwise(F.lit(0))
+        runs = F.transform(ids, lambda x, i: F.concat(zeros(x - before(i) - 1), F.array(F.lit(1))))
+        last = F.coalesce(F.get(ids, F.size(ids) - 1), F.lit(0))
+        return F.concat(F.flatten(runs), zeros(F.lit(vocab_size - 1) - last))
+
+    return let(inside, cells)
 
 
 def present_ids(seq: Column | str, pad: int = PAD) -> Column:
@@ -306,23 +321,19 @@ def longest_text(*columns: tuple[DataFrame, str]) -> Column:
 # --- hashed text features -----------------------------------------------------------
 
 def qgrams(text: Column | str, q: int) -> Column:
-    """Overlapping character q-grams of the whole text."""
-    def grams(chars: Column) -> Column:
-        # slices of a character array: substrings of a long string would rescan
-        # it from the start every time
-        found = F.transform(
-            F.sequence(F.lit(1), F.size(chars) - q + 1), lambda i: F.array_join(F.slice(chars, i, F.lit(q)), "")
-        )
-        return F.when(F.size(chars) >= q, found).otherwise(F.array().cast("array<string>"))
-
-    return let(characters(text), grams)
+    """Overlapping character q-grams of the whole text, in one pass: a q-gram is
+    seen from each character, which is consumed.  A NULL text has none."""
+    found = F.regexp_extract_all(_c(text), F.lit(f"(?s)(?=(.{{{q}}}))."), F.lit(1))
+    return F.coalesce(found, F.array().cast("array<string>"))
 
 
 def qgram_fingerprint(df: DataFrame, ids: Sequence[str], text: str, q: int = 4, n_bits: int = 1024, counts: bool = False) -> DataFrame:
     """``(ids, words)`` 32-bit words of the hashed q-gram set, or ``(ids,
     cells)`` sorted ``(bit, n)`` counts."""
     width = (n_bits - 1).bit_length()
-    grams = df.select(*ids, qgrams(text, q).alias("__g"))
+    grams = qgrams(text, q)
+    # a set needs each q-gram hashed once only
+    grams = df.select(*ids, (grams if counts else F.array_distinct(grams)).alias("__g"))
     bits = grams.select(*ids, F.transform("__g", lambda g: text_hash(g, width) % n_bits).alias("__b"))
     if counts:
         cells = bits.select(*ids, F.explode("__b").alias("bit")).groupBy(*ids, "bit").agg(F.count(F.lit(1)).alias("n"))
@@ -332,17 +343,25 @@ def qgram_fingerprint(df: DataFrame, ids: Sequence[str], text: str, q: int = 4,
 
 
 def bits_to_words(bits: Column, n_bits: int) -> Column:
-    """Set positions (distinct) as 32-bit words, position p in word p/32."""
-    places = F.sequence(F.lit(0), F.lit((n_bits + 31) // 32 - 1))
-
-    def words(set_bits: Column) -> Column:
-        def word(w: Column) -> Column:
-            mine = F.filter(set_bits, lambda b: F.floor(b / 32) == w)
-            return F.aggregate(mine, F.lit(0).cast("bigint"), lambda a, b: a + F.pow(F.lit(2.0), b % 32).cast("bigint"))
-
-        return F.transform(places, word)
+    """Set positions (distinct, below ``n_bits``) as 32-bit words, position p in
+    word p/32: one fold over the sorted positions, which closes a word when the
+    next one begins."""
+    zero = F.lit(0).cast("bigint")
+    zeros = lambda n: F.array_repeat(zero, n.cast("int"))
+    start = F.struct(F.array().cast("array<bigint>").alias("done"), zero.alias("at"), zero.alias("open"))
+
+    def step(acc: Column, b: Column) -> Column:
+        word, bit = F.floor(b / 32).cast("bigint"), F.pow(F.lit(2.0), b % 32).cast("bigint")
+        closed = F.concat(acc["done"], F.array(acc["open"]), zeros(word - acc["at"] - 1))
+        same = word == acc["at"]
+        return F.struct(
+            F.when(same, acc["done"]).otherwise(closed).alias("done"), word.alias("at"), F.when(same, acc["open"] + bit).otherwise(bit).alias("open")
+        )
 
-    return let(bits, words)
+    n_words = (n_bits + 31) // 32
+    return F.aggregate(
+        F.array_sort(bits), start, step, lambda acc: F.concat(acc["done"], F.array(acc["open"]), zeros(F.lit(n_words - 1) - acc["at"]))
+    )
 
 
 # Fixed value: a Mersenne prime for the linear hash family.

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from combisieve import TARGETS
 from combisieve.functions.hashing import uniform
-from combisieve.operators import metrics, predicates, profile
+from combisieve.operators import features, metrics, predicates, profile
 from workload import fixtures as X
-from workload.base import d6, query, r6, rounded
+from workload.base import d6, joined, query, r6, rounded
 
 COLS = ("bb1", "bb2", "bb3", "scaffold", "molecule")
 RATES = ", ".join(f"{d6(f'avg({t})')} as {t}" for t in TARGETS)
@@ -287,6 +287,18 @@ def top_k_features(spark, sf):
     return rounded(profile.top_k_features(_importance(spark, sf), 10, ["class"]), "importance")
 
 
+@query("sl2_projected_features", X.sql(
+    _IMP, "top as (select class, feature, rn from (select *, row_number() over (partition by class order by importance desc, feature) rn from imp) where rn<=10)",
+    "tl as (select class, list(feature order by rn) fs from top group by 1)", body="select vec_id, " + ", ".join(
+        f"(select array_to_string(list_transform(fs, lambda f: (embedding[f+1]>0)::int), ',') from tl where class={c}) as top_{c}" for c in range(3)) + " from embeddings"))
+def projected_features(spark, sf):
+    """Sign bits of the ten best positions per class, out of packed bytes."""
+    packed = X.table(spark, sf, "embeddings").selectExpr("vec_id", "transform(embedding, v -> int(v>0)) bits")
+    packed = packed.select("vec_id", features.pack_bits("bits").alias("packed"))
+    out = features.project_top_features(packed, "packed", _importance(spark, sf), 10, "class")
+    return out.select("vec_id", *[joined(f"top_{c}").alias(f"top_{c}") for c in range(3)])
+
+
 _LOG = "log as (select event_type as metric, (user_id%4)::int as model, (event_id//100)::bigint as step, (event_id//1000)::bigint as epoch, value from events)"
 
 

@@ -62,6 +62,12 @@ def balanced_group_weights_log(spark, sf):
     return rounded(out.select("mol_id", "sample_weight"), "sample_weight")
 
 
+@query("sa3_balanced_group_weights_log_base", _d_weights("base*(ln(m/base)/ln(3::double)+1)", "7.890688942998526::double"))
+def balanced_group_weights_log_base(spark, sf):
+    out = sampling.balanced_group_weights(_lib(spark, sf), "scaffold", ["mol_id"], base=7.890688942998526, mode="log", log_base=3.0)
+    return rounded(out.select("mol_id", "sample_weight"), "sample_weight")
+
+
 # weights in units of 2**-40 of the largest, then about 2**52 units for the whole line
 _D_DRAWS = [
     "un as (select id, h, ceil(x/(select max(x) from wt)*1099511627776::double)::hugeint w from wt where x>0)",
@@ -88,6 +94,21 @@ def group_size_sample(spark, sf):
     return sampling.weighted_sample(sampling.group_size_weights(lib, "scaffold", ["mol_id"], 2.0), "mol_id", "sample_weight", lib.count())
 
 
+_D_POISSON = [
+    f"wt as (select mol_id, 7::double*(1/({X.d_uniform('mol_id::varchar', 'w')}+0.1::double)) mean from lib)",
+    "pt as (select mol_id, ceil(mean/16)::bigint parts, mean/ceil(mean/16) own from wt)",
+    f"us as (select mol_id, own, {X.d_uniform(chr(39) + chr(39) + '||mol_id::varchar||' + chr(39) + ':' + chr(39) + '||part::varchar')} u from (select *, unnest(range(parts)) part from pt))",
+    """kn as (select mol_id, list_reduce(list_concat([[exp(-own), exp(-own), 0::double]], list_transform(range(1, 121), lambda i: [i::double, 0, 0])),
+ lambda a, x: [a[1]*own/x[1], a[2]+a[1]*own/x[1], a[3]+case when a[2]<=u then 1 else 0 end])[3]::bigint k from us)""",
+]
+
+
+@query("sa4_poisson_sample", X.sql(X.D_LIB, *_D_POISSON, body="select mol_id, sum(k)::bigint as n from kn group by 1 having sum(k)>0"))
+def poisson_sample(spark, sf):
+    lib = _lib(spark, sf).withColumn("w", 1.0 / (uniform("mol_id", seed="w") + F.lit(0.1)))
+    return sampling.poisson_sample(lib.select("mol_id", "w"), ["mol_id"], "w", 7.0).select("mol_id", "n")
+
+
 @query("sa5_epoch_shards", X.sql(X.D_LIB, f"""p as (select mol_id, e*(select count(*) from lib)+row_number() over
  (partition by e order by {X.d_hash("e::varchar||':'||mol_id::varchar")}, mol_id)-1 as pos from lib, (select unnest(range(0,2)) e))""",
     body="select mol_id, (pos%4)::int as shard, pos//4 as step from p"))

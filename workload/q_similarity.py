@@ -213,7 +213,19 @@ def threshold_clusters(spark, sf):
     return matching.threshold_clusters(X.fingerprints(spark, sf), 0.5, "vec_id", n_bits=64)
 
 
-@query("sg7_diverse_pick")
+_D_SIM7 = "(bit_count(x.w0&i.w0)+bit_count(x.w1&i.w1))/(bit_count(x.w0)+bit_count(x.w1)+bit_count(i.w0)+bit_count(i.w1)-bit_count(x.w0&i.w0)-bit_count(x.w1&i.w1))::double"
+
+
+@query("sg7_diverse_pick", X.sql(
+    *_D_CLUSTER, """cl as (select vec_id, case when vec_id in (select c from fin) then vec_id else
+ (select arg_min(p2.vec_id, p2.i) from s join fin on s.b=fin.c join pr p2 on p2.vec_id=fin.c where s.a=pr.vec_id) end as cluster from pr)""",
+    "it as (select cluster, vec_id, w0, w1, greatest(1, count(*) over (partition by cluster)//10) want from cl join fp using (vec_id))",
+    f"""pk as (select cluster, 1 pick, vec_id id, want, [vec_id] ids, [{{'w0': w0, 'w1': w1}}] ws from it where vec_id=cluster union all
+ select cluster, pick+1, vec_id, want, list_append(ids, vec_id), list_append(ws, {{'w0': w0, 'w1': w1}}) from (
+ select p.cluster, p.pick, p.want, p.ids, p.ws, i.vec_id, i.w0, i.w1, row_number() over (partition by p.cluster order by
+ list_reduce(list_concat([0::double], list_transform(p.ws, lambda x: {_D_SIM7})), lambda a, y: a+1-y) desc, i.vec_id) rn
+ from pk p join it i on i.cluster=p.cluster and not list_contains(p.ids, i.vec_id) where p.pick<p.want) where rn=1)""",
+    recursive=True, body="select cluster, id, pick from pk"))
 def diverse_pick(spark, sf):
     clusters = threshold_clusters(spark, sf)
     items = clusters.join(X.fingerprints(spark, sf), "vec_id")
@@ -228,8 +240,11 @@ def cooccurrence_edges(spark, sf):
     return graph.cooccurrence_edges(X.lib(spark, sf))
 
 
+# orders around their customer, and customers in chains of ten: hubs and chains
+# over whole keys, so that nodes, edges and components grow with the tables
 D_CC = [
-    "ed as (select distinct 4*(l_suppkey%20)+l_orderkey%4 a, 1000+4*(l_partkey%40)+l_orderkey%4 b from lineitem)",
+    """ed as (select 2*o_orderkey a, 2*o_custkey+1 b from orders union
+ select 2*c_custkey+1, 2*c_custkey+3 from customer where c_custkey%10<>9)""",
     "un as (select a, b from ed union select b, a from ed)",
     "reach as (select distinct a node, a as root from un union select un.b, reach.root from reach join un on un.a=reach.node)",
     "cc as (select node, min(root) as root from reach group by 1)",
@@ -237,9 +252,9 @@ D_CC = [
 
 
 def _cc_edges(spark, sf):
-    return X.table(spark, sf, "lineitem").selectExpr(
-        "4*(l_suppkey%20)+l_orderkey%4 src", "1000+4*(l_partkey%40)+l_orderkey%4 dst"
-    ).distinct()
+    around = X.table(spark, sf, "orders").selectExpr("2*o_orderkey src", "2*o_custkey+1 dst")
+    chain = X.table(spark, sf, "customer").filter("c_custkey%10<>9").selectExpr("2*c_custkey+1 src", "2*c_custkey+3 dst")
+    return around.unionByName(chain).distinct()
 
 
 @query("sg9_connected_components", X.sql(*D_CC, recursive=True, body="""
@@ -251,10 +266,8 @@ def connected_components(spark, sf):
 @query("sg10_component_coverage", X.sql(*D_CC, recursive=True, body=f"""
 select component, n_blocks, n_rows, {d6('n_rows*100/(select count(*) from lineitem)::double')} as pct from (
  select component, max(size) as n_blocks, count(*) as n_rows from lineitem join
- (select node, dense_rank() over (order by root)-1 as component, count(*) over (partition by root) as size from cc) on node=4*(l_suppkey%20)+l_orderkey%4 group by 1)"""))
+ (select node, dense_rank() over (order by root)-1 as component, count(*) over (partition by root) as size from cc) on node=2*l_orderkey group by 1)"""))
 def component_coverage(spark, sf):
-    rows = X.table(spark, sf, "lineitem").selectExpr(
-        "4*(l_suppkey%20)+l_orderkey%4 a", "1000+4*(l_partkey%40)+l_orderkey%4 b"
-    )
-    comps = graph.connected_components(rows.selectExpr("a src", "b dst").distinct())
-    return rounded(graph.component_coverage(rows, comps, ["a", "b"]), "pct")
+    rows = X.table(spark, sf, "lineitem").selectExpr("2*l_orderkey a")
+    comps = graph.connected_components(_cc_edges(spark, sf))
+    return rounded(graph.component_coverage(rows, comps, ["a"]), "pct")

@@ -118,27 +118,32 @@ def micro_average_precision(spark, sf):
     return rounded(metrics.micro_average_precision(_preds(spark, sf)), "ap")
 
 
-def _d_loss(pw: float, s: float) -> str:
-    terms = []
+def _d_loss(pw: float, s: float, t: float | None = None) -> str:
+    cut, terms = t, []
     for t in TARGETS:
         x, y = f"(pred_{t}*4-2)", f"target_{t}"
         if s:
             y = f"(case when target_{t}>0.5 then {1 - s / 2}::double else {s / 2}::double end)"
+        if cut is not None:
+            y = f"(case when {y}>{cut} then 1 else 0 end)"
         terms.append(f"((1-{y})*{x}+(1+{pw - 1}::double*{y})*(ln(1+exp(-abs({x})))+greatest(-{x},0)))")
     return "+".join(terms)
 
 
-_LOSSES = {"plain": (1.0, 0.0, "mean"), "weighted": (3.0, 0.0, "batch_mean"), "smooth": (1.0, 0.1, "sum")}
+_LOSSES = {
+    "plain": (1.0, 0.0, "mean", None), "weighted": (3.0, 0.0, "batch_mean", None), "smooth": (1.0, 0.1, "sum", None),
+    "hard": (2.0, 0.1, "mean", 0.5), "all_on": (1.0, 0.1, "mean", 0.01),
+}
 _DIV = {"mean": "/(3*count(*))", "batch_mean": "/count(*)", "sum": ""}
 
 
 @query("tm8_log_loss", X.sql(*PREDS, body=X.union_all([
-    f"select '{n}' as kind, {d6(f'sum({_d_loss(pw, s)}){_DIV[r]}')} as loss from preds" for n, (pw, s, r) in _LOSSES.items()])))
+    f"select '{n}' as kind, {d6(f'sum({_d_loss(pw, s, t)}){_DIV[r]}')} as loss from preds" for n, (pw, s, r, t) in _LOSSES.items()])))
 def log_loss(spark, sf):
     logits = _preds(spark, sf).withColumns({c: F.col(c) * 4 - 2 for c in PCOLS})
     return rounded(X.stack_rows([
-        metrics.log_loss(logits, pos_weight=pw, smoothing=s, reduction=r).withColumn("kind", F.lit(n))
-        for n, (pw, s, r) in _LOSSES.items()
+        metrics.log_loss(logits, pos_weight=pw, smoothing=s, reduction=r, target_threshold=t).withColumn("kind", F.lit(n))
+        for n, (pw, s, r, t) in _LOSSES.items()
     ]), "loss")
 
 
@@ -153,6 +158,13 @@ def clean_predictions(spark, sf):
     return out.select("mol_id", "had_nan", *PCOLS)
 
 
+@query("tm9_ordered_predictions", X.sql(*PREDS, body=f"select mol_id, row_number() over (order by mol_id)-1 as position, {_BAD}::int as had_nan, sum({_BAD}::int) over ()::bigint as n_nan from preds"))
+def ordered_predictions(spark, sf):
+    nan = F.when(F.col("mol_id") % 997 == 0, F.lit(float("nan"))).otherwise(F.col("pred_HSA"))
+    out, counts = metrics.ordered_predictions(_preds(spark, sf).withColumn("pred_HSA", nan), PCOLS, "mol_id")
+    return out.select("mol_id", "position", "had_nan", counts.select("n_nan").scalar().alias("n_nan"))
+
+
 @query("tm10_staged_scores", X.sql(X.D_LIB, *[X.d_predictions(m, f"p{m}") for m in (1, 2, 3, 4)],
     "ln as (" + X.union_all([d_long(f"p{m}", f"{(m - 1) * 500} as step, ") for m in (1, 2, 3, 4)]) + ")", PARTS,
     "nm as (select step, part, protein, score, target from ln join parts p on case when part='share' then ln.subset is distinct from 0 else ln.subset=p.subset end)", d_ap("nm", "step, part, protein"), _ROLL,
@@ -232,6 +244,16 @@ def stream_token_counts(spark, sf):
     return counters.latest_counts(spark, out, ["lang", "token"])
 
 
+@query("st1_compacted_token_counts", X.sql(D_WORDS, body="select lang, token, count(*) as n from (select lang, unnest(tokens) token from words) group by all"))
+def compacted_token_counts(spark, sf):
+    source, out = scratch_path(spark, "arriving"), scratch_path(spark, "counts")
+    docs = X.table(spark, sf, "documents").select("doc_id", "lang", "text")
+    docs.repartition(5, "doc_id").write.parquet(source)
+    counts = counters.stream_token_counts(counters.read_arriving(spark, source, docs.schema), tokens.tokenize_words("text"), ["lang"])
+    counters.run_counter(counts, out, compact_every=2, keys=["lang", "token"]).awaitTermination()
+    return counters.latest_counts(spark, out, ["lang", "token"])
+
+
 @query("st2_stream_column_profile", X.sql(D_SMALL, body=D_PROFILE))
 def stream_column_profile(spark, sf):
     from combisieve.operators.profile import profile_from_values

@@ -118,6 +118,17 @@ def pad_batch(spark, sf):
     return T.pad_batch(enc, "scaffold", ["mol_id"], "input_ids", 4096).select("mol_id", joined("input_ids").alias("input_ids"))
 
 
+@query("tk9_pad_batch_two", X.sql(*MOL, """
+b as (select mol_id, input_ids, least(max(len(input_ids)) over (partition by scaffold), 40) n from enc join lib using (mol_id))""", body=f"""
+select mol_id, array_to_string(list_concat(input_ids[1:n], list_transform(range(0, n-len(input_ids)), lambda x: 7::bigint)), ',') as input_ids,
+ array_to_string(list_concat(list_transform(input_ids[1:n], lambda x: x%2=0), list_transform(range(0, n-len(input_ids)), lambda x: true)), ',') as even from b"""))
+def pad_batch_two(spark, sf):
+    """Ids and a mask of one length per row, each with its own padding."""
+    enc = _mol_ids(spark, sf, "scaffold").withColumn("even", F.transform("input_ids", lambda x: x % 2 == 0))
+    out = T.pad_batch(enc, "scaffold", ["mol_id"], {"input_ids": 7, "even": True}, 40)
+    return out.select("mol_id", joined("input_ids").alias("input_ids"), joined("even").alias("even"))
+
+
 @query("tk10_trim_padding", X.sql(*MOL, "m as (select max(len(input_ids)) n from enc)", body="""
 select mol_id, n::int as width, array_to_string(list_concat(input_ids, list_transform(range(0, n-len(input_ids)), lambda x: 0::bigint)), ',') as input_ids from enc, m"""))
 def trim_padding(spark, sf):
