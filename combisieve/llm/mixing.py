@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from combisieve.llm.words import mix as mix_bits
@@ -162,6 +163,10 @@ class Mix:
     entries: DataFrame
     pieces: DataFrame
     _rows: DataFrame
+    _text_col: str
+
+    def _text(self) -> Column:
+        return F.col("__row")[self._text_col]
 
     def taken(self) -> DataFrame:
         """``entries`` with ``taken``, the words that the mix takes, repeats counted."""
@@ -170,7 +175,7 @@ class Mix:
 
     def _cut(self) -> DataFrame:
         """``pieces`` with their text, a slice of the source text."""
-        units = F.regexp_extract_all("__text", F.lit(UNIT), F.lit(0))
+        units = F.regexp_extract_all(self._text(), F.lit(UNIT), F.lit(0))
         listed = self.pieces.groupBy("key").agg(F.collect_list(F.struct("turn", "begin", "n", "shard", "slot")).alias("parts"))
         cut = F.transform(
             F.array(units),
@@ -196,7 +201,7 @@ class Mix:
             lambda t: F.array_join(F.transform(F.array_sort(F.filter("parts", lambda p: p["turn"] == t)), lambda p: p["text"]), ""),
         )
         whole = self._cut().select("__row", F.explode(by_turn).alias("__new"))
-        empty = self._rows.filter("__words = 0").select("__row", F.col("__text").alias("__new"))
+        empty = self._rows.filter(words_in(self._text()) == 0).select("__row", self._text().alias("__new"))
         row = F.col("__row").withField(text, F.col("__new"))
         if n_chars is not None and n_chars in self._rows.schema["__row"].dataType.names:
             row = row.withField(n_chars, F.when(F.col("__row")[n_chars].isNotNull(), F.char_length("__new")).cast(self._rows.schema["__row"].dataType[n_chars].dataType))
@@ -218,12 +223,12 @@ def mix(
     A NULL, empty or blank text has no words and is in no block.  A NULL source
     is a source.  Documents are told apart by id, source and a hash of the text;
     rows that repeat all three are laid one after another, as documents of their
-    own.  An empty table gives an empty mix.
+    own with their own other columns.  An empty table gives an empty mix.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(doc_id).alias("doc"), F.col(source).alias("source"), F.col(text).alias("__text"), F.struct("*").alias("__row"))
-    rows = rows.withColumn("mark", F.xxhash64("__text"))
-    same = rows.select("doc", "source", "mark", words_in(F.col("__text")).alias("size")).groupBy("doc", "source", "mark").agg(F.first("size").alias("size"), F.count(F.lit(1)).alias("n"))
+    # the text travels once, inside its row
+    rows = docs.select(F.col(doc_id).alias("doc"), F.col(source).alias("source"), F.xxhash64(text).alias("mark"), F.struct("*").alias("__row"))
+    same = rows.select("doc", "source", "mark", words_in(F.col("__row")[text]).alias("size")).groupBy("doc", "source", "mark").agg(F.first("size").alias("size"), F.count(F.lit(1)).alias("n"))
     copies = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"))).alias("copy")
     sized = cut_lineage(same.select("doc", "source", "mark", "size", copies))
     targets = source_targets(sized.select("source", "size"), weights, max_repeats)
@@ -258,16 +263,20 @@ def mix(
             counted.select("shard", "source_index", "slots", "last").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "shard", "source_index")
             .mapInArrow(_numbered(table, shard_slots, seed), slots.schema)
         )
+        slots = cut_lineage(slots)
     low, high = F.floor(F.col("first_word") / block_words), F.floor((F.col("first_word") + F.col("size") - 1) / block_words)
     in_blocks = entries.filter("size > 0").select("key", "source_index", "first_word", "size", F.explode(F.sequence(low, high)).alias("block"))
     start = F.col("block") * block_words
     begin = F.greatest(F.col("first_word"), start)
     end = F.least(F.col("first_word") + F.col("size"), start + F.col("words"))
     pieces = (
-        in_blocks.join(slots, ["source_index", "block"])
+        # a row per block of the mix on either side: never broadcast
+        in_blocks.hint("merge").join(slots.hint("merge"), ["source_index", "block"])
         .select("shard", "slot", "source_index", "turn", "block", "key", begin.alias("first"), (begin - F.col("first_word")).alias("begin"), (end - begin).alias("n"))
         .filter("n > 0")
     )
-    numbered = rows.groupBy("doc", "source", "mark").agg(F.first("__row").alias("__row"), F.first("__text").alias("__text"), F.count(F.lit(1)).alias("__n"))
-    numbered = numbered.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__n"))))
-    return Mix(entries, pieces, numbered.select(F.struct("doc", "source", "mark", "copy").alias("key"), "__row", "__text", words_in(F.col("__text")).alias("__words")))
+    # rows that repeat all three are few as a rule; their other columns order them
+    others = F.xxhash64(F.to_json(F.struct(*[F.col("__row")[c].alias(c) for c in docs.columns if c != text])))
+    number = F.row_number().over(W.partitionBy("doc", "source", "mark").orderBy(others)).cast("bigint")
+    numbered = rows.withColumn("copy", number).select(F.struct("doc", "source", "mark", "copy").alias("key"), "__row")
+    return Mix(entries, pieces, numbered, text)
