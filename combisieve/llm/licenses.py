@@ -102,6 +102,7 @@ class Index(NamedTuple):
     vocabulary: np.ndarray  # sorted word hashes; a word's code is its place + 1
     templates: list[Template]
     postings: dict[int, list[tuple[int, int]]]  # code of a rare word: (template, position)
+    inside: dict[int, list[tuple[str, int]]]  # template: its mandatory phrases and where they stand in it
 
 
 def _hashes(text: str) -> np.ndarray:
@@ -123,13 +124,18 @@ def build_index(frequency: Mapping[int, int]) -> Index:
     templates += [Template(label, code(text), None, inside) for label, text, inside in TEXTS]
     postings: dict[int, list[tuple[int, int]]] = {}
     for t, template in enumerate(templates):
-        # highest inverse document frequency first, then the code, so that reruns agree
-        rare = sorted(set(template.words.tolist()), key=lambda c: (frequency.get(c, 0), c))
+        # highest inverse document frequency first, then the code, so that reruns
+        # agree; words that stand in no file come last: looking them up finds nothing
+        rare = sorted(set(template.words.tolist()), key=lambda c: (not frequency.get(c, 0), frequency.get(c, 0), c))
         for c in rare[: TEXT_ANCHORS if template.phrase is None else 1]:
             at = np.flatnonzero(template.words == c).tolist()
             for position in at if template.phrase is None else at[:1]:
                 postings.setdefault(c, []).append((t, position))
-    return Index(words, templates, postings)
+    inside = {
+        t: [(p, i) for p in template.inside for i in range(len(template.words)) if np.array_equal(template.words[i : i + len(code(p))], code(p))]
+        for t, template in enumerate(templates)
+    }
+    return Index(words, templates, postings, inside)
 
 
 def _codes(block: Block, words: np.ndarray) -> np.ndarray:
@@ -187,16 +193,19 @@ def scan(block: Block, index: Index) -> list[list[dict]]:
         for s, d in zip(start.tolist(), block.doc[start].tolist(), strict=True):
             found[d].append((s - int(block.first[d]), template.label, size, 1.0, template.phrase))
     for t, template in enumerate(index.templates):
-        if t not in begins or template.phrase is not None:
+        if template.phrase is not None:
             continue
-        begin, agreeing = np.unique(np.concatenate(begins[t]), return_counts=True)
-        begin = begin[agreeing >= MIN_AGREEING]
-        keys = np.sort(np.concatenate([exact.get(p, np.zeros(0, np.int64)) for p in template.inside]))
         size = len(template.words)
-        last = -2 * size
+        begin = np.zeros(0, np.int64)
+        if t in begins:
+            begin, agreeing = np.unique(np.concatenate(begins[t]), return_counts=True)
+            begin = begin[agreeing >= MIN_AGREEING]
+        keys = np.sort(np.concatenate([exact.get(p, np.zeros(0, np.int64)) for p in template.inside]))
+        # a notice holds a mandatory phrase: wherever one stands, a notice may
+        # begin that far before it, whatever rare words are left of it
+        begin = np.union1d(begin, np.concatenate([begin, *[exact.get(p, begin[:0]) - i for p, i in index.inside[t]]]))
+        best: list[tuple[float, int, int]] = []  # places, each the best of its copy
         for b in begin.tolist():
-            if b - last < size // 2:
-                continue  # the same copy, shifted
             key = int(np.searchsorted(keys, b - SLACK * 2))
             if key >= len(keys) or keys[key] >= b + size:
                 continue
@@ -205,11 +214,19 @@ def scan(block: Block, index: Index) -> list[list[dict]]:
             places = b + np.arange(size)
             hit = np.zeros(size, bool)
             for s in range(-SLACK, SLACK + 1):
-                inside = (places + s >= lo) & (places + s < hi)
-                hit[inside] |= codes[places[inside] + s] == template.words[inside]
-            if hit.mean() >= MIN_COVERAGE:
-                last = b
-                found[d].append((max(b, lo) - lo, template.label, size, float(hit.mean()), None))
+                at_s = (places + s >= lo) & (places + s < hi)
+                hit[at_s] |= codes[places[at_s] + s] == template.words[at_s]
+            share = float(hit.mean())
+            if share < MIN_COVERAGE:
+                continue
+            if best and b - best[-1][1] < size // 2 and best[-1][2] == d:
+                if share > best[-1][0]:
+                    best[-1] = (share, b, d)  # the same copy, better placed
+                continue
+            best.append((share, b, d))
+        for share, b, d in best:
+            lo = int(block.first[d])
+            found[d].append((max(b, lo) - lo, template.label, size, share, None))
     return [
         [{"label": label, "start": start, "n_words": size, "score": score, "phrase": phrase} for start, label, size, score, phrase in sorted(f, key=lambda x: (x[0], x[1], x[2], x[4] or ""))]
         for f in found
