@@ -96,10 +96,10 @@ _FIGURE = re.compile(rf"(?ai){_WORD}|[0-9]+|plus|,\x20")
 # the word or the sign itself in brackets, or the word between blanks
 _SIGN = r"\x20?(?:\[\x20?(?:{0}|{1})\x20?\]|\(\x20?(?:{0}|{1})\x20?\)|\{{\x20?(?:{0}|{1})\x20?\}}|<\x20?(?:{0}|{1})\x20?>)\x20?|\x20{0}\x20"
 _AT, _DOT = _SIGN.format("at", "@"), _SIGN.format("dot", r"\.")
-# a written-out sign counts inside something shaped like a whole address
-_ADDRESS = re.compile(
-    rf"(?i)(?<![a-z0-9._%+-])[a-z0-9_%+-]{{1,64}}+(?:(?:\.|{_DOT})[a-z0-9_%+-]{{1,64}}+){{0,8}}?(?:@|{_AT})[a-z0-9-]{{1,63}}+(?:(?:\.|{_DOT})[a-z0-9-]{{1,63}}+){{1,8}}"
-)
+# a written-out sign counts inside something shaped like a whole address; signs
+# are looked for at every place, since one may begin where another ends
+_EACH_AT, _EACH_DOT = re.compile(rf"(?i)(?=(@|{_AT}))"), re.compile(rf"(?i)(?=({_DOT}))")
+_ATOM, _LABEL, _ATOM_SIGN = re.compile(r"(?i)[a-z0-9_%+-]+"), re.compile(r"(?i)[a-z0-9-]+"), re.compile(r"(?i)[a-z0-9._%+-]")
 _SIGNS = re.compile(rf"(?i)(?P<at>{_AT})|(?P<dot>{_DOT})")
 _SIGN_HINT = re.compile(r"(?i)[\[({<\x20]\x20?(?:at|dot)\x20?[\])}>\x20]|[\[({<]\x20?[.@]\x20?[\])}>]")
 # a dot sign counts between figures, too
@@ -107,11 +107,13 @@ _BETWEEN = re.compile(rf"(?ai)(?<=[0-9])(?:{_DOT})(?=[0-9])")
 # Runs of spelled figures with dot signs between them.  Between two signs spelled
 # and written figures may mix; at the ends of a chain they are other words' neighbours.
 _SPELT = rf"(?:{_WORD})(?![a-z0-9])"
-_RUN = rf"(?:{_SPELT}(?:[\x20-]{_SPELT}){{0,19}}+|[0-9]++)"
-_MIXED = rf"(?:{_SPELT}|[0-9]++)(?:[\x20-](?:{_SPELT}|[0-9]++)){{0,19}}+"
-_CHAIN = re.compile(
-    rf"(?ai)(?<![a-z0-9])(?:(?P<plus>plus\x20)(?:[0-9]++[\x20-]){{0,4}})?(?P<runs>{_RUN}(?:(?:\.|{_DOT})(?:{_MIXED}(?=\.[a-z0-9]|{_DOT})|{_RUN}))++)"
-)
+_RUN = rf"(?:{_SPELT}(?:[\x20-]{_SPELT})*+|[0-9]++)"
+_MIXED = rf"(?:{_SPELT}|[0-9]++)(?:[\x20-](?:{_SPELT}|[0-9]++))*+"
+# A chain is only tried at a run with a dot sign behind it, so that none is
+# scanned from each of its words.
+_TOKEN = re.compile(rf"(?ai)(?<![a-z0-9])(?:(?P<plus>plus)(?=\x20)|{_RUN})")
+_DOTTED = re.compile(rf"(?ai)(?:\.|{_DOT})(?=[a-z0-9])")
+_CHAIN = re.compile(rf"(?ai){_RUN}(?:(?:\.|{_DOT})(?:{_MIXED}(?=\.[a-z0-9]|{_DOT})|{_RUN}))++")
 _CHAINED = re.compile(rf"(?ai){_MIXED}")
 
 
@@ -150,17 +152,30 @@ def _homoglyphs(text: str) -> list[tuple[int, int, str]]:
 
 
 def _chains(text: str) -> list[tuple[int, int, str]]:
-    """Spelled figures beside a dot sign: a run is one number, without blanks."""
-    out = []
-    for chain in _CHAIN.finditer(text):
+    """Spelled figures beside a dot sign: a run is one number, without blanks.
+    A ``plus`` before it counts, with any written figures between."""
+    out, at, plus, after = [], 0, None, -1
+    while token := _TOKEN.search(text, at):
+        at = token.end()
+        if token["plus"]:
+            plus, after = (token.start(), at + 1), at + 1
+            continue
+        chain = _CHAIN.match(text, token.start()) if _DOTTED.match(text, at) else None
+        if chain is None:
+            if token.start() == after and token[0].isdigit() and text[at : at + 1] in (" ", "-"):
+                after = at + 1
+            else:
+                plus, after = None, -1
+            continue
         runs = []
-        for run in _CHAINED.finditer(text, chain.start("runs"), chain.end("runs")):
+        for run in _CHAINED.finditer(text, chain.start(), chain.end()):
             figures = [m[0].lower() for m in _FIGURE.finditer(run[0])]
             if not all(f.isdigit() for f in figures):
                 runs.append((run.start(), run.end(), "".join(_SPELLED.get(f, f) for f in figures)))
-        if runs and chain["plus"]:
-            out.append((*chain.span("plus"), "+"))
+        if runs and plus and token.start() == after:
+            out.append((*plus, "+"))
         out += runs
+        at, plus, after = chain.end(), None, -1
     return out
 
 
@@ -181,12 +196,40 @@ def _figures(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def _addresses(text: str) -> Iterator[tuple[int, int]]:
+    """Ranges shaped like a whole address, with plain or written-out signs.
+
+    From each at sign the parts are walked to both sides, between the end of the
+    last address and the next at sign, so the work is linear in the text."""
+    ats = [m.span(1) for m in _EACH_AT.finditer(text)]
+    if not ats:
+        return
+    dots = [m.span(1) for m in _EACH_DOT.finditer(text)]
+    behind, before = {a: b for a, b in dots}, {b: a for a, b in reversed(dots)}
+    atoms, labels = {m.end(): m.start() for m in _ATOM.finditer(text)}, {m.start(): m.end() for m in _LABEL.finditer(text)}
+    free = 0
+    for sign, end in ats:
+        starts, at = [], sign
+        while at is not None and atoms.get(at, -1) >= free:
+            starts.append(atoms[at])
+            at = starts[-1] - 1 if text[starts[-1] - 1 : starts[-1]] == "." else before.get(starts[-1])
+        start = next((s for s in reversed(starts) if not (s and _ATOM_SIGN.match(text, s - 1))), None)
+        stop, parts = labels.get(end), 0
+        while start is not None and stop is not None:
+            end = stop
+            parts += 1
+            stop = labels.get(end + 1) if text[end : end + 1] == "." else labels.get(behind.get(end))
+        if parts > 1:
+            yield start, end
+            free = end
+
+
 def _signs(text: str) -> list[tuple[int, int, str]]:
     if not _SIGN_HINT.search(text):
         return []
     found = {(m.start(), m.end(), ".") for m in _BETWEEN.finditer(text)}
-    for address in _ADDRESS.finditer(text):
-        for m in _SIGNS.finditer(text, address.start(), address.end()):
+    for start, end in _addresses(text):
+        for m in _SIGNS.finditer(text, start, end):
             found.add((m.start(), m.end(), "@" if m["at"] else "."))
     return sorted(found)
 
@@ -249,7 +292,12 @@ def find_identifiers(docs: DataFrame, text: str = "text", name: str = "identifie
 
 def mask_identifiers(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with every identifier in ``text`` replaced by ``<KIND>``; of
-    overlapping ones the first, then the longest, is replaced whole."""
+    overlapping ones the first, then the longest, is replaced whole.
+
+    A NULL text stays NULL, an empty one empty.  Rows are masked one by one:
+    repeated rows stay repeated, an empty table gives an empty table, other
+    columns pass through.
+    """
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:

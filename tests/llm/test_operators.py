@@ -271,6 +271,27 @@ def test_disguised_by_dot_signs(shown, kind, value):
         assert [(s["kind"], text[s["start"] : s["end"]], s["value"]) for s in found] == [(kind, shown, value)]
 
 
+@pytest.mark.parametrize(("text", "kind", "value"), [
+    ("x" * 300 + " at example dot com", "email", "x" * 300 + "@example.com"),
+    (".".join("abcdefghijklmnopqrst") + " at ex dot com", "email", ".".join("abcdefghijklmnopqrst") + "@ex.com"),
+    ("jane at " + "d" * 64 + " dot com", "email", "jane@" + "d" * 64 + ".com"),
+    ("jane at " + " dot ".join("abcdefghijkl"), "email", "jane@" + ".".join("abcdefghijkl")),
+    ("zero " * 40 + "one dot two dot three dot four", "ip", "0" * 40 + "1.2.3.4"),
+    ("plus 1 2 3 4 5 6 7 one two.three", "phone", "+1 2 3 4 5 6 7 12.3"),
+])
+def test_disguised_of_any_length(text, kind, value):
+    found = [s for s in pii.spans_of(text) if s["disguised"] and s["kind"] == kind]
+    assert [s["value"] for s in found] == [value]
+
+
+def test_masked_identifiers(spark):
+    items = [(1, "mail bob [at] example [dot] com or 1.2.3.4"), (2, None), (3, ""), (1, "mail bob [at] example [dot] com or 1.2.3.4")]
+    df = spark.createDataFrame(items, "doc_id bigint, text string")
+    got = sorted(((r.doc_id, r.text) for r in pii.mask_identifiers(df).collect()), key=str)
+    assert got == sorted([(1, "mail <EMAIL> or <IP>"), (2, None), (3, ""), (1, "mail <EMAIL> or <IP>")], key=str)
+    assert pii.mask_identifiers(df.limit(0)).count() == 0
+
+
 def test_dot_signs_without_identifiers():
     for text in ("300 dot 1 dot 2 dot 3", "one dot two dot three", "ask one. Two dot com", "1 9 2 dot one", "f\u0131ve two three four", "\u017fix dot \u017fix"):
         assert pii.spans_of(text) == []
@@ -360,6 +381,49 @@ def test_licenses(spark, docs, empty):
     assert licenses.find_licenses(empty).count() == 0
 
 
+def listed_licenses(text):
+    """Phrases wherever they stand; notices wherever a phrase of theirs says so,
+    overlapping ones by the best share of words in place."""
+    words = ALNUM_WORD.findall((text or "").translate(LOWER))
+    places = lambda phrase: [i for i in range(len(words)) if words[i : i + len(phrase)] == phrase]
+    own = {p: label for label, _, ps in licenses.TEXTS for p in ps}
+    phrases = {(i, label, p) for p, label in (own | licenses.KEY_PHRASES | licenses.BASE_PHRASES).items() for i in places(p.split())}
+    notices = set()
+    for label, notice, ps in licenses.TEXTS:
+        notice = notice.split()
+        for p in ps:
+            at = [i for i in range(len(notice)) if notice[i : i + len(p.split())] == p.split()]
+            for i in places(p.split()):
+                for j in at:
+                    b = i - j
+                    near = lambda k: any(0 <= b + k + s < len(words) and words[b + k + s] == notice[k] for s in range(-licenses.SLACK, licenses.SLACK + 1))  # noqa: B023, E731
+                    if sum(map(near, range(len(notice)))) / len(notice) >= licenses.MIN_COVERAGE:
+                        notices.add(label)
+    return phrases, notices
+
+
+def test_licenses_by_brute_force(spark):
+    """Copies cut short, shifted, doubled and worn, alone and beside whole ones."""
+    pick = random.Random(12)
+    texts = ["", "MIT", "Under the MIT License"]
+    for _, notice, _ in licenses.TEXTS:
+        words = notice.split()
+        for n in (len(words), len(words) * 2 // 3 + 1, len(words) // 2):
+            texts += [" ".join(words[:n]), "intro of some words " + " ".join(words[:n]) + " and more", " ".join(words[:n] * 2)]
+        for _ in range(12):
+            worn = [w for w in words for w in ([w] if pick.random() > 0.1 else pick.choice(([], [w, "extra"], ["other"])))]
+            cut = pick.randrange(len(worn))
+            texts.append(" ".join([*["filler"] * pick.randrange(5), *worn[: max(20, cut)], *pick.choice(([], words))]))
+    texts.append(" ".join(licenses.TEXTS[0][1].split()[:38]))  # none of its rarest words
+    for chosen in (texts, texts[-1:]):
+        df = spark.createDataFrame(list(enumerate(chosen)), "doc_id bigint, text string")
+        for r in licenses.find_licenses(df).collect():
+            phrases, notices = listed_licenses(r.text)
+            assert {(p.start, p.label, p.phrase) for p in r.licenses.places if p.phrase} == phrases
+            assert {p.label for p in r.licenses.places if not p.phrase} == notices, r.text
+    assert notices == {"mit"}
+
+
 def test_warc(spark, tmp_path):
     long = "<p>" + "x" * 200
     pages = [(5, "http://a.b/x?b=1&a=2", long), (3, "http://www.a.b/", long), (9, None, None), (7, "u", "short"), (8, "u", "short"), (None, "http://c", long), (3, "http://www.a.b/", long), (1, "bad url [", "é\r\n\r\n" * 60)]
@@ -385,6 +449,20 @@ def test_loser_tree():
         assert list(warc.loser_merge(runs)) == sorted((x for run in runs for x in run), key=warc._order)
 
 
+def test_repeated_rows_keep_their_own_columns(spark):
+    items = [(1, "a b c", "s", "en"), (1, "a b c", "s", "de"), (1, "a b c", "s", "de"), (2, "", "s", "x"), (2, "", "s", "y")]
+    df = spark.createDataFrame(items, "doc_id bigint, text string, source string, lang string")
+    got = mixing.mix(df, block_words=4).documents().collect()
+    assert sorted((r.doc_id, r.lang) for r in got) == sorted((i, lang) for i, _, _, lang in items)
+    assert all(r.text.split() == ["a", "b", "c"] for r in got if r.doc_id == 1)
+
+
+def test_blocks_meet_slots_in_a_shuffle(spark, docs):
+    """One row per block of the mix on either side: none is broadcast."""
+    plan = mixing.mix(docs, block_words=16, shard_slots=8).pieces._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [source_index" in plan and "BroadcastHashJoin [source_index" not in plan
+
+
 def test_targets_and_mix(spark, docs, empty):
     mixed = mixing.mix(docs, block_words=16, shard_slots=8)
     got = mixed.taken().collect()
