@@ -6,13 +6,16 @@ not begin like any window cannot be an answer and are left out before the
 sort.  Locations are extended to the longest verbatim match by a second binary
 search, in the sorted suffixes of the test items.
 
-The test items travel to the tasks in chunks of bounded size, one after the
-other, whatever their number.
+Spark cuts the test items into chunks of bounded size and writes an index of
+each to the shared folder.  A task gathers blocks of documents up to a bounded
+size and passes over the chunks once for all of them; the driver knows the paths
+only.
 """
 
 from __future__ import annotations
 
 import bisect
+import pickle
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -22,10 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from combisieve.llm.columns import array_udf
+from combisieve.llm.files import partition_id, read_whole, write_whole
 from combisieve.llm.words import ALNUM, Block, blocks, mix
+from combisieve.session import scratch_path
 
-#: Words of test items that are sent to the tasks at once (about 100 MB there).
+#: Words of test items in one chunk (about 100 MB in a task).
 CHUNK_WORDS = 1_000_000
+#: Text that a task gathers before it passes over several chunks.
+GATHER_BYTES = 16 << 20
 #: A suffix takes part if so many words begin some window.
 HEAD_WORDS = 3
 
@@ -41,11 +48,12 @@ class Items(NamedTuple):
     vocabulary: np.ndarray  # sorted word hashes; a word's code is its place + 1
     by_length: dict[int, tuple[np.ndarray, list[list[int]]]]  # window length: distinct windows, items of each
     heads: dict[int, tuple[int, np.ndarray]]  # window length: words looked at, sorted keys of the windows' beginnings
-    names: list[str]
+    names: list[str]  # ascending
     codes: bytes  # all items, a 0 after each
     order: np.ndarray  # suffix array of ``codes``
     ends: np.ndarray  # place after the last word of each item
     longest: int  # words of the longest item
+    window: int  # words of a window of an item that has so many
 
 
 def _as_bytes(codes: np.ndarray) -> np.ndarray:
@@ -75,7 +83,7 @@ def prepare(names: list[str], texts: list[str | None], window: int) -> Items:
     joined = np.concatenate([np.append(c, 0) for c in coded]) if coded else np.zeros(0, np.int64)
     ends = np.cumsum([len(c) + 1 for c in coded], dtype=np.int64) - 1
     longest = max(map(len, coded), default=0)
-    return Items(vocabulary, by_length, heads, names, joined.astype(">u4").tobytes(), _suffix_array(joined, longest), ends, longest)
+    return Items(vocabulary, by_length, heads, names, joined.astype(">u4").tobytes(), _suffix_array(joined, longest), ends, longest, window)
 
 
 def _head_key(rows: np.ndarray) -> np.ndarray:
@@ -101,8 +109,7 @@ class Shard:
     """Suffix array of a block of documents, of the suffixes whose first words
     begin a window; compared by as many words as a window has."""
 
-    def __init__(self, block: Block, items: Items) -> None:
-        hashes = block.hashes()
+    def __init__(self, block: Block, hashes: np.ndarray, items: Items) -> None:
         place = np.searchsorted(items.vocabulary, hashes)
         place[place == len(items.vocabulary)] = 0
         known = items.vocabulary[place] == hashes if len(items.vocabulary) else np.zeros(len(hashes), bool)
@@ -143,10 +150,11 @@ def shift_of(at: np.ndarray, block: Block, gap: int) -> np.ndarray:
 
 
 def _longest(codes: bytes, items: Items) -> tuple[int, int, int]:
-    """Longest common beginning with any test suffix: words, item, first word."""
+    """Longest common beginning with any test suffix: words, the first item that
+    has it, first word."""
     suffix = lambda p: items.codes[4 * p : 4 * p + len(codes)]
     at = bisect.bisect_left(items.order, codes, key=suffix)
-    best = (0, 0, 0)
+    longest = 0
     for near in (at - 1, at):
         if 0 <= near < len(items.order):
             p = int(items.order[near])
@@ -154,23 +162,31 @@ def _longest(codes: bytes, items: Items) -> tuple[int, int, int]:
             n = min(len(codes) // 4, int(items.ends[item]) - p)
             same = np.frombuffer(codes[: 4 * n], ">u4") == np.frombuffer(items.codes[4 * p : 4 * (p + n)], ">u4")
             run = n if same.all() else int(np.argmin(same))
-            best = max(best, (run, -item, int(items.ends[item - 1]) + 1 - p if item else -p))
-    return best[0], -best[1], -best[2]
+            longest = max(longest, run)
+    same = lambda p: items.codes[4 * p : 4 * (p + longest)]
+    low = bisect.bisect_left(items.order, codes[: 4 * longest], key=same)
+    high = bisect.bisect_right(items.order, codes[: 4 * longest], lo=low, key=same)
+    at = items.order[low:high]
+    item = np.searchsorted(items.ends, at)
+    first = at - np.concatenate([[0], items.ends[:-1] + 1])[item]
+    least = int(item.min())  # names are sorted, and some may be equal
+    return longest, least, int(first[item < bisect.bisect_right(items.names, items.names[least])].min())
 
 
 class Found:
     """What is found in the documents of one block, over all chunks."""
 
     def __init__(self, block: Block) -> None:
+        self.block, self.hashes = block, block.hashes()
         self.hit = np.zeros(len(block.start) + 1, np.int64)
         self.items: list[set[str]] = [set() for _ in range(block.n_docs)]
         self.longest: list[tuple[int, int, str, int] | None] = [None] * block.n_docs
 
-    def search(self, block: Block, items: Items) -> None:
-        shard = Shard(block, items)
+    def search(self, items: Items) -> None:
+        shard = Shard(self.block, self.hashes, items)
         if not len(shard.at):
             return
-        matched = []
+        whole = np.zeros(0, np.int64)  # places of windows of full length
         for n, (windows, owners) in items.by_length.items():
             low, high = shard.ranges(windows, n)
             some = np.flatnonzero(high > low)
@@ -183,12 +199,17 @@ class Found:
             pairs = np.unique(np.stack([shard.doc[place], which], 1), axis=0)
             for doc, w in pairs.tolist():
                 self.items[doc].update(items.names[i] for i in owners[w])
-            matched.append(place)
-        places = np.unique(np.concatenate(matched))
-        word, doc, at = shard.word[places], shard.doc[places], shard.at[places]
-        order = np.argsort(word)
+            if n == items.window:
+                whole = place
+                continue
+            # a shorter item is matched whole: the first place in each document
+            order = np.argsort(word)
+            docs, first = np.unique(shard.doc[place[order]], return_index=True)
+            for doc, i in zip(docs.tolist(), order[first].tolist(), strict=True):
+                self._offer(doc, int(word[i]), n, items.names[owners[which[i]][0]], 0)
+        whole = whole[np.argsort(shard.word[whole])]
         before, known = -2, 0
-        for word_i, doc_i, at_i in zip(word[order].tolist(), doc[order].tolist(), at[order].tolist(), strict=True):
+        for word_i, doc_i, at_i in zip(shard.word[whole].tolist(), shard.doc[whole].tolist(), shard.at[whole].tolist(), strict=True):
             # inside the match that began one word earlier nothing is longer
             known = known - 1 if word_i == before + 1 else 0
             before = word_i
@@ -197,12 +218,15 @@ class Found:
                 continue  # the next word is in no item
             n, item, first = _longest(tail.astype(">u4").tobytes(), items)
             known = n
-            best = self.longest[doc_i]
-            start = word_i - int(block.first[doc_i])
-            if best is None or n > best[1]:
-                self.longest[doc_i] = (start, n, items.names[item], first)
+            self._offer(doc_i, word_i, n, items.names[item], first)
 
-    def arrays(self, block: Block) -> list[pa.Array]:
+    def _offer(self, doc: int, word: int, n: int, name: str, first: int) -> None:
+        match = (word - int(self.block.first[doc]), n, name, first)
+        if self.longest[doc] is None or _place_of(match) < _place_of(self.longest[doc]):
+            self.longest[doc] = match
+
+    def arrays(self) -> list[pa.Array]:
+        block = self.block
         hit = np.cumsum(self.hit[:-1]) > 0
         edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
         # a run of hit words may go over the end of a document into the next
@@ -225,21 +249,63 @@ class Found:
         ]
 
 
-def _chunks(items: DataFrame, window: int) -> list:
-    """Broadcast chunks of test items.  The driver holds one chunk at a time."""
-    sc, out, names, texts, held = items.sparkSession.sparkContext, [], [], [], 0
-    for row in items.toLocalIterator():
-        names.append(row["id"])
-        texts.append(row["text"])
-        held += row["words"]
-        if held >= CHUNK_WORDS:
-            out.append(sc.broadcast((names, texts)))
-            names, texts, held = [], [], 0
-    if names:
-        out.append(sc.broadcast((names, texts)))
-    for chunk in out[1:]:
-        chunk.__dict__.pop("_value", None)  # Spark has it on disk
-    return out
+def _place_of(match: tuple[int, int, str, int]) -> tuple:
+    """Longest first, then by place in the text, item and place in the item."""
+    start, n_words, item, first = match
+    return -n_words, start, item, first
+
+
+def write_chunks(items: DataFrame, window: int) -> list[str]:
+    """Paths of the chunks of test items (``id``, ``text``, ``words``: about its
+    words), each a pickled ``Items`` in the shared folder, written by tasks.
+
+    Items are dealt by hash; a task cuts its sorted share whenever a chunk is
+    full, so that no chunk is larger than ``CHUNK_WORDS`` and one item, and a task
+    that is run again writes the same files.
+    """
+    folder = scratch_path(items.sparkSession, "items")
+    items = items.distinct()
+    limit = CHUNK_WORDS
+    parts = (items.agg(F.sum("words")).first()[0] or 0) // limit + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, written, names, texts, held = partition_id(), 0, [], [], 0
+
+        def chunk() -> pa.RecordBatch:
+            path = f"{folder}/{part}-{written}"
+            write_whole(path, [pickle.dumps(prepare(names, texts, window))])
+            return pa.RecordBatch.from_arrays([pa.array([path])], ["path"])
+
+        for batch in batches:
+            for name, text, words in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                names.append(name)
+                texts.append(text)
+                held += words
+                if held >= limit:
+                    yield chunk()
+                    written, names, texts, held = written + 1, [], [], 0
+        if names:
+            yield chunk()
+
+    sorted_items = items.repartition(parts, "id", "text").sortWithinPartitions("id", "text")
+    return sorted(r["path"] for r in sorted_items.mapInArrow(run, "path string").collect())
+
+
+def _load(path: str) -> Items:
+    return pickle.loads(read_whole(path))
+
+
+def _gathered(batches: Iterator[pa.Array], size: int) -> Iterator[list[list[Found]]]:
+    """The blocks of some batches with at least ``size`` bytes in all."""
+    held, total = [], 0
+    for texts in batches:
+        held.append([Found(block) for _, block in blocks(texts, ALNUM, fold_case=True)])
+        total += sum(len(found.block.buf) for found in held[-1])
+        if total >= size:
+            yield held
+            held, total = [], 0
+    if held:
+        yield held
 
 
 def locate(
@@ -253,7 +319,8 @@ def locate(
     is one window.  ``n_hit`` words of the text lie inside an occurrence of a
     window, ``spans`` are their runs (word numbers, end exclusive), ``items`` the
     ids of items with occurring windows as sorted strings, ``longest`` the
-    longest verbatim match and where it stands in text and item.
+    longest verbatim match that begins with a window of its item and where it stands in text and item (of several the
+    first in the text, then that of the smallest item id, then the first in it).
 
     A NULL or empty text has no words; an item without words matches nothing; an
     item with a NULL id is listed as ``null``; items that share an id are listed
@@ -263,34 +330,37 @@ def locate(
     """
     items = benchmark.select(
         F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("id"),
-        F.col(item_text).alias("text"),
-        (F.length(F.coalesce(F.col(item_text), F.lit(""))) / 2 + 1).alias("words"),
+        F.coalesce(F.col(item_text), F.lit("")).alias("text"),
+        (F.octet_length(F.coalesce(F.col(item_text), F.lit(""))) / 2 + 1).cast("bigint").alias("words"),
     )
-    chunks = _chunks(items, window)
+    paths = write_chunks(items, window)
+    at_once = GATHER_BYTES if len(paths) > 1 else 0  # a single chunk stays
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        kept: Items | None = None
-        for texts in batches:
-            parts = [block for _, block in blocks(texts, ALNUM, fold_case=True)]
-            results = [Found(block) for block in parts]
-            for chunk in chunks:
-                if kept is None or len(chunks) > 1:  # one chunk stays, of several each is held in turn
-                    kept = prepare(*chunk.value, window)
-                for block, result in zip(parts, results, strict=True):
-                    result.search(block, kept)
-                if len(chunks) > 1:
-                    chunk.__dict__.pop("_value", None)  # can be loaded again
-            columns = [result.arrays(block) for block, result in zip(parts, results, strict=True)]
-            names = ["n_words", "n_hit", "items", "longest", "spans"]
-            types = [pa.int64(), pa.int64(), pa.list_(pa.string()), _ARROW_MATCH, _ARROW_SPANS]
-            merged = [pa.concat_arrays([c[i] for c in columns]) if columns else pa.array([], t) for i, t in enumerate(types)]
-            yield pa.StructArray.from_arrays(merged, names)
+        kept = _load(paths[0]) if len(paths) == 1 else None
+        for gathered in _gathered(batches, at_once):
+            for path in paths:
+                chunk = kept or _load(path)
+                for results in gathered:
+                    for result in results:
+                        result.search(chunk)
+            for results in gathered:
+                columns = [result.arrays() for result in results]
+                names = ["n_words", "n_hit", "items", "longest", "spans"]
+                types = [pa.int64(), pa.int64(), pa.list_(pa.string()), _ARROW_MATCH, _ARROW_SPANS]
+                merged = [pa.concat_arrays([c[i] for c in columns]) if columns else pa.array([], t) for i, t in enumerate(types)]
+                yield pa.StructArray.from_arrays(merged, names)
 
     return docs.withColumn(name, array_udf(run, SCHEMA)(F.col(text)))
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = 10) -> DataFrame:
-    """The rows of ``docs`` without any hit, with their own columns only."""
+    """The rows of ``docs`` without any hit, with their own columns only.
+
+    Rows are judged one by one: repeated rows stay or go together, a NULL or
+    empty text stays, an empty table gives an empty table, an empty benchmark
+    keeps every row.
+    """
     rows = docs.select(F.struct("*").alias("__row"), F.col(text).alias("__text"))
     return locate(rows, benchmark, "__text", window=window, name="__found").filter("__found.n_hit = 0").select("__row.*")
 

@@ -204,16 +204,74 @@ def test_decontamination(spark, docs, empty, monkeypatch):
                         hit.update(range(j, j + n))
                         found.add(str(item) if item is not None else "null")
         want[doc_id, text] = (len(w), len(hit), sorted(found))
-    for chunk in (10**6, 12):
+    matches = []
+    for chunk, gather in ((10**6, 10**6), (12, 10**6), (12, 100)):
         monkeypatch.setattr(decontam, "CHUNK_WORDS", chunk)
+        monkeypatch.setattr(decontam, "GATHER_BYTES", gather)
         got = decontam.locate(docs, bench).collect()
         assert {(r.doc_id, r.text): (r.found.n_words, r.found.n_hit, r.found["items"]) for r in got} == want
+        matches.append({(r.doc_id, r.text): r.found.longest for r in got})
+    assert matches[0] == matches[1] == matches[2]
     best = next(r.found.longest for r in got if r.doc_id == 8)
     assert (best.item_id, best.n_words) == ("1", len(ALNUM_WORD.findall(items[0][1])))
     assert decontam.keep_clean(docs, bench.filter("false")).count() == len(rows())
     assert decontam.locate(empty, bench).count() == 0
 
 
+def longest_match(text, items, window):
+    """The first of the longest runs of words that text and item share; a run
+    begins with a window of the item."""
+    w, best = text.split(), None
+    for item, t in items:
+        q = t.split()
+        for i in range(len(w)):
+            for j in range(len(q)):
+                k = 0
+                while i + k < len(w) and j + k < len(q) and w[i + k] == q[j + k]:
+                    k += 1
+                if k >= min(window, len(q)):
+                    found = (-k, i, item, j)
+                    best = found if best is None else min(best, found)
+    return best and (best[1], -best[0], best[2], best[3])
+
+
+def test_longest_matches_by_brute_force(spark, monkeypatch):
+    pick = random.Random(9)
+    text = lambda n: " ".join(pick.choice("abc") for _ in range(n))
+    items = [(str(pick.randrange(6)), text(pick.randrange(1, 14) if i % 4 else 7)) for i in range(12)]
+    texts = [(i, text(pick.randrange(40))) for i in range(40)]
+    docs, bench = spark.createDataFrame(texts, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id string, text string")
+    want = {i: longest_match(t, items, 6) for i, t in texts}
+    for chunk in (10**6, 20):
+        monkeypatch.setattr(decontam, "CHUNK_WORDS", chunk)
+        got = decontam.locate(docs, bench.unionByName(bench), window=6).collect()
+        assert {r.doc_id: r.found.longest and tuple(r.found.longest) for r in got} == want
+
+
+def test_chunks_of_a_benchmark(spark, monkeypatch):
+    """Every item is in one chunk, once; chunks are of bounded size, whatever
+    their number, and the driver has their paths only."""
+    items = [(f"i{i % 90}", f"w{i} " * (1 + i % 9), 1 + i % 9) for i in range(300)]
+    df = spark.createDataFrame(items + items[:100] * 3, "id string, text string, words bigint").repartition(5)
+    monkeypatch.setattr(decontam, "CHUNK_WORDS", 100)
+    loaded = [sorted(zip(c.names, np.diff(c.ends, prepend=-1).tolist(), strict=True)) for c in map(decontam._load, decontam.write_chunks(df, 10))]
+    assert sorted(x for c in loaded for x in c) == sorted((i, n + 1) for i, _, n in items)
+    assert len(loaded) > 10 and all(sum(n - 1 for _, n in c) < 100 + 9 for c in loaded)
+    again = [sorted(zip(c.names, np.diff(c.ends, prepend=-1).tolist(), strict=True)) for c in map(decontam._load, decontam.write_chunks(df.repartition(3), 10))]
+    assert again == loaded
+    assert decontam.write_chunks(df.filter("false"), 10) == []
+
+
+def test_clean_rows_keep_their_columns(spark):
+    items = [(1, "a b c", "x", "own"), (1, "a b c", "y", None), (2, "d e f", "x", "z"), (None, None, None, None), (3, "", "q", "q")]
+    docs = spark.createDataFrame(items, "doc_id bigint, text string, found string, item_id string")
+    bench = spark.createDataFrame([(7, "D E f"), (None, None)], "item_id bigint, text string")
+    kept = decontam.keep_clean(docs, bench)
+    assert kept.columns == docs.columns
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted((i for i in items if i[0] != 2), key=str)
+    assert decontam.keep_clean(docs.filter("false"), bench).count() == 0
+
+
 EMAIL, IP = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD, PHONE = re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
