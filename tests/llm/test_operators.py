@@ -445,7 +445,8 @@ def listed_licenses(text):
     words = ALNUM_WORD.findall((text or "").translate(LOWER))
     places = lambda phrase: [i for i in range(len(words)) if words[i : i + len(phrase)] == phrase]
     own = {p: label for label, _, ps in licenses.TEXTS for p in ps}
-    phrases = {(i, label, p) for p, label in (own | licenses.KEY_PHRASES | licenses.BASE_PHRASES).items() for i in places(p.split())}
+    declaring = licenses.KEY_PHRASES | licenses.BASE_PHRASES
+    phrases = {(i, label, p): float(p in declaring) for p, label in (own | declaring).items() for i in places(p.split())}
     notices = set()
     for label, notice, ps in licenses.TEXTS:
         notice = notice.split()
@@ -455,7 +456,9 @@ def listed_licenses(text):
                 for j in at:
                     b = i - j
                     near = lambda k: any(0 <= b + k + s < len(words) and words[b + k + s] == notice[k] for s in range(-licenses.SLACK, licenses.SLACK + 1))  # noqa: B023, E731
-                    if sum(map(near, range(len(notice)))) / len(notice) >= licenses.MIN_COVERAGE:
+                    share = sum(map(near, range(len(notice)))) / len(notice)
+                    phrases[i, label, p] = max(phrases[i, label, p], share)
+                    if share >= licenses.MIN_COVERAGE:
                         notices.add(label)
     return phrases, notices
 
@@ -477,11 +480,27 @@ def test_licenses_by_brute_force(spark):
         df = spark.createDataFrame(list(enumerate(chosen)), "doc_id bigint, text string")
         for r in licenses.find_licenses(df).collect():
             phrases, notices = listed_licenses(r.text)
-            assert {(p.start, p.label, p.phrase) for p in r.licenses.places if p.phrase} == phrases
+            assert {(p.start, p.label, p.phrase): p.score for p in r.licenses.places if p.phrase} == pytest.approx(phrases)
             assert {p.label for p in r.licenses.places if not p.phrase} == notices, r.text
     assert notices == {"mit"}
 
 
+def test_notices_in_the_company_of_other_texts(spark):
+    """What stands at the end of one text does not hide a notice that begins in
+    the middle of the next one; a worn opening leaves the other phrases."""
+    _, notice, (opening, *others) = licenses.TEXTS[0]
+    tail = notice[notice.index("to deal in") :]
+    worn = notice.replace("hereby", "herewith")
+    texts = [opening, tail, "x " + opening, worn, f"{opening} and no more of it", "", "spdx-license-identifier: MIT"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+    got = {r.doc_id: r.licenses.places for r in licenses.find_licenses(df).collect()}
+    best = {i: max((p.score for p in places), default=0) for i, places in got.items()}
+    assert {p.phrase for p in got[3]} == {None, *others} and 0.9 < best[3] < 1
+    assert {p.label for p in got[1] if p.phrase is None} == {"mit"} and 0.6 <= best[1] < 0.8
+    assert 0 < best[0] < 0.2 and 0 < best[4] < 0.2 and best[5] == 0 and best[6] == 1
+    assert all(f" {p} " in f" {text} " for _, text, inside in licenses.TEXTS for p in inside)
+
+
 def test_warc(spark, tmp_path):
     long = "<p>" + "x" * 200
     pages = [(5, "http://a.b/x?b=1&a=2", long), (3, "http://www.a.b/", long), (9, None, None), (7, "u", "short"), (8, "u", "short"), (None, "http://c", long), (3, "http://www.a.b/", long), (1, "bad url [", "é\r\n\r\n" * 60)]
