@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Mapping, Sequence
+from functools import reduce
 from itertools import accumulate
 
 import numpy as np
@@ -28,6 +29,10 @@ STAGE23_RATIO = 369_039 / 508_983
 SIZE_CUT = 6116
 # Label shares are compared as whole numbers of this part.
 SHARE_SCALE = 10**15
+# Squared label shares as whole numbers: exact up to 10**18 rows of a label.
+MIX_SCALE = 10**36
+# Label mixes that one task deals before it hands the loads on.
+MIX_ROUND = 100_000
 
 
 # --- folds of rows ---------------------------------------------------------
@@ -175,10 +180,134 @@ def stratified_group_folds(
     return found.select(*within, key, "group_size", fold.alias(name))
 
 
+def label_mix_plan(
+    histogram: Iterable[tuple[Sequence[str], int]], totals: Mapping[str, int], loads: dict[str, list[int]], k: int
+) -> list[list[int]]:
+    """Cumulative group counts per fold for each ``(label mix, groups)`` row, in
+    the order of the rows; a mix lists ``rows:label`` of one group.
+
+    Every group goes to the fold where it adds least to the squared label
+    shares, then to the one with the fewest rows, then to the first.  Groups of
+    one mix are interchangeable and each adds the same to the cost of its fold,
+    so a mix is dealt in one step whatever its number of groups.  ``loads`` (rows
+    of each label per fold) is carried on.
+    """
+    weight = {label: max(1, MIX_SCALE // t**2) for label, t in totals.items()}
+    rows = [sum(load) for load in zip(*loads.values())]
+    ends = []
+    for mix, count in histogram:
+        # a NULL label has no colon
+        cells = [(colon + label, int(n)) for n, colon, label in (cell.partition(":") for cell in mix)]
+        cost = [0] * k
+        for label, n in cells:
+            w = weight[label] * n
+            cost = [c + w * load for c, load in zip(cost, loads[label])]
+        size = sum(n for _, n in cells)
+        if count == 1:
+            got = [0] * k
+            got[min(range(k), key=lambda i: (cost[i], rows[i]))] = 1
+        else:
+            got = _fill(cost, sum(weight[label] * n * n for label, n in cells), int(count), rows, size)
+        for i, g in enumerate(got):
+            if g:
+                rows[i] += g * size
+                for label, n in cells:
+                    loads[label][i] += g * n
+        ends.append(list(accumulate(got)))
+    return ends
+
+
+def label_mix_folds(
+    df: DataFrame,
+    key: str,
+    label: str,
+    k: int,
+    within: Sequence[str] = (),
+    seed: object = 42,
+    name: str = "fold_idx",
+) -> DataFrame:
+    """``(within, key, group_size, fold)``: whole groups, the mix of all labels kept.
+
+    Groups with the most uneven labels first (the larger, then the lower mix on
+    ties), each by itself to the fold where all its labels together fit best
+    (``label_mix_plan``), at any number of groups and labels.  Folds are planned
+    on the histogram of label mixes, sorted by Spark and dealt ``MIX_ROUND`` mixes
+    of each ``within`` at a time: a task gets one round and the loads so far.  A
+    group finds its fold by its hash rank among those of its mix.  A NULL label
+    is a label, a NULL key a group.
+    """
+    within, part = list(within), list(within) or ["__all"]
+    # without a label there is no colon, so NULL and "" differ
+    text = F.coalesce(F.concat(F.lit(":"), F.col(label).cast("string")), F.lit("")).alias("__label")
+    counted = df.groupBy(*within, F.col(key).alias("__key"), text).agg(F.count(F.lit(1)).alias("__n"))
+    cells = cut_lineage(counted if within else counted.withColumn("__all", F.lit(0)))
+    totals = cells.groupBy(*part, "__label").agg(F.sum("__n").alias("__groups"))
+    cell = F.concat(F.col("__n").cast("string"), F.col("__label"))
+    # exact at any size: squares of row counts outgrow a bigint
+    groups = cut_lineage(
+        cells.groupBy(*part, "__key").agg(
+            F.sum("__n").alias("group_size"),
+            F.sum(F.expr("cast(__n as decimal(18,0)) * cast(__n as decimal(18,0))")).cast("decimal(38,0)").alias("__squares"),
+            F.array_sort(F.collect_list(cell)).alias("__mix"),
+        )
+    )
+    hist = cut_lineage(groups.groupBy(*part, "__mix", "group_size", "__squares").agg(F.count(F.lit(1)).alias("__groups")))
+    count = {n: F.sum(n).alias(n) for n in ("__labels", "__units")}
+    parts = cut_lineage(
+        totals.select(*part, F.lit(1).alias("__labels"), F.lit(0).alias("__units"))
+        .unionByName(hist.select(*part, F.lit(0).alias("__labels"), F.lit(1).alias("__units")))
+        .groupBy(*part).agg(*count.values())
+    )
+    even = F.expr(
+        "cast(cast(group_size as decimal(18,0)) * cast(group_size as decimal(18,0))"
+        " - cast(__labels as decimal(18,0)) * __squares as decimal(38,0))"
+    )
+    sized = attach_totals(hist, parts, part, "__units", ["__mix"])
+    sized = sized.select(*part, even.alias("__even"), (-F.col("group_size")).alias("__small"), "__mix", "__groups")
+    ordered = row_index(sized, [*part, "__even", "__small", "__mix"], "__at")
+    starts = ordered.groupBy(*part).agg(F.min("__at").alias("__start"), F.count(F.lit(1)).alias("__units"))
+    rounds = cut_lineage(
+        attach_totals(ordered, starts, part, "__units", ["__at"])
+        .withColumn("__round", F.floor((F.col("__at") - F.col("__start")) / F.lit(MIX_ROUND)).cast("int"))
+    )
+    no_ends = F.lit(None).cast("array<bigint>").alias("__ends")
+    units = rounds.select("__round", *part, "__at", "__mix", F.lit(None).cast("string").alias("__label"), "__groups", no_ends)
+    # the loads travel as rows without a mix; __groups is the label's total there
+    state = totals.select(
+        *part, F.lit(-1).cast("bigint").alias("__at"), F.lit(None).cast("array<string>").alias("__mix"), "__label", "__groups",
+        F.array_repeat(F.lit(0).cast("bigint"), k).alias("__ends"),
+    )
+    schema = state.schema
+
+    def deal(rows: pd.DataFrame) -> pd.DataFrame:
+        mixes, now = rows[rows["__mix"].notna()].sort_values("__at"), rows[rows["__mix"].isna()]
+        total = {x: int(t) for x, t in zip(now["__label"], now["__groups"])}
+        loads = {x: [int(n) for n in load] for x, load in zip(now["__label"], now["__ends"])}
+        ends = label_mix_plan(zip(mixes["__mix"], mixes["__groups"]), total, loads, k)
+        return pd.concat([
+            mixes.assign(__ends=pd.Series(ends, mixes.index, dtype=object)),
+            now.assign(__ends=pd.Series([loads[x] for x in now["__label"]], now.index, dtype=object)),
+        ])
+
+    plans = [units.drop("__round").filter(F.lit(False))]
+    last = rounds.agg(F.max("__round")).first()[0]
+    for i in range(0 if last is None else last + 1):
+        ready = units.filter(F.col("__round") == i).drop("__round").unionByName(state)
+        dealt = cut_lineage(ready.groupBy(*part).applyInPandas(deal, schema))
+        plans.append(dealt.filter("__mix is not null"))
+        state = dealt.filter("__mix is null")
+    plan = reduce(DataFrame.unionByName, plans).select(*part, "__mix", "__groups", "__ends")
+    ranked = hash_rank(groups.withColumnRenamed("__key", key), [key], seed, [*part, "__mix"], "__rank")
+    # a mix may be that of most groups
+    found = attach_totals(ranked, plan, [*part, "__mix"], "__groups", [key])
+    fold = F.size(F.filter("__ends", lambda e: e <= F.col("__rank")))
+    return found.select(*within, key, "group_size", fold.alias(name))
+
+
 def stratified_group_kfold(
     df: DataFrame, key: str, ids: Sequence[str], label: str, k: int, seed: object = 42, name: str = "fold_idx", **kw
 ) -> DataFrame:
-    folds = stratified_group_folds(df, key, label, k, (), seed, name=name, **kw)
+    folds = label_mix_folds(df, key, label, k, (), seed, name=name, **kw)
     return attach_totals(df, folds, [key], "group_size", ids).drop("group_size")
 
 
