@@ -301,7 +301,8 @@ def label_mix_folds(
     # a mix may be that of most groups
     found = attach_totals(ranked, plan, [*part, "__mix"], "__groups", [key])
     fold = F.size(F.filter("__ends", lambda e: e <= F.col("__rank")))
-    return found.select(*within, key, "group_size", fold.alias(name))
+    # callers join it to all rows and read it more than once: a file has its true size
+    return cut_lineage(found.select(*within, key, "group_size", fold.alias(name)))
 
 
 def stratified_group_kfold(
@@ -317,10 +318,10 @@ def two_level_block_folds(
     """``(bb1_fold, side, block, fold_idx)``: folds of first blocks, and inside
     each of them folds of the pair blocks over the rows whose first block is
     held out (a row counts once per distinct block)."""
-    outer = stratified_group_folds(df, first, label, k1, seed=seed, name="bb1_fold")
+    outer = label_mix_folds(df, first, label, k1, seed=seed, name="bb1_fold")
     held = attach_totals(df.select(first, *pair, label), outer, [first], "group_size", pair)
     blocks = held.withColumn("block", F.explode(F.array_distinct(F.array(*pair))))
-    inner = stratified_group_folds(blocks, "block", label, k23, ["bb1_fold"], seed)
+    inner = label_mix_folds(blocks, "block", label, k23, ["bb1_fold"], seed)
     return outer.select(
         "bb1_fold", F.lit("bb1").alias("side"), F.col(first).alias("block"), F.col("bb1_fold").alias("fold_idx")
     ).unionByName(inner.select("bb1_fold", F.lit("bb23").alias("side"), "block", "fold_idx"))

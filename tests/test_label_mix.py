@@ -91,3 +91,33 @@ def test_sp4_spreads_what_one_large_group_leaves(spark, sf):
     rows = q_splits._lib(spark, sf).join(q_splits.stratified_group_kfold(spark, sf).select("mol_id", "fold_idx"), "mol_id")
     loads = [r[1] for r in rows.groupBy("fold_idx").count().collect()]
     assert len(loads) == 5 and max(loads) < 2 * min(loads)
+
+
+def test_both_levels_weigh_every_label(spark, monkeypatch):
+    """Outer folds, and the inner ones of each outer fold, against the loop; the
+    outer folds need different numbers of rounds."""
+    monkeypatch.setattr(splits, "MIX_ROUND", 9)
+    rows = mixed_rows(spark, 12, 4, 200).select(
+        "label", F.col("g").alias("bb1"),
+        *[F.pmod(F.xxhash64("id", F.lit(i)), F.lit(40) + 5 * F.col("g")).alias(f"bb{i}") for i in (2, 3)],
+    )
+    out = splits.two_level_block_folds(rows, "label", 3, 4)
+    first = label_counts(rows, "bb1")
+    outer = {r["block"]: r["fold_idx"] for r in out.filter("side = 'bb1'").collect()}
+    assert dealt_folds(first, outer.items(), 3) == greedy_folds(first, 3)
+    held = rows.join(out.filter("side = 'bb1'").select(F.col("block").alias("bb1"), F.col("fold_idx").alias("p")), "bb1")
+    pair = label_counts(held.select("p", F.explode(F.array_distinct(F.array("bb2", "bb3"))).alias("block"), "label"), "p", "block")
+    inner = [((r["bb1_fold"], r["block"]), r["fold_idx"]) for r in out.filter("side = 'bb23'").collect()]
+    assert len(inner) == len(pair)
+    for p in range(3):
+        groups = {g: c for g, c in pair.items() if g[0] == p}
+        assert dealt_folds(groups, [x for x in inner if x[0][0] == p], 4) == greedy_folds(groups, 4)
+
+
+def test_sp5_deals_the_first_blocks_evenly(spark, sf):
+    """Outer folds of near equal rows; by one label of each block they differ threefold."""
+    sf = sf.replace("sf0.001", "sf0.01")
+    lib = q_splits._lib(spark, sf)
+    outer = q_splits.two_level_block_folds(spark, sf).filter("side = 'bb1'").select(F.col("block").alias("bb1"), "fold_idx")
+    loads = [r[1] for r in lib.join(outer, "bb1").groupBy("fold_idx").count().collect()]
+    assert len(loads) == 4 and max(loads) < 1.5 * min(loads)
