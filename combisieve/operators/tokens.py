@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from combisieve.functions.checks import require
 from combisieve.functions.exprs import let
-from combisieve.functions.hashing import text_hash
+from combisieve.functions.grams import gram_counts, gram_minima, gram_words
+from combisieve.functions.hashing import HASH_BITS
 from combisieve.operators.ordering import row_index
 from combisieve.operators.skew import attach_totals, broadcast_if_small, fits, scalar, spread_join
 from combisieve.session import cut_lineage
@@ -330,16 +331,25 @@ def qgrams(text: Column | str, q: int) -> Column:
 def qgram_fingerprint(df: DataFrame, ids: Sequence[str], text: str, q: int = 4, n_bits: int = 1024, counts: bool = False) -> DataFrame:
     """``(ids, words)`` 32-bit words of the hashed q-gram set, or ``(ids,
     cells)`` sorted ``(bit, n)`` counts."""
-    width = (n_bits - 1).bit_length()
-    grams = qgrams(text, q)
-    # a set needs each q-gram hashed once only
-    grams = df.select(*ids, (grams if counts else F.array_distinct(grams)).alias("__g"))
-    bits = grams.select(*ids, F.transform("__g", lambda g: text_hash(g, width) % n_bits).alias("__b"))
-    if counts:
-        cells = bits.select(*ids, F.explode("__b").alias("bit")).groupBy(*ids, "bit").agg(F.count(F.lit(1)).alias("n"))
-        return cells
-    distinct = bits.select(*ids, F.array_distinct("__b").alias("__b"))
-    return distinct.select(*ids, bits_to_words(F.col("__b"), n_bits).alias("words"))
+    shift = HASH_BITS - (n_bits - 1).bit_length()
+    if not counts:
+        return df.select(*ids, gram_words(_c(text), q, n_bits, shift).alias("words"))
+
+    def cells(rows: DataFrame) -> DataFrame:
+        return rows.select(*ids, F.inline(gram_counts(_c(text), q, n_bits, shift)))
+
+    def together(rows: DataFrame) -> DataFrame:
+        return cells(rows).groupBy(*ids, "bit").agg(F.sum("n").alias("n"))
+
+    # only rows whose ids come again have cells to add up
+    again = df.groupBy(*[F.col(c).alias(f"__k_{c}") for c in ids]).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").drop("__n")
+    if again.isEmpty():
+        return cells(df)
+    if not fits(again):
+        return together(df)
+    same = [F.col(c).eqNullSafe(F.col(f"__k_{c}")) for c in ids]
+    one, more = (df.join(F.broadcast(again), same, how) for how in ("left_anti", "left_semi"))
+    return cells(one).unionByName(together(more))
 
 
 def bits_to_words(bits: Column, n_bits: int) -> Column:
@@ -371,17 +381,7 @@ MERSENNE = 2**31 - 1
 def minhash_signature(text: Column | str, q: int = 4, n_hashes: int = 64, seed: int = 42) -> Column:
     """Minimum per linear hash ``(a*h + b) mod p`` over the q-gram hashes; an
     empty q-gram set gives ``p`` everywhere.  One md5 per q-gram."""
-    hashes = F.array_distinct(F.transform(qgrams(text, q), lambda g: text_hash(g, 31) % MERSENNE))
-    family = hash_family(n_hashes, seed)
-    params = F.array(*[F.struct(F.lit(a).cast("bigint").alias("a"), F.lit(b).cast("bigint").alias("b")) for a, b in family])
-    none = F.lit(MERSENNE).cast("bigint")
-
-    def signature(hs: Column) -> Column:
-        return F.transform(
-            params, lambda f: F.coalesce(F.array_min(F.transform(hs, lambda h: (f["a"] * h + f["b"]) % MERSENNE)), none)
-        )
-
-    return let(hashes, signature)
+    return gram_minima(_c(text), q, HASH_BITS - 31, MERSENNE, hash_family(n_hashes, seed))
 
 
 def hash_family(n: int, seed: int) -> list[tuple[int, int]]:
