@@ -8,6 +8,8 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -22,6 +24,13 @@ WORD_BITS = 32
 CELL_ROWS = 4_000
 BROADCAST_VECTORS = 20_000
 GRID_ROWS = 2_048
+#: Rows of the blocks that are compared pair by pair, and blocks of a table.
+BLOCK_ROWS, MOST_BLOCKS = (512, 16_384), 1_000
+#: Pairs that are looked at, and found pairs that are handed on, at a time.
+SLICE_PAIRS, BATCH_PAIRS = 1 << 18, 1 << 19
+#: What a row of the lists of bits and one of their join cost, in pairs of
+#: 64-bit words that are compared in a block meanwhile.
+LIST_COST, JOIN_COST = 500, 64
 #: Thresholds at which neighbours are looked for, one after the other.
 LEVELS = (0.8, 0.5, 0.25)
 PROBES = 1_024
@@ -57,17 +66,22 @@ def distinct_vectors(df: DataFrame, id_col: str, words: str) -> DataFrame:
     )
 
 
-def size_bounds(n_bits: int, threshold: float, metric: str, alpha: float, beta: float) -> list[tuple]:
-    """Per set size: lowest and highest partner size that can reach the
-    threshold and the least overlap any of them needs, for either side."""
-    sizes = np.arange(1, n_bits + 1, dtype=float)
-    a, b = sizes[:, None], sizes[None, :]
+def least_common(a: np.ndarray, b: np.ndarray, threshold: float, metric: str, alpha: float, beta: float) -> np.ndarray:
+    """The least overlap with which sets of sizes a and b can reach the threshold."""
     if metric == "cosine":
         need = threshold * np.sqrt(a * b)
     else:
         wa, wb = _weights(metric, alpha, beta)
         need = threshold * (wa * a + wb * b) / (1 - threshold + threshold * (wa + wb))
-    need = np.maximum(1, np.ceil(need - 1e-9))
+    return np.maximum(1, np.ceil(need - 1e-9))
+
+
+def size_bounds(n_bits: int, threshold: float, metric: str, alpha: float, beta: float) -> list[tuple]:
+    """Per set size: lowest and highest partner size that can reach the
+    threshold and the least overlap any of them needs, for either side."""
+    sizes = np.arange(1, n_bits + 1, dtype=float)
+    a, b = sizes[:, None], sizes[None, :]
+    need = least_common(a, b, threshold, metric, alpha, beta)
     possible = need <= np.minimum(a, b)
 
     def side(ok: np.ndarray, least: np.ndarray) -> list[tuple[int, int, int]]:
@@ -142,25 +156,60 @@ def similarity_pairs(
     # read several times below: written once instead of rebuilding the vectors
     lv = cut_lineage(distinct_vectors(left, id_col, words))
     rv = lv if right is None else cut_lineage(distinct_vectors(right, id_col, words))
-    found = _candidates(lv, rv, right is None, threshold, n_bits, metric, alpha, beta)
-    return _scored(found, lv, rv, threshold, metric, alpha, beta)
+    return _pairs(lv, rv, right is None, threshold, n_bits, metric, alpha, beta)
 
 
 def similarity_pairs_of(
     left: DataFrame, right: DataFrame, threshold: float, n_bits: int, metric: str = "tanimoto", alpha: float = 0.5, beta: float = 0.5
 ) -> DataFrame:
     """``similarity_pairs`` of two tables that ``distinct_vectors`` made."""
-    found = _candidates(left, right, False, threshold, n_bits, metric, alpha, beta)
-    return _scored(found, left, right, threshold, metric, alpha, beta)
+    return _pairs(left, right, False, threshold, n_bits, metric, alpha, beta)
+
+
+def _pairs(
+    lv: DataFrame, rv: DataFrame, one_table: bool, threshold: float, n_bits: int, metric: str, alpha: float, beta: float
+) -> DataFrame:
+    """By the lists of bits or, where those are longer than what they save, block by block."""
+    sizes = [_sizes(lv, n_bits)]
+    sizes.append(sizes[0] if one_table else _sizes(rv, n_bits))
+    found = _candidates(lv, rv, one_table, threshold, n_bits, metric, alpha, beta, sizes)
+    if found is None:
+        return _block_pairs(lv, rv, one_table, threshold, n_bits, metric, alpha, beta, sizes)
+    return _scored(found, lv, rv, threshold, metric, alpha, beta)
+
+
+def _sizes(vectors: DataFrame, n_bits: int) -> dict[int, int] | None:
+    """Vectors per size, those without a bit left out (at most ``n_bits`` numbers);
+    None where they are not all words of 32 bits in one number."""
+    whole = (F.size("words") * WORD_BITS == n_bits) & F.forall("words", lambda w: F.coalesce(w.between(0, 2**WORD_BITS - 1), F.lit(False)))
+    rows = vectors.filter("id is not null and words is not null").groupBy(popcount("words").alias("size")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(whole).alias("whole")
+    ).collect()
+    return {r["size"]: r["n"] for r in rows if r["size"]} if all(r["n"] == r["whole"] for r in rows) else None
+
+
+def _n_pairs(sizes: Sequence[dict[int, int]], one_table: bool) -> int:
+    left, right = (sum(x.values()) for x in sizes)
+    return left * (left - 1) // 2 if one_table else left * right
 
 
 def _candidates(
     lv: DataFrame, rv: DataFrame, one_table: bool, threshold: float, n_bits: int, metric: str, alpha: float, beta: float,
-    most_rows: int | None = None,
+    sizes: Sequence[dict[int, int] | None],
 ) -> DataFrame | None:
     """``(l_id, r_id, l_size, r_size)``: pairs of distinct vectors that may reach
-    the threshold; None where the join of the lists has more than ``most_rows``."""
+    the threshold; None where the lists cost more than to compare all pairs."""
     spark = lv.sparkSession
+    table = size_bounds(n_bits, threshold, metric, alpha, beta)
+    worth = None
+    if None not in sizes:
+        worth = _n_pairs(sizes, one_table) * -(-n_bits // (2 * WORD_BITS))
+        rows = sum(
+            sizes[0].get(n, 0) * max(0, n - l_need + 1) * (last - first + 1) * (l_lo <= l_hi) + sizes[1].get(n, 0) * max(0, n - r_need + 1) * (r_lo <= r_hi)
+            for n, _, l_lo, l_hi, l_need, first, last, r_lo, r_hi, r_need in table
+        )
+        if rows * LIST_COST > worth:
+            return None
     # frequency per bit: at most n_bits numbers
     places = F.sequence(F.lit(0), F.lit(n_bits - 1))
     on = F.filter(places, lambda p: F.get("words", F.floor(p / WORD_BITS).cast("int")).bitwiseAND(
@@ -170,7 +219,7 @@ def _candidates(
     place = {b: r for r, b in enumerate(order)}
     rank = F.array(*[F.lit(place[b]) for b in range(n_bits)])
     bounds = spark.createDataFrame(
-        size_bounds(n_bits, threshold, metric, alpha, beta),
+        table,
         "size int, band int, l_lo int, l_hi int, l_need int, band_lo int, band_hi int, r_lo int, r_hi int, r_need int",
     )
 
@@ -180,7 +229,7 @@ def _candidates(
     # at most n_bits * n_bands rows each: how many parts a list is cut into
     lc, rc = (df.groupBy("bit", "band").agg(F.count(F.lit(1)).alias(n)) for df, n in ((lp, "l_n"), (rp, "r_n")))
     both = lc.join(rc, ["bit", "band"])
-    if most_rows is not None and (both.agg(F.sum(F.col("l_n").cast("decimal(38,0)") * F.col("r_n"))).first()[0] or 0) > most_rows:
+    if worth is not None and (both.agg(F.sum(F.col("l_n").cast("decimal(38,0)") * F.col("r_n"))).first()[0] or 0) * JOIN_COST > worth:
         return None
     parts = [F.ceil(F.col(f"{side}_n") / CELL_ROWS).cast("int").alias(f"{side}_parts") for side in "lr"]
     cells = F.broadcast(both.select("bit", "band", *parts))
@@ -216,6 +265,132 @@ def _scored(
     ).filter(F.col("similarity") >= F.lit(threshold))
 
 
+def _by_size(sizes: dict[int, int], block_rows: int) -> list[tuple[int, int, int, int]]:
+    """``(first block, blocks, lowest, highest size)`` of runs of sizes: small
+    sizes together, those of one large size dealt to several blocks."""
+    runs, held = [], 0
+    for size, n in sorted(sizes.items()):
+        if not runs or held + n > block_rows:
+            runs.append([size, size, 0])
+            held = 0
+        held += n
+        runs[-1][1:] = size, held
+    out, at = [], 0
+    for low, high, n in runs:
+        parts = -(-n // block_rows)
+        out.append((at, parts, low, high))
+        at += parts
+    return out
+
+
+def _block_pairs(
+    lv: DataFrame, rv: DataFrame, one_table: bool, threshold: float, n_bits: int, metric: str, alpha: float, beta: float,
+    sizes: Sequence[dict[int, int]],
+) -> DataFrame:
+    """``_scored`` of all pairs: both tables in blocks of near sizes, each block
+    with those whose sizes can reach the threshold.  A task holds the vectors of
+    two blocks and hands on what it finds in batches."""
+    spark = lv.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # a few cells for each task
+    side = math.ceil(math.sqrt(4 * parts))
+    runs = []
+    for x in sizes:
+        n = sum(x.values())
+        rows = max(BLOCK_ROWS[0], min(BLOCK_ROWS[1], -(-n // side)), -(-n // MOST_BLOCKS))
+        runs.append(_by_size(x, rows))
+    bounds = {b[0]: b for b in size_bounds(n_bits, threshold, metric, alpha, beta)}
+    # per run of the left the blocks of the right that it meets, and the other way
+    meets: list[list[tuple]] = [[], []]
+    for k, (mine, other) in enumerate((runs, runs[::-1])):
+        for at, n, low, high in mine:
+            reach = [bounds[x][2 + 5 * k : 4 + 5 * k] for x in range(low, high + 1) if x in sizes[k]]
+            reach = [(lo, hi) for lo, hi in reach if lo <= hi]
+            met = [r for r in other if reach and r[2] <= max(hi for _, hi in reach) and r[3] >= min(lo for lo, _ in reach)]
+            if met:
+                first, last = met[0][0], met[-1][0] + met[-1][1] - 1
+                meets[k] += [(x, at, n, first, last) for x in range(low, high + 1) if x in sizes[k]]
+    half = one_table and metric != "tversky"
+    blocks = [sum(r[1] for r in run) for run in runs]
+
+    def copies(df: DataFrame, k: int) -> DataFrame:
+        table = spark.createDataFrame(meets[k], "size int, at int, n int, first int, last int")
+        block = F.col("at") + F.pmod(F.xxhash64("id"), F.col("n")).cast("int")
+        placed = df.filter("id is not null").withColumn("size", popcount("words")).join(F.broadcast(table), "size").withColumn("block", block)
+        if half:
+            placed = placed.withColumns({"first": F.greatest("first", "block")} if k == 0 else {"last": F.least("last", "block")})
+        placed = placed.filter("first <= last").withColumn("other", F.explode(F.sequence("first", "last")))
+        cell = F.col("block") * F.lit(blocks[1]) + F.col("other") if k == 0 else F.col("other") * F.lit(blocks[1]) + F.col("block")
+        return placed.select(cell.cast("bigint").alias("cell"), F.lit(k).alias("side"), F.struct("id").alias("who"), "words", F.col("copies").cast("bigint").alias("copies"))
+
+    kinds = [df.schema["id"].dataType.simpleString() for df in (lv, rv)]
+    schema = f"left_id {kinds[0]}, right_id {kinds[1]}, similarity double, left_copies bigint, right_copies bigint"
+    if not meets[0] or not meets[1]:
+        return spark.createDataFrame([], schema)
+    both = [copies(df, k) for k, df in enumerate((lv, rv))]
+    both = [df.select("cell", "side", *[(F.col("who.id") if i == k else F.lit(None).cast(kinds[i])).alias(n) for i, n in enumerate(("l_id", "r_id"))], "words", "copies") for k, df in enumerate(both)]
+    tasks = max(parts, min(blocks[0] * blocks[1] // (2 if half else 1), 4 * MOST_BLOCKS))
+    cells = both[0].unionByName(both[1]).repartition(tasks, "cell").sortWithinPartitions("cell", "side")
+    names = ["left_id", "right_id", "similarity", "left_copies", "right_copies"]
+
+    def compare(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        of = rows["side"].to_numpy()
+        sides = [rows.filter(pa.array(of == k)) for k in (0, 1)]
+        if not sides[0].num_rows or not sides[1].num_rows:
+            return
+        a, b = (packed(pc.list_flatten(t["words"]).to_numpy().reshape(t.num_rows, -1)) for t in sides)
+        ids = [t[n].combine_chunks() for t, n in zip(sides, ("l_id", "r_id"))]
+        n_of = [t["copies"].to_numpy() for t in sides]
+        na, nb = (np.bitwise_count(x).sum(axis=1, dtype=np.int64) for x in (a, b))
+        (ua, ia), (ub, ib) = (np.unique(x, return_inverse=True) for x in (na, nb))
+        need = least_common(ua[:, None].astype(float), ub[None, :].astype(float), threshold, metric, alpha, beta).astype(np.uint32)
+        b = np.ascontiguousarray(b.T)
+        inside = one_table and (not half or rows["cell"][0].as_py() % (blocks[1] + 1) == 0)
+        held: list[tuple] = []
+
+        def told() -> pa.RecordBatch:
+            i, j, sim = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            left, right = ids[0].take(pa.array(i)), ids[1].take(pa.array(j))
+            cols = [left, right, pa.array(sim), pa.array(n_of[0][i]), pa.array(n_of[1][j])]
+            if half:
+                first = pc.less(left, right)
+                cols[0], cols[1], cols[3], cols[4] = (pc.if_else(first, cols[x], cols[y]) for x, y in ((0, 1), (1, 0), (3, 4), (4, 3)))
+            out = pa.RecordBatch.from_arrays(cols, names)
+            return out.filter((pc.less if inside else pc.not_equal)(left, right)) if one_table else out
+
+        step = max(1, SLICE_PAIRS // b.shape[1])
+        for at in range(0, len(a), step):
+            part = slice(at, at + step)
+            common = common_matrix(a[part], b)
+            i, j = np.nonzero(common >= need[ia[part]][:, ib])
+            sim = similarity_of(common[i, j].astype(float), na[part][i].astype(float), nb[j].astype(float), metric, alpha, beta, np.sqrt)
+            ok = sim >= threshold
+            held.append((i[ok] + at, j[ok], sim[ok]))
+            if sum(len(x[0]) for x in held) >= BATCH_PAIRS:
+                yield told()
+        if held:
+            yield told()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_cell, held = None, []
+        for batch in batches:
+            cell = batch.column("cell").to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(cell)) + 1).tolist(), len(cell)]
+            for at, end in zip(edges, edges[1:]):
+                if at == end:
+                    continue
+                if held and cell[at] != open_cell:
+                    yield from compare(pa.Table.from_batches(held))
+                    held = []
+                open_cell = cell[at]
+                held.append(batch.slice(at, end - at))
+        if held:
+            yield from compare(pa.Table.from_batches(held))
+
+    return cells.mapInArrow(run, schema)
+
+
 def compare_blocks(queries: DataFrame, targets: DataFrame, schema: str, reduce_cell) -> tuple[DataFrame, DataFrame]:
     """Run ``reduce_cell(queries, targets)`` over a grid of blocks of bounded size
     for each ``cls`` of ``(id, words, cls)``; only reduced rows come out.  A row
@@ -236,12 +411,30 @@ def compare_blocks(queries: DataFrame, targets: DataFrame, schema: str, reduce_c
     return q.groupBy("cls", "qb", "tb").cogroup(t.groupBy("cls", "qb", "tb")).applyInPandas(reduce_cell, schema), cells
 
 
+def packed(words: np.ndarray) -> np.ndarray:
+    """Rows of 32-bit words, two of them in one number where that is all they are."""
+    words = words.astype(np.uint64)
+    if words.size and int(words.max()) < 2**WORD_BITS:
+        if words.shape[1] % 2:
+            words = np.concatenate([words, np.zeros((len(words), 1), np.uint64)], axis=1)
+        return words[:, ::2] | words[:, 1::2] << np.uint64(WORD_BITS)
+    return words
+
+
+def common_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Common bits of the rows of ``a`` and the columns of ``b``."""
+    common = np.zeros((len(a), b.shape[1]), np.uint16 if 64 * len(b) < 2**16 else np.uint32)
+    for w in range(len(b)):
+        common += np.bitwise_count(a[:, w][:, None] & b[w][None, :])
+    return common
+
+
 def similarity_matrix(q: pd.DataFrame, t: pd.DataFrame, metric: str, alpha: float = 0.5, beta: float = 0.5) -> np.ndarray:
-    a = np.stack(q["words"].to_numpy()).astype(np.uint64)
-    b = np.stack(t["words"].to_numpy()).astype(np.uint64)
-    common = np.zeros((len(a), len(b)))
-    for w in range(a.shape[1]):
-        common += np.bitwise_count(a[:, w][:, None] & b[:, w][None, :])
+    a, b = (np.stack(x["words"].to_numpy()).astype(np.uint64) for x in (q, t))
+    width = a.shape[1]
+    both = packed(np.concatenate([a, b]))
+    a, b = both[: len(a)], both[len(a) :]
+    common = common_matrix(a, np.ascontiguousarray(b.T)).astype(float) if width else np.zeros((len(a), len(b)))
     na = np.bitwise_count(a).sum(axis=1).astype(float)[:, None]
     nb = np.bitwise_count(b).sum(axis=1).astype(float)[None, :]
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -275,9 +468,10 @@ def _near_vectors(
         rank = F.row_number().over(W.partitionBy("left_id").orderBy(F.desc("similarity"), "right_id"))
         return pairs.withColumn("__r", rank).filter(F.col("__r") <= want).select("left_id", "right_id", "similarity")
 
-    n_bits, n_targets, left, parts = _width(qv, tv), tv.count(), qv, []
+    n_bits, left, parts = _width(qv, tv), qv, []
+    targets = _sizes(tv, n_bits)
     for level in levels:
-        found = _candidates(left, tv, False, level, n_bits, metric, alpha, beta, left.count() * n_targets)
+        found = _candidates(left, tv, False, level, n_bits, metric, alpha, beta, [_sizes(left, n_bits), targets])
         if found is None:
             break
         found = cut_lineage(found)
@@ -322,7 +516,10 @@ def nearest(
     collects ``(stage, pairs compared)``.  Rows without a vector take no part.
     """
     want = k + exclude_self
-    queries, targets = (df.select(F.col(id_col).alias("id"), F.col(words).alias("words")).filter("words is not null") for df in (queries, targets))
+    # read for the vectors and for their ids: written once instead of making the vectors again
+    queries, targets = (
+        cut_lineage(df.select(F.col(id_col).alias("id"), F.col(words).alias("words")).filter("words is not null")) for df in (queries, targets)
+    )
     qv, tv = (cut_lineage(distinct_vectors(df, "id", "words")) for df in (queries, targets))
     if not _width(qv, tv) or tv.isEmpty():
         kinds = [df.schema["id"].dataType.simpleString() for df in (queries, targets)]

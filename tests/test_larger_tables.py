@@ -1,9 +1,14 @@
 """What only larger tables bring about, on rows built here."""
 
+import hashlib
+import random
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
-from combisieve.operators import splits
+from combisieve.functions import grams
+from combisieve.operators import similarity, splits, tokens
 
 
 @pytest.mark.parametrize("n_small", [0, 6])
@@ -16,3 +21,62 @@ def test_split_without_small_scaffolds(spark, n_small):
     got = dict(splits.three_stage_split(rows, ["id"], {"bb1": [0]}, "scaffold", "size", "label").groupBy("subset").count().collect())
     # 400 rows are held out, which asks for 290 others of 3,600: every 12th of either label, begun ones too
     assert got == {0: 400, 3: 301, None: 3299}
+
+
+def vectors(spark, n, seed, first=0):
+    """Dense vectors of 64 bits in two words: families, copies and an empty one."""
+    pick = random.Random(seed)
+    seeds = [pick.getrandbits(64) for _ in range(9)]
+    rows = [(first + i, pick.choice(seeds) ^ (1 << pick.randrange(64)) if i % 3 else pick.getrandbits(64)) for i in range(n)]
+    rows += [(first + n, 0), (first + n + 1, rows[1][1]), (first + n + 2, rows[0][1])]
+    return spark.createDataFrame([(i, [x & 0xFFFFFFFF, x >> 32]) for i, x in rows] + [(first + n + 3, None)], "id bigint, words array<bigint>")
+
+
+@pytest.mark.parametrize("metric", similarity.METRICS)
+def test_dense_pairs_are_compared_in_blocks(spark, monkeypatch, metric):
+    """Where the lists of bits are longer than all pairs, and the same pairs as by them."""
+    left, right = vectors(spark, 70, 1), vectors(spark, 50, 1, 1000)
+
+    def found():
+        kw = {"threshold": 0.55, "n_bits": 64, "metric": metric, "alpha": 0.9, "beta": 0.3}
+        return [sorted(map(tuple, similarity.similarity_pairs(*sides, **kw).collect())) for sides in ((left,), (left, right))]
+
+    with monkeypatch.context() as m:
+        m.setattr(similarity, "LIST_COST", 0)
+        m.setattr(similarity, "JOIN_COST", 0)
+        by_lists = found()
+    monkeypatch.setattr(similarity, "_ranked", None)
+    monkeypatch.setattr(similarity, "BLOCK_ROWS", (8, 8))
+    monkeypatch.setattr(similarity, "BATCH_PAIRS", 5)
+    assert found() == by_lists and min(map(len, by_lists)) > 20
+
+
+def test_grams_by_batch(spark, monkeypatch):
+    """The same hashes as of each q-gram by itself, over slices of any size."""
+    pick = random.Random(4)
+    texts = [None, "", "abc", "abcd", "日本語テキスト", "a\U0001F600b\U0001F600cd", "x" * 300]
+    texts += ["".join(pick.choice("ab cé\U0001F600\n") for _ in range(pick.randrange(60))) for _ in range(60)]
+    rows = [(i % 50 if i % 7 else None, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "id int, text string").repartition(3)
+    monkeypatch.setattr(grams, "KNOWN_GRAMS", 10)
+    monkeypatch.setattr(grams, "SLICE_CHARS", 40)
+
+    def h(g, bits):
+        return int(hashlib.md5(g.encode()).hexdigest()[:13], 16) >> (52 - bits)
+
+    per_row, cells = [], Counter()
+    for i, t in rows:
+        bits = [h(t[j : j + 4], 7) % 100 for j in range(len(t) - 3)] if t else []
+        per_row.append((i, [sum(1 << (b - 32 * w) for b in set(bits) if b // 32 == w) for w in range(4)]))
+        cells.update((i, b) for b in bits)
+    got = tokens.qgram_fingerprint(df, ["id"], "text", 4, 100)
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, per_row))
+    got = tokens.qgram_fingerprint(df, ["id"], "text", 4, 100, counts=True)
+    assert {(r.id, r.bit): r.n for r in got.collect()} == dict(cells) and got.count() == len(cells)
+    # ids that come once have no cells to add up
+    once = tokens.qgram_fingerprint(df.filter("id is not null").dropDuplicates(["id"]), ["id"], "text", 4, 100, counts=True)
+    plans = [x._jdf.queryExecution().analyzed().toString() for x in (once, got)]
+    assert ["sum(n" in p for p in plans] == [False, True]
+    for i, signature in df.select("text", tokens.minhash_signature("text", 4, 5).alias("s")).collect():
+        hs = {h(i[j : j + 4], 31) % tokens.MERSENNE for j in range(len(i) - 3)} if i else set()
+        assert signature == [min(((a * x + b) % tokens.MERSENNE for x in hs), default=tokens.MERSENNE) for a, b in tokens.hash_family(5, 42)]
