@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from combisieve.functions import grams
-from combisieve.operators import sampling, similarity, splits, tokens
+from combisieve.operators import matching, sampling, similarity, splits, tokens
+from combisieve.session import cut_lineage
 
 
 @pytest.mark.parametrize("n_small", [0, 6])
@@ -102,3 +103,25 @@ def test_poisson_counts_are_drawn_by_batch(spark):
                 below += mass
             want[i] = want.get(i, 0) + k
     assert {r["id"]: r["n"] for r in out.collect()} == {i: n for i, n in want.items() if n}
+
+
+def test_last_edges_go_in_order(spark, monkeypatch):
+    """A chain, of which a round takes one edge, needs no round; the results are those of rounds."""
+    chain = spark.createDataFrame([((i + 1) // 2, i // 2, 1, 0.01 * i) for i in range(60)], "a int, b int, copy int, cost double")
+    written = []
+    with monkeypatch.context() as m:
+        m.setattr(matching, "cut_lineage", lambda df: written.append(1) or cut_lineage(df))
+        assert sorted(r.a for r in matching.one_to_one_match(chain).collect()) == list(range(30)) and len(written) < 5
+    left, right = vectors(spark, 60, 2).filter("words is not null"), vectors(spark, 45, 2, 1000)
+    pairs = similarity.similarity_pairs(left, right, threshold=0.4, n_bits=64)
+
+    def found():
+        clusters = matching.threshold_clusters(left, 0.5, n_bits=64)
+        picks = matching.diverse_pick(clusters.join(left, "id"), F.lit(4))
+        edges = matching.one_to_one_match(matching.match_edges(pairs, copies=2))
+        return [sorted(map(tuple, df.collect())) for df in (clusters, picks, edges, matching.match_tables(left, right, 2))]
+
+    at_once = found()
+    monkeypatch.setattr(matching, "LAST_EDGES", 0)
+    monkeypatch.setattr(matching, "PICK_ROWS", 0)
+    assert found() == at_once and max(p for *_, p in at_once[1]) == 4
