@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Mapping, Sequence
 
@@ -257,22 +258,25 @@ def mlm_mask(
     """
     key = F.concat_ws(":", F.lit(str(seed)), *[F.col(i).cast("string") for i in ids])
 
-    def draw(h: Column, at: int) -> Column:
-        return F.conv(F.substring(h, at, 8), 16, 10).cast("bigint")
-
     full = float(2**32)
     redraw = random_prob / (1.0 - mask_prob)
-    other = F.lit(full * mask_prob), F.lit(full * (mask_prob + (1.0 - mask_prob) * redraw))
 
-    def one(x: Column, i: Column) -> Column:
-        h = F.md5(F.concat_ws(":", key, i.cast("string")))
-        picked = (draw(h, 1) < F.lit(full * p)) & ~x.isin(list(specials))
-        new = F.when(draw(h, 9) < other[0], F.lit(mask_id).cast("bigint")).when(
-            draw(h, 9) < other[1], draw(h, 17) % vocab_size
+    def below(h: Column, at: int, limit: float) -> Column:
+        """Whether the draw is below a limit: eight hex digits order like their number."""
+        top = math.ceil(limit)
+        return F.lit(True) if top >= 2**32 else F.substring(h, at, 8) < F.lit(f"{max(0, top):08x}")
+
+    def one(x: Column, h: Column) -> Column:
+        picked = below(h, 1, full * p) & ~x.isin(list(specials))
+        drawn = F.conv(F.substring(h, 17, 8), 16, 10).cast("bigint")
+        new = F.when(below(h, 9, full * mask_prob), F.lit(mask_id).cast("bigint")).when(
+            below(h, 9, full * (mask_prob + (1.0 - mask_prob) * redraw)), drawn % vocab_size
         ).otherwise(x)
         return F.struct(F.when(picked, new).otherwise(x).alias("i"), F.when(picked, x).otherwise(F.lit(-1).cast("bigint")).alias("l"))
 
-    out = df.withColumn("__m", F.transform(seq, one))
+    # key and md5 are bound: an expression inside a lambda is evaluated at each place it stands
+    place = lambda k: lambda x, i: let(F.md5(F.concat_ws(":", k, i.cast("string"))), lambda h: one(x, h))
+    out = df.withColumn("__m", let(key, lambda k: F.transform(seq, place(k))))
     return out.withColumns({seq: F.col("__m.i"), "labels": F.col("__m.l")}).drop("__m")
 
 
