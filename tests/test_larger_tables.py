@@ -125,3 +125,20 @@ def test_last_edges_go_in_order(spark, monkeypatch):
     monkeypatch.setattr(matching, "LAST_EDGES", 0)
     monkeypatch.setattr(matching, "PICK_ROWS", 0)
     assert found() == at_once and max(p for *_, p in at_once[1]) == 4
+
+
+def test_free_rows_are_matched_by_falling_thresholds(spark, monkeypatch):
+    """Few pairs are matched at once, many at more thresholds than pairs of little
+    likeness would need rounds; the matches are the same."""
+    left, right = vectors(spark, 24, 5).filter("words is not null"), vectors(spark, 20, 6, 1000)
+    seen, pairs_of = [], similarity.similarity_pairs_of
+
+    def found(**kw):
+        seen.clear()
+        return sorted(map(tuple, matching.match_tables(left, right, **kw).collect()))
+
+    monkeypatch.setattr(matching, "similarity_pairs_of", lambda a, b, level, *args: seen.append(level) or pairs_of(a, b, level, *args))
+    at_once = found()
+    assert len(seen) == 1
+    monkeypatch.setattr(matching, "LAST_EDGES", 0)
+    assert found(levels=(0.5,)) == at_once and len(seen) == 2
